@@ -1,7 +1,8 @@
 """Reproducible text perturbations.
 
 Every random draw is a function of (seed, row key, preset, character position), so a perturbed corpus does not
-depend on partitioning. The per-row seed is one md5; per-character draws come from a 32-bit integer mixer on it.
+depend on partitioning. The per-row seeds are md5 draws; per-character draws square (seed + position * step) modulo
+a prime, three integer operations per character.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ LOOKALIKE_TO = (
 PHRASES_EN = ["ok", "wow", "haha", "lol", "great", "bad", "love", "hate"]
 PHRASES_KM = ["ល្អ", "អាក្រក់", "សុខចិត្ត", "ច្រណែន", "ពិតៗ", "អូហូ"]
 
-_MASK = 0xFFFFFFFF
-_STEP = 2654435769
-_MULTIPLIER = 0x45D9F3B
+_PRIME = 2147483647
+_STEP = 1640531527
 
 
 def _share(p: float) -> float:
@@ -40,25 +40,27 @@ def _row_seed(seed, key: Column, stream: str) -> Column:
     return F.conv(F.substring(keyed_hash(seed, key, F.lit(stream)), 1, 8), 16, 10).cast("long")
 
 
-def _mixed(row_seed: Column, position: Column) -> Column:
-    """32-bit integer hash of (row seed, position)."""
-    x = (row_seed + position.cast("long") * F.lit(_STEP)).bitwiseAND(F.lit(_MASK))
-    for _ in range(2):
-        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(_MULTIPLIER)).bitwiseAND(F.lit(_MASK))
-    return x.bitwiseXOR(F.shiftright(x, 16))
+def _drawn(row_seed: Column, position: Column) -> Column:
+    """Integer draw in [0, _PRIME) for one character."""
+    x = (row_seed + position.cast("long") * F.lit(_STEP)) % F.lit(_PRIME)
+    return (x * x) % F.lit(_PRIME)
 
 
 def _below(draw: Column, p: float) -> Column:
-    return draw < F.lit(int(_share(p) * (_MASK + 1)))
+    return draw < F.lit(int(_share(p) * _PRIME))
 
 
-def _chars(text: Column) -> Column:
-    return F.split(text, "")
+def _map_chars(text: Column, key: Column, seed, streams: list[str],
+               rule: Callable[[Column, Column, Column], Column]) -> Column:
+    """Rewrite a text character by character: ``rule(char, position, row)``.
 
-
-def _map_chars(text: Column, f: Callable[[Column, Column], Column]) -> Column:
-    # Splitting empty text yields one empty piece, which every rule passes through.
-    return F.array_join(F.transform(_chars(text), f), "")
+    ``row`` carries the characters and one seed per stream. It is bound as the only element of an array, so both are
+    worked out once per text rather than once per character. Empty text is one empty piece, which rules pass through.
+    """
+    row = F.struct(F.split(text, "").alias("chars"), *[_row_seed(seed, key, s).alias(f"seed{i}") for i, s in enumerate(streams)])
+    rewritten = F.transform(F.array(row), lambda r: F.array_join(
+        F.transform(r["chars"], lambda c, i: rule(c, i, r)), ""))
+    return F.get(rewritten, F.lit(0))
 
 
 def _literal_array(values) -> Column:
@@ -67,23 +69,23 @@ def _literal_array(values) -> Column:
 
 def diacritics(text: Column, key: Column, severity: float, seed=0) -> Column:
     """Each Khmer vowel sign or mark is, with p = severity, dropped or doubled."""
-    hit, fate = _row_seed(seed, key, "diacritics"), _row_seed(seed, key, "diacritics-fate")
-    return F.when(text.rlike(f"[{KHMER_MARK_FIRST}-{KHMER_MARK_LAST}]"), _map_chars(
-        text,
-        lambda c, i: F.when(c.between(KHMER_MARK_FIRST, KHMER_MARK_LAST) & _below(_mixed(hit, i), severity),
-                            F.when(_below(_mixed(fate, i), 0.5), "").otherwise(F.concat(c, c))).otherwise(c),
-    )).otherwise(text)
+    def rule(c, i, row):
+        hit = c.between(KHMER_MARK_FIRST, KHMER_MARK_LAST) & _below(_drawn(row["seed0"], i), severity)
+        return F.when(hit, F.when(_below(_drawn(row["seed1"], i), 0.5), "").otherwise(F.concat(c, c))).otherwise(c)
+
+    marked = text.rlike(f"[{KHMER_MARK_FIRST}-{KHMER_MARK_LAST}]")
+    return F.when(marked, _map_chars(text, key, seed, ["diacritics", "diacritics-fate"], rule)).otherwise(text)
 
 
 def zero_width(text: Column, key: Column, severity: float, seed=0) -> Column:
     """After each character, with p = 0.2 severity, one of four invisible marks."""
-    hit, which = _row_seed(seed, key, "zero_width"), _row_seed(seed, key, "zero_width-mark")
     marks = _literal_array(ZERO_WIDTH_MARKS)
-    return _map_chars(
-        text,
-        lambda c, i: F.when((c != "") & _below(_mixed(hit, i), 0.2 * _share(severity)),
-                            F.concat(c, F.get(marks, (_mixed(which, i) % 4).cast("int")))).otherwise(c),
-    )
+
+    def rule(c, i, row):
+        mark = F.get(marks, (_drawn(row["seed1"], i) % 4).cast("int"))
+        return F.when((c != "") & _below(_drawn(row["seed0"], i), 0.2 * _share(severity)), F.concat(c, mark)).otherwise(c)
+
+    return _map_chars(text, key, seed, ["zero_width", "zero_width-mark"], rule)
 
 
 def emoji_burst(text: Column, key: Column, severity: float, seed=0) -> Column:
@@ -95,26 +97,23 @@ def emoji_burst(text: Column, key: Column, severity: float, seed=0) -> Column:
 
 def elongation(text: Column, key: Column, severity: float, seed=0) -> Column:
     """A character that differs from both neighbours is, with p = 0.6 severity, repeated."""
-    hit = _row_seed(seed, key, "elongation")
-    chars = _chars(text)
     times = 2 + int(_share(severity) * 3)
-    return F.array_join(F.transform(
-        chars,
-        lambda c, i: F.when(
-            (F.coalesce(F.get(chars, i - 1), F.lit("")) != c) & (F.coalesce(F.get(chars, i + 1), F.lit("")) != c)
-            & _below(_mixed(hit, i), 0.6 * _share(severity)),
-            F.repeat(c, F.lit(times))).otherwise(c),
-    ), "")
+
+    def rule(c, i, row):
+        before, after = F.get(row["chars"], i - 1), F.get(row["chars"], i + 1)
+        alone = F.coalesce(before != c, F.lit(True)) & F.coalesce(after != c, F.lit(True))
+        return F.when(_below(_drawn(row["seed0"], i), 0.6 * _share(severity)) & alone, F.repeat(c, F.lit(times))).otherwise(c)
+
+    return _map_chars(text, key, seed, ["elongation"], rule)
 
 
 def mixed_script(text: Column, key: Column, severity: float, seed=0) -> Column:
     """Latin letters become Cyrillic or Greek look-alikes with p = severity."""
-    hit = _row_seed(seed, key, "mixed_script")
-    return _map_chars(
-        text,
-        lambda c, i: F.when(F.lit(LOOKALIKE_FROM).contains(c) & _below(_mixed(hit, i), severity),
-                            F.translate(c, LOOKALIKE_FROM, LOOKALIKE_TO)).otherwise(c),
-    )
+    def rule(c, i, row):
+        hit = _below(_drawn(row["seed0"], i), severity) & F.lit(LOOKALIKE_FROM).contains(c)
+        return F.when(hit, F.translate(c, LOOKALIKE_FROM, LOOKALIKE_TO)).otherwise(c)
+
+    return _map_chars(text, key, seed, ["mixed_script"], rule)
 
 
 def code_switch(text: Column, key: Column, severity: float, seed=0) -> Column:

@@ -59,7 +59,7 @@ def conformal_set(proba: Column | str, tau: float | Column, labels: Sequence[str
     """Labels with 1 - p <= tau, in display order."""
     tau = F.lit(tau) if not isinstance(tau, Column) else tau
     proba = as_column(proba)
-    return F.filter(F.array(*[F.lit(l) for l in labels]), lambda l: 1.0 - F.element_at(proba, l) <= tau)
+    return F.array_compact(F.array(*[F.when(1.0 - F.element_at(proba, F.lit(l)) <= tau, F.lit(l)) for l in labels]))
 
 
 def top_classes(proba: Column | str, k: int) -> Column:

@@ -1 +1,138 @@
-"""To be filled."""
+"""Whole flows, in batch and as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from labelweave.catalog.agreement import DECISIONS, LATEST, TOTALS, _MAJORITY, _logged, _sql_pairs
+from labelweave.catalog.metrics import rounded
+from labelweave.catalog.quality import LANGS, ROW_ISSUES
+from labelweave.catalog.registry import query
+from labelweave.catalog.training import CONFIG, _VOWELS, _length_model
+from labelweave.catalog.views import LABEL_AT, annotations, documents, labelled, predictions, raw_rows, sql_hash, with_views
+from labelweave.operators import models
+from labelweave.operators.compare import align
+from labelweave.plans import curation, evaluation, reporting
+from labelweave.session import scratch_path
+from labelweave.streaming import flows as S
+
+_FINAL = f"""SELECT t.id, coalesce(d.final_label, CASE WHEN best = total THEN top END, {_MAJORITY}) AS label
+             FROM totals t LEFT JOIN decisions d ON d.id = t.id
+             WHERE coalesce(d.final_label, CASE WHEN best = total THEN top END, {_MAJORITY}) IS NOT NULL"""
+_SPLIT = f"""SELECT id, label, CASE WHEN r <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN r <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val'
+                              ELSE 'test' END AS split
+             FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sql_hash(42, 'id')}, CAST(id AS VARCHAR)) AS r,
+                          count(*) OVER (PARTITION BY label) AS n FROM final)"""
+
+
+@query("combine_flow", with_views("annotations", _SPLIT, totals=TOTALS, decisions=DECISIONS, final=_FINAL))
+def combine_flow(spark, sf):
+    final, _ = curation.combine(annotations(spark, sf), "majority", decisions=_logged(spark, sf))
+    return final.select("id", "label", "split")
+
+
+@query("publish_flow", with_views("annotations", """
+    SELECT label, count(*) AS n FROM final GROUP BY label""", totals=TOTALS, decisions=DECISIONS, final=_FINAL))
+def publish_flow(spark, sf):
+    final, _ = curation.combine(annotations(spark, sf), "majority", decisions=_logged(spark, sf))
+    return curation.publish(final, scratch_path(spark, "dataset"))
+
+
+@query("split_flow")
+def split_flow(spark, sf):
+    return curation.split_dataset(raw_rows(spark, sf), by_group=True).select("id", "group", "split")
+
+
+@query("ingest_flow")
+def ingest_flow(spark, sf):
+    final, issues = curation.ingest(raw_rows(spark, sf), group="group", lang="lang", langs=LANGS)
+    return final.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("queue_flow", with_views("annotations", f"""
+    SELECT id, annotator_a, annotator_b, label_a, label_b FROM ({_sql_pairs('<>')}) WHERE id NOT IN (SELECT id FROM decisions)
+    ORDER BY id, annotator_a, annotator_b LIMIT 100""", latest=LATEST, decisions=DECISIONS))
+def queue_flow(spark, sf):
+    return curation.queue(annotations(spark, sf), _logged(spark, sf), limit=100).select(
+        "id", "annotator_a", "annotator_b", "label_a", "label_b")
+
+
+@query("agreement_flow")
+def agreement_flow(spark, sf):
+    tables = curation.agreement(annotations(spark, sf), "lang")
+    pairs = tables["pairs"].withColumn("lang", F.lit("all")).unionByName(tables["pairs_by_lang"])
+    return rounded(pairs, "kappa")
+
+
+@query("error_loop", with_views("predictions_a", """
+    SELECT id, label AS gold_label, pred_label AS model_label, round(confidence, 6) AS confidence, round(margin, 6) AS margin
+    FROM predictions_a WHERE label <> pred_label AND id NOT IN (SELECT id FROM decisions)
+    ORDER BY predictions_a.margin, predictions_a.confidence DESC, id LIMIT 20""", decisions=DECISIONS))
+def error_loop(spark, sf):
+    scored = predictions(spark, sf).withColumn("text", F.lit(""))
+    return evaluation.error_loop(scored, _logged(spark, sf), limit=20).drop("text", "note")
+
+
+@query("report_flow")
+def report_flow(spark, sf):
+    from labelweave.catalog.files import _runs
+    tables = reporting.run_report(_runs(spark, sf), {"a_b": (predictions(spark, sf, "a"), predictions(spark, sf, "b"))})
+    return rounded(tables["intervals"], "point", "low", "high")
+
+
+@query("whole_chain")
+def whole_chain(spark, sf):
+    from dataclasses import replace
+    rows = labelled(spark, sf).select("id", "text", "label", "seq")
+    tables = reporting.whole_chain(rows, scratch_path(spark, "chain"), replace(CONFIG, max_iter=10), "run1", num_merges=2)
+    scores = tables["scores"].select(F.col("split").alias("part"), "n", "accuracy", "f1_macro")
+    stress = tables["stress_mixed_script"].where("scope = 'overall'").select(F.lit("stress").alias("part"), "n", "accuracy", "f1_macro")
+    return rounded(scores.unionByName(stress), "accuracy", "f1_macro")
+
+
+def _as_stream(spark, df, name, files=4):
+    """The table as several files, read one file per micro-batch."""
+    path = scratch_path(spark, name)
+    df.repartitionByRange(files, "seq").write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _document_stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    return files.select(F.col("doc_id").alias("id"), "text", "lang")
+
+
+@query("stream_score", f"""
+    SELECT doc_id AS id, CASE WHEN length(text) > 4000 THEN 'too_long'
+             WHEN v >= 0.3 - v AND v > 0.1 THEN 'POS' WHEN 0.3 - v > 0.1 THEN 'NEG' ELSE 'NEU' END AS outcome
+    FROM (SELECT doc_id, text, {_VOWELS} AS v FROM documents)""")
+def stream_score(spark, sf):
+    out = scratch_path(spark, "stream-score")
+    S.score_stream(_document_stream(spark, sf), lambda rows: models.score_with(rows, _length_model, LABEL_AT), out).awaitTermination()
+    scored, rejected = spark.read.parquet(f"{out}/scored"), spark.read.parquet(f"{out}/rejected")
+    return scored.select("id", F.col("pred_label").alias("outcome")).unionByName(rejected.select("id", F.col("reason").alias("outcome")))
+
+
+@query("stream_validate", with_views("raw_rows", ROW_ISSUES))
+def stream_validate(spark, sf):
+    out = scratch_path(spark, "stream-check")
+    S.check_stream(_as_stream(spark, raw_rows(spark, sf), "raw"), out, lang="lang", split="split", langs=LANGS).awaitTermination()
+    return spark.read.parquet(f"{out}/quarantine").select("seq", "id", F.inline("issues"))
+
+
+def _intake(spark, sf):
+    out = scratch_path(spark, "stream-intake")
+    S.annotation_stream(_as_stream(spark, annotations(spark, sf), "annotations"), out).awaitTermination()
+    return out
+
+
+@query("annotation_intake", with_views("annotations", f"SELECT id, annotator, label FROM ({LATEST})"))
+def annotation_intake(spark, sf):
+    return S.current_labels(spark, _intake(spark, sf)).select("id", "annotator", "label")
+
+
+@query("annotation_intake_queue", with_views("annotations", f"SELECT id, annotator_a, label_a, annotator_b, label_b FROM ({_sql_pairs('<>')})", latest=LATEST))
+def annotation_intake_queue(spark, sf):
+    # All rows of an id arrive in one file here, so the queue holds the final pairs.
+    return spark.read.parquet(f"{_intake(spark, sf)}/queue").select("id", "annotator_a", "label_a", "annotator_b", "label_b")

@@ -12,19 +12,18 @@ from labelweave.functions.labels import is_blank, strip
 from labelweave.schema import LABELS
 
 
-def latest_annotations(anns: DataFrame, keep: Sequence[str] = ("text",)) -> DataFrame:
+def latest_annotations(anns: DataFrame, keep: Sequence[str] = ("text",), first: str = "seq") -> DataFrame:
     """Last label wins per (id, annotator); ``pos`` stays the first occurrence.
 
     Grouping on both keys lets map-side combine shrink an item that holds many repeated rows before the shuffle.
     """
     last = F.max_by(F.struct("label", *keep), "seq")
-    return (anns.groupBy("id", "annotator").agg(last.alias("last"), F.min("seq").alias("pos"))
+    return (anns.groupBy("id", "annotator").agg(last.alias("last"), F.min(first).alias("pos"))
             .select("id", "annotator", "pos", "last.*"))
 
 
-def _pairs(anns: DataFrame, same: bool) -> DataFrame:
-    latest = latest_annotations(anns).withColumn("size", F.length("text"))
-    slim = latest.drop("text")
+def _pairs(latest: DataFrame, same: bool) -> DataFrame:
+    slim = latest.withColumn("size", F.length("text")).drop("text")
     a, b = slim.alias("a"), slim.alias("b")
     match = F.col("a.label") == F.col("b.label")
     paired = a.join(
@@ -42,13 +41,13 @@ def _pairs(anns: DataFrame, same: bool) -> DataFrame:
             .select("id", "text", "annotator_a", "label_a", "annotator_b", "label_b"))
 
 
-def disagreements(anns: DataFrame) -> DataFrame:
+def disagreements(anns: DataFrame, first: str = "seq") -> DataFrame:
     """All unordered annotator pairs of an item with different labels; the longer text represents the pair."""
-    return _pairs(anns, same=False)
+    return _pairs(latest_annotations(anns, first=first), same=False)
 
 
-def agreements(anns: DataFrame) -> DataFrame:
-    return _pairs(anns, same=True)
+def agreements(anns: DataFrame, first: str = "seq") -> DataFrame:
+    return _pairs(latest_annotations(anns, first=first), same=True)
 
 
 def queue_new(queue: DataFrame, logged: DataFrame, key: str = "id") -> DataFrame:

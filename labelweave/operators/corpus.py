@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType
 
 from labelweave.functions.labels import as_column
 from labelweave.operators.ordering import last_rows
+from labelweave.schema import spread
 from labelweave.session import cut_lineage
 
 # Words and runs of punctuation, as the pre-tokeniser cuts them.
@@ -54,7 +55,7 @@ def learn_merges(df: DataFrame, num_merges: int, min_frequency: int = 2, text: s
     The corpus folds to a table of distinct words once; each merge is one aggregate over it that returns one row.
     """
     spark = df.sparkSession
-    table = cut_lineage(word_counts(df, text).withColumn("symbols", _as_symbols(F.col("word"))).drop("word"))
+    table = cut_lineage(spread(word_counts(df, text), "word").select("n", _as_symbols(F.col("word")).alias("symbols")))
     merges: list[tuple[str, str, int]] = []
     while len(merges) < num_merges:
         best = pair_counts(table).orderBy(F.col("n").desc(), "left", "right").limit(1).collect()

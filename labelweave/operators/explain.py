@@ -25,16 +25,14 @@ def top_features(weights: DataFrame, k: int = 50) -> DataFrame:
 def contributions(texts: DataFrame, weights: DataFrame, nmin: int, nmax: int, key: str = "id",
                   text: str = "text") -> DataFrame:
     """(id, feature, label, contribution): unit-length TF-IDF value times class weight, zeros left out."""
-    vocabulary = weights.select(F.col("feature").alias("gram"), "idf").distinct()
-    raw = (G.term_counts(texts, nmin, nmax, key, text)
-           .join(broadcast_if_small(vocabulary, VOCABULARY_LIMIT), "gram")
-           .select(key, "gram", (F.col("tf") * F.col("idf")).alias("_raw")))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    table = weights.groupBy(F.col("feature").alias("gram")).agg(
+    table = weights.groupBy(F.col("feature").alias("gram"), "idf").agg(
         F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("_w"))
-    return (raw.join(broadcast_if_small(table, VOCABULARY_LIMIT), "gram").join(norms, key)
-            .select(key, F.col("gram").alias("feature"), (F.col("_raw") / F.col("_norm")).alias("_x"),
-                    F.explode("_w").alias("label", "_weight"))
+    raw = (G.term_counts(texts, nmin, nmax, key, text).join(broadcast_if_small(table, VOCABULARY_LIMIT), "gram")
+           .select(key, "gram", "_w", (F.col("tf") * F.col("idf")).alias("_raw")))
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(key)))
+    return (raw.select(key, F.col("gram").alias("feature"), (F.col("_raw") / norm).alias("_x"),
+                       F.col("_w"))
+            .select(key, "feature", "_x", F.explode("_w").alias("label", "_weight"))
             .select(key, "feature", "label", (F.col("_x") * F.col("_weight")).alias("contribution"))
             .where("contribution <> 0"))
 

@@ -23,7 +23,7 @@ from labelweave.functions.normalize import NormConfig, normalize
 from labelweave.operators import calibration as C
 from labelweave.operators import metrics as M
 from labelweave.operators import ngrams as G
-from labelweave.schema import LABELS, keyed_hash
+from labelweave.schema import LABELS, keyed_hash, spread
 
 # A larger vocabulary is hashed into this many columns, so every n-gram still counts.
 VOCABULARY_LIMIT = 1 << 18
@@ -65,12 +65,12 @@ def fit_features(train: DataFrame, cfg: TrainConfig, text: str = "_norm", limit:
         raise ValueError("empty training split")
     nmin, nmax = G.effective_range(train, cfg.ngram_min, cfg.ngram_max, text)
     min_df = cfg.min_df if n_docs >= cfg.min_df else max(1, n_docs)
-    vocabulary = G.document_frequency(train, nmin, nmax, min_df, text).persist()
+    vocabulary = G.document_frequency(train, nmin, nmax, min_df, text=text).persist()
     size = vocabulary.count()
     if size == 0:
         longest = train.agg(F.max(F.length(text)).alias("m")).first()["m"]
         nmin, nmax, min_df = 1, min(3, longest), 1
-        vocabulary = G.document_frequency(train, nmin, nmax, min_df, text).persist()
+        vocabulary = G.document_frequency(train, nmin, nmax, min_df, text=text).persist()
         size = vocabulary.count()
     cut = [SQLTransformer(statement=_clean_sql(text)), SQLTransformer(statement=_gram_sql(nmin, nmax))]
     if size > limit:
@@ -255,7 +255,8 @@ def add_prediction(df: DataFrame) -> DataFrame:
 def fit(train: DataFrame, cfg: TrainConfig = TrainConfig(), val: DataFrame | None = None,
         resampler: Callable[[DataFrame], DataFrame] | None = None) -> TextClassifier:
     """Train on (id, text, label); calibrate on ``val``, or over folds of ``train`` when cfg.folds > 1."""
-    rows = train.withColumn("_norm", normalize("text", cfg.norm)).select("id", "label", "_norm")
+    rows = (spread(train.select("id", "label", "text"), "id")
+            .withColumn("_norm", normalize("text", cfg.norm)).drop("text").persist())
     features = fit_features(rows, cfg)
     vectors = features.transform(rows).select("id", "label", "features").persist()
     sample = resampler(vectors) if resampler else vectors
@@ -270,6 +271,7 @@ def fit(train: DataFrame, cfg: TrainConfig = TrainConfig(), val: DataFrame | Non
             scored = out._probabilities(out.vectorize(val).select("id", "label", "features"))
             out.calibrators = [(None, fit_calibrator(scored.persist(), cfg.calibrate, classes))]
     vectors.unpersist()
+    rows.unpersist()
     return out
 
 
@@ -315,7 +317,8 @@ def fit_language_routed(train: DataFrame, cfg: TrainConfig = TrainConfig(), lang
         if len(found) > max_langs:
             raise ValueError("more languages than heads; name the ones to route")
         langs = sorted(r["l"] for r in found)
-    rows = train.withColumn("_norm", normalize("text", cfg.norm)).select("id", "label", lower.alias("_lang"), "_norm")
+    rows = spread(train.select("id", "label", lower.alias("_lang"), "text"), "id").withColumn(
+        "_norm", normalize("text", cfg.norm)).drop("text").persist()
     features = fit_features(rows, cfg)
     vectors = features.transform(rows).select("id", "label", "_lang", "features").persist()
     default = TextClassifier(features, *fit_classifier(vectors, cfg), cfg.norm)
@@ -325,6 +328,7 @@ def fit_language_routed(train: DataFrame, cfg: TrainConfig = TrainConfig(), lang
         if part.select("label").distinct().limit(2).count() == 2:
             heads[l.lower()] = TextClassifier(features, *fit_classifier(part, cfg), cfg.norm)
     vectors.unpersist()
+    rows.unpersist()
     return LanguageRouted(default, heads)
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelweave.functions.labels import as_column
-from labelweave.schema import broadcast_if_small
+from labelweave.schema import VOCABULARY_ROWS, broadcast_if_small, spread
 
 DEFAULT_RANGE = (3, 5)
 
@@ -40,15 +41,17 @@ def effective_range(df: DataFrame, nmin: int, nmax: int, text: str = "text") ->
 def term_counts(df: DataFrame, nmin: int = 3, nmax: int = 5, key: str = "id", text: str = "text") -> DataFrame:
     """(id, gram, tf). Texts are partitioned by id before they are cut, so the much larger n-gram rows need no
     shuffle of their own."""
-    texts = df.select(key, collapse_spaces(text).alias("_text")).repartition(key)
+    texts = spread(df.select(key, collapse_spaces(text).alias("_text")), key)
     return (texts.select(key, F.explode(char_ngrams("_text", nmin, nmax)).alias("gram"))
             .groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def document_frequency(df: DataFrame, nmin: int = 3, nmax: int = 5, min_df: int = 1, text: str = "text") -> DataFrame:
+def document_frequency(df: DataFrame, nmin: int = 3, nmax: int = 5, min_df: int = 1, key: str = "id",
+                       text: str = "text") -> DataFrame:
     """(gram, df) for n-grams found in at least ``min_df`` texts."""
-    grams = F.array_distinct(char_ngrams(collapse_spaces(text), nmin, nmax))
-    return (df.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    texts = spread(df.select(key, collapse_spaces(text).alias("_text")), key)
+    grams = F.array_distinct(char_ngrams("_text", nmin, nmax))
+    return (texts.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
             .where(F.col("df") >= min_df))
 
 
@@ -57,11 +60,14 @@ def smooth_idf(n_docs: Column, df: Column) -> Column:
 
 
 def tfidf(df: DataFrame, nmin: int = 3, nmax: int = 5, min_df: int = 1, key: str = "id", text: str = "text") -> DataFrame:
-    """(id, gram, tf, weight): raw count times smooth idf, scaled to length 1 per text."""
+    """(id, gram, tf, weight): raw count times smooth idf, scaled to length 1 per text.
+
+    The rows of a text stay in one partition from the cut to the norm while the vocabulary can be broadcast.
+    """
     terms = term_counts(df, nmin, nmax, key, text)
-    vocabulary = document_frequency(df, nmin, nmax, min_df, text)
+    vocabulary = document_frequency(df, nmin, nmax, min_df, key, text)
     n_docs = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    raw = (terms.join(broadcast_if_small(vocabulary), "gram")
+    raw = (terms.join(broadcast_if_small(vocabulary, VOCABULARY_ROWS), "gram")
            .select(key, "gram", "tf", (F.col("tf") * smooth_idf(n_docs, F.col("df"))).alias("_raw")))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    return raw.join(norms, key).select(key, "gram", "tf", (F.col("_raw") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(key)))
+    return raw.select(key, "gram", "tf", (F.col("_raw") / norm).alias("weight"))

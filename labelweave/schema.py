@@ -15,6 +15,9 @@ SPLIT_ALIASES = {"valid": "val", "validation": "val"}
 # Rows up to which a helper table counts as small enough to broadcast.
 BROADCAST_ROWS = 100_000
 
+# The same for a vocabulary of short strings with one number each (some 100 MB at most).
+VOCABULARY_ROWS = 1_000_000
+
 
 def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
@@ -43,6 +46,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed over the session's shuffle partitions, kept apart even when the table is small.
+
+    For work that multiplies its input, such as cutting texts into n-grams: moving a text once is far cheaper than
+    what is done with it, and a later grouping on the keys needs no further shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def keyed_hash(seed, *cols) -> Column:
     """Reproducible 128-bit draw per key as hex text: independent of partitioning and task order."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_as_string(c) for c in cols]))

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from labelweave.functions.labels import number
 
 
-def read_runs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_runs(spark: SparkSession, paths: Sequence[str], glob: str = "*.json") -> DataFrame:
     """(model, doc) for every readable metrics.json; ``model`` is its folder. Each file counts once.
 
     Unreadable documents have no row.
     """
-    files = spark.read.text(list(dict.fromkeys(paths)), wholetext=True, pathGlobFilter="*.json")
+    files = spark.read.text(list(dict.fromkeys(paths)), wholetext=True, pathGlobFilter=glob)
     path = F.col("_metadata.file_path")
     named = files.select(F.regexp_replace(path, "/[^/]*$", "").alias("model"), path.alias("file"),
                          F.try_parse_json("value").alias("doc"))

@@ -182,8 +182,8 @@ _SETS = f"""SELECT id, lang, label, list_filter([{', '.join(f"CASE WHEN 1.0 - p_
 
 def _with_sets(spark, sf):
     rows = predictions(spark, sf)
-    tau = X.tau_table(rows.where("id % 2 = 0"), 0.9)
-    return X.prediction_sets(rows, tau.select("tau").scalar())
+    tau = X.fit_tau(rows.where("id % 2 = 0"), coverage=0.9)
+    return X.prediction_sets(rows, tau)
 
 
 @query("conformal_sets", with_views("predictions_a", "SELECT id, array_to_string(s, ',') AS pred_set, CAST(len(s) AS INTEGER) AS set_size FROM sets",

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelweave.schema import widen
+
 LABEL_AT = ("POS", "NEG", "NEU")
 
 
@@ -46,7 +48,7 @@ def _sql_label_of(n: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumnsRenamed({"doc_id": "id", "source": "group"}).withColumn("seq", F.col("id"))
+    return widen(table(spark, sf_dir, "documents")).withColumnsRenamed({"doc_id": "id", "source": "group"}).withColumn("seq", F.col("id"))
 
 
 def labelled(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:

@@ -104,7 +104,7 @@ def _score_points(df: DataFrame, labels: Sequence[str], gold: str, proba: str) -
 
 
 def pr_points(df: DataFrame, labels: Sequence[str] = LABELS, gold: str = "label", proba: str = "proba",
-              bins: int = 256) -> DataFrame:
+              bins: int | None = None) -> DataFrame:
     """Precision and recall at every distinct score of every class."""
     points = _score_points(df, labels, gold, proba).persist()
     running = running_totals(points, "score", ["rows", "positives"], by=["class"], descending=True, bins=bins)

@@ -23,28 +23,32 @@ def nonconformity(df: DataFrame, labels: Sequence[str] = LABELS, gold: str = "la
     return df.select(score.alias("score"))
 
 
-def tau_table(df: DataFrame, coverage: float = 0.9, labels: Sequence[str] = LABELS, gold: str = "label",
-              proba: str = "proba", exact: bool = True) -> DataFrame:
-    """One row (tau, n): the score at 0-based rank ceil(q(n-1)) with q = ceil((n+1) coverage)/n, clipped to [0, 1]."""
+def fitted_tau(df: DataFrame, coverage: float = 0.9, labels: Sequence[str] = LABELS, gold: str = "label",
+               proba: str = "proba", exact: bool = True) -> tuple[float | None, int]:
+    """(tau, n): the score at 0-based rank ceil(q(n-1)) with q = ceil((n+1) coverage)/n, clipped to [0, 1]."""
     level = 1.0 - (1.0 - float(coverage))
     scores = nonconformity(df, labels, gold, proba)
 
     def rank(n):
-        q = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.ceil((n + 1) * F.lit(level)) / n))
-        return F.ceil(q * (n - 1))
+        q = min(1.0, max(0.0, math.ceil((n + 1) * level) / n))
+        return math.ceil(q * (n - 1))
 
     if exact:
-        return value_at_rank(scores, "score", rank).select(F.col("value").alias("tau"), "n")
-    return scores.agg(F.percentile_approx("score", F.lit(level), F.lit(10_000)).alias("tau"), F.count("score").alias("n"))
+        return value_at_rank(scores, "score", rank)
+    return tuple(scores.agg(F.percentile_approx("score", F.lit(level), F.lit(10_000)), F.count("score")).first())
 
 
-def fit_tau(calibration: DataFrame | None, labelled_input: DataFrame | None = None, coverage: float = 0.9, **columns) -> float:
+def tau_table(df: DataFrame, coverage: float = 0.9, **options) -> DataFrame:
+    tau, n = fitted_tau(df, coverage, **options)
+    return df.sparkSession.range(1).select(F.lit(tau).cast("double").alias("tau"), F.lit(n).cast("long").alias("n"))
+
+
+def fit_tau(calibration: DataFrame | None, labelled_input: DataFrame | None = None, coverage: float = 0.9, **options) -> float:
     """Tau from calibration rows, else from the labelled input, else the default."""
     for rows in (calibration, labelled_input):
-        if rows is not None:
-            tau = tau_table(rows, coverage, **columns).first()["tau"]
-            if tau is not None and not math.isnan(tau):
-                return float(tau)
+        tau = fitted_tau(rows, coverage, **options)[0] if rows is not None else None
+        if tau is not None:
+            return float(tau)
     return DEFAULT_TAU
 
 

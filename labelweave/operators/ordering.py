@@ -24,6 +24,9 @@ BIN_DIGITS = 4
 
 NOTHING, EVERYTHING = "", "g"
 
+# Rows that one task orders, and bounds on the number of bins that follows from it.
+ROWS_PER_BIN, MIN_BINS, MAX_BINS = 1_000_000, 8, 10_000
+
 
 def hash_position(seed, *key: str) -> Column:
     """Place of a row in the seeded shuffle: hash text first, key text as tie-break."""
@@ -54,7 +57,9 @@ def hash_cuts(df: DataFrame, by: Sequence[str], seed, key: Sequence[str],
     crossed = crossed.select(*by, "_bin", "_name", "_target", (F.col("_upto") - F.col("_c")).alias("_before"))
 
     # Only the rows of the crossed bins are ordered; copies of one key are counted first.
-    edge = (_join_on(rows, broadcast_if_small(crossed), [*by, "_bin"])
+    # (Without buckets there is one crossed bin per target; otherwise the number of buckets is checked.)
+    small = broadcast_if_small(crossed) if by else F.broadcast(crossed)
+    edge = (_join_on(rows, small, [*by, "_bin"])
             .groupBy(*by, "_bin", "_name", "_target", "_before", "_pos").agg(F.count(F.lit(1)).alias("_c")))
     in_bin = W.partitionBy(*by, "_name").orderBy("_pos")
     cuts = (edge.withColumn("_upto", F.col("_before") + F.sum("_c").over(in_bin))
@@ -77,14 +82,20 @@ def _join_on(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def with_cuts(df: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach the cuts of a row's bucket; without buckets there is one row of cuts, read as scalars."""
+    """Attach the cuts of a row's bucket; without buckets there is one row of cuts, read as constants."""
     if by:
         return df.join(broadcast_if_small(cuts), list(by))
-    return df.withColumns({c: cuts.select(c).scalar() for c in cuts.columns})
+    row = cuts.first()
+    return df.withColumns({c: F.lit(row[c] if row else None).cast("string") for c in cuts.columns})
+
 
+def value_bins(df: DataFrame, column: str, bins: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``_bin``, rising with the value, with about equal shares of ``df`` per bin.
 
-def value_bins(df: DataFrame, column: str, bins: int) -> Callable[[DataFrame], DataFrame]:
-    """Adds ``_bin``, rising with the value, with about equal shares of ``df`` per bin."""
+    By default a bin holds about ROWS_PER_BIN rows.
+    """
+    if bins is None:
+        bins = max(MIN_BINS, min(MAX_BINS, df.count() // ROWS_PER_BIN))
     shares = [i / bins for i in range(1, bins)]
     edges = sorted({float(e) for e in df.approxQuantile(column, shares, 1.0 / (4 * bins))})
     splits = [float("-inf"), *edges, float("inf")]
@@ -94,7 +105,7 @@ def value_bins(df: DataFrame, column: str, bins: int) -> Callable[[DataFrame], D
 
 
 def running_totals(df: DataFrame, order: str, values: Sequence[str], by: Sequence[str] = (), descending: bool = True,
-                   bins: int = 256) -> DataFrame:
+                   bins: int | None = None) -> DataFrame:
     """Running sums ``cum_<value>`` over a numeric order; the rows must be distinct in (by, order)."""
     binned = value_bins(df, order, bins)(df)
     totals = binned.groupBy(*by, "_bin").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
@@ -111,14 +122,29 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], by: Sequenc
     return out.drop("_bin", *[f"_o_{v}" for v in values])
 
 
-def value_at_rank(df: DataFrame, column: str, rank: Callable[[Column], Column], bins: int = 256) -> DataFrame:
-    """The value at 0-based ascending rank ``rank(n)``: one row with ``value`` and ``n``."""
-    per_value = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    running = running_totals(per_value, column, ["n"], descending=False, bins=bins)
-    total = per_value.agg(F.sum("n").alias("n"))
-    n = total.scalar()
-    return (running.where(F.col("cum_n") > rank(n)).agg(F.min(column).alias("value"))
-            .select("value", n.alias("n")))
+def value_at_rank(df: DataFrame, column: str, rank: Callable[[int], int], limit: int = ROWS_PER_BIN) -> tuple:
+    """(value at 0-based ascending rank ``rank(n)``, n); (None, 0) without rows.
+
+    The range that must hold the rank is narrowed with approximate quantiles and exact counts, which move no rows,
+    until few distinct values are left to order.
+    """
+    rows = df.select(F.col(column).alias("v")).where(F.col(column).isNotNull())
+    n = rows.count()
+    if n == 0:
+        return None, 0
+    wanted, below, inside = int(rank(n)), 0, rows
+    while True:
+        cells = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        if cells.limit(limit + 1).count() <= limit:
+            running = cells.withColumn("upto", F.sum("c").over(W.partitionBy(F.lit(1)).orderBy("v")))
+            return running.where(F.col("upto") > wanted - below).agg(F.min("v").alias("v")).first()["v"], n
+        share, slack = (wanted - below) / inside.count(), 0.01
+        lo, hi = inside.approxQuantile("v", [max(0.0, share - 2 * slack), min(1.0, share + 2 * slack)], slack)
+        part = inside.where(F.col("v").between(lo, hi))
+        before = inside.where(F.col("v") < lo).count()
+        if lo == hi:
+            return lo, n
+        below, inside = below + before, part
 
 
 def seq_span(df: DataFrame, seq: str = "seq") -> Column:

@@ -221,8 +221,9 @@ def repair_splits(df: DataFrame, seed: int = 42, key: Sequence[str] = ("id",)) -
         seen = counts(df)
     for target in ("val", "test"):
         in_target = sum(n for (s, _), n in seen.items() if s == target)
-        n_train = sum(n for (s, _), n in seen.items() if s == "train")
-        if in_target == 0 and n_train > 1:
-            df = move(df, F.col("split") == "train", target)
+        n, label = min(((-n, l) for (s, l), n in seen.items() if s == "train"), default=(0, None))
+        # The most frequent class gives a row, so train keeps its classes.
+        if in_target == 0 and sum(n for (s, _), n in seen.items() if s == "train") > 1:
+            df = move(df, (F.col("split") == "train") & (F.col("label") == label), target)
             seen = counts(df)
     return df

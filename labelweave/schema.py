@@ -56,6 +56,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def widen(scan: DataFrame) -> DataFrame:
+    """Spread a freshly read table that comes in fewer pieces than there are cores; a larger one stays as it is.
+
+    Only for scans: asking an unshuffled plan for its partitions runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def keyed_hash(seed, *cols) -> Column:
     """Reproducible 128-bit draw per key as hex text: independent of partitioning and task order."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_as_string(c) for c in cols]))

@@ -9,7 +9,6 @@ from labelweave.catalog.registry import query
 from labelweave.catalog.views import documents
 from labelweave.operators import corpus as C
 from labelweave.operators import ngrams as G
-from labelweave.schema import spread
 
 _CLEAN = r"regexp_replace(text, '[\x{09}-\x{0d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2,}', ' ', 'g')"
 
@@ -33,8 +32,7 @@ def _sql(body, nmin, nmax, **extra):
 
 @query("char_ngrams", _sql("SELECT gram, count(*) AS n FROM grams GROUP BY gram", 3, 5))
 def char_ngrams(spark, sf):
-    grams = F.explode(G.char_ngrams(G.collapse_spaces("text"), 3, 5))
-    return spread(documents(spark, sf), "id").select(grams.alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return G.ngram_counts(documents(spark, sf), 3, 5)
 
 
 @query("doc_freq", _sql("SELECT gram, count(DISTINCT id) AS df FROM grams GROUP BY gram HAVING count(DISTINCT id) >= 2", 3, 5))

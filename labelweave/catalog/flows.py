@@ -11,7 +11,6 @@ from labelweave.catalog.registry import query
 from labelweave.catalog.training import CONFIG, _VOWELS, _length_model
 from labelweave.catalog.views import LABEL_AT, annotations, documents, labelled, predictions, raw_rows, sql_hash, with_views
 from labelweave.operators import models
-from labelweave.operators.compare import align
 from labelweave.plans import curation, evaluation, reporting
 from labelweave.session import scratch_path
 from labelweave.streaming import flows as S

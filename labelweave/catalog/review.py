@@ -75,7 +75,7 @@ def align_predictions(spark, sf):
     SELECT a.label, a.pred_label AS pred_a, b.pred_label AS pred_b, count(*) AS n
     FROM predictions_a a JOIN predictions_b b ON a.id = b.id GROUP BY ALL"""))
 def joint_counts(spark, sf):
-    return C.joint_counts(C.align(predictions(spark, sf, "a"), predictions(spark, sf, "b")))
+    return C.joint_counts(predictions(spark, sf, "a"), predictions(spark, sf, "b"))
 
 
 @query("model_compare", with_views("predictions_a", "predictions_b", """
@@ -89,8 +89,7 @@ def model_compare(spark, sf):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf):
-    aligned = C.align(predictions(spark, sf, "a"), predictions(spark, sf, "b"))
-    return rounded(C.paired_bootstrap(aligned), "point", "low", "high")
+    return rounded(C.paired_bootstrap(predictions(spark, sf, "a"), predictions(spark, sf, "b")), "point", "low", "high")
 
 
 @query("bootstrap_points", with_views("predictions_a", "predictions_b", """
@@ -98,8 +97,8 @@ def bootstrap_ci(spark, sf):
     UNION ALL SELECT 'f1_a', f1_macro, n FROM sum_a UNION ALL SELECT 'f1_b', f1_macro, n FROM sum_b""",
                                       sum_a=sql_summary("predictions_a"), sum_b=sql_summary("predictions_b")))
 def bootstrap_points(spark, sf):
-    aligned = C.align(predictions(spark, sf, "a"), predictions(spark, sf, "b"))
-    out = C.paired_bootstrap(aligned, n_bootstrap=200).where("score NOT LIKE '%delta'")
+    pair = predictions(spark, sf, "a"), predictions(spark, sf, "b")
+    out = C.paired_bootstrap(*pair, n_bootstrap=200).where("score NOT LIKE '%delta'")
     return rounded(out.select("score", "point", "n"), "point")
 
 

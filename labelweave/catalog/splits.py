@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelweave.catalog.registry import query
-from labelweave.catalog.views import annotations, draw, labelled, predictions, sql_draw, sql_hash, sql_uniform, with_views
-from labelweave.operators import metrics as M
+from labelweave.catalog.views import draw, labelled, sql_draw, sql_hash, sql_uniform, with_views
 from labelweave.operators import quality as Q
 from labelweave.operators import sampling as S
 from labelweave.operators.ordering import last_rows
-from labelweave.schema import keyed_hash
 
 RATIOS = (0.8, 0.1, 0.1)
 SQL_RATIOS = "0.8::DOUBLE", "0.1::DOUBLE"
@@ -114,7 +112,7 @@ def undersample(spark, sf):
 
 
 @query("oversample", with_views("labelled", f"""
-    SELECT id, label, CAST(copy AS INTEGER) AS copy FROM (
+    SELECT id, label, copy FROM (
       SELECT id, label, unnest(range(1, CAST(target // n + CASE WHEN r <= target % n THEN 1 ELSE 0 END AS BIGINT) + 1)) AS copy
       FROM (SELECT *, greatest(n, CAST(round_even(most * 1.0::DOUBLE, 0) AS BIGINT)) AS target
             FROM (SELECT *, max(n) OVER () AS most FROM ({_RANKED}))))"""))

@@ -36,17 +36,15 @@ def _as_symbols(word: Column) -> Column:
     return F.regexp_replace(word, "(?s)(.)", f"{_OPEN}$1{_CLOSE}")
 
 
-def _symbols(wrapped: Column) -> Column:
-    return F.split(F.substring(wrapped, F.lit(2), F.length(wrapped) - 2), _CLOSE + _OPEN)
+# Two neighbouring symbols; the look-ahead lets the second one be the first of the next pair.
+_PAIR = f"(?s)(?=({_OPEN}[^{_CLOSE}]+{_CLOSE}{_OPEN}[^{_CLOSE}]+{_CLOSE})){_OPEN}"
 
 
 def pair_counts(table: DataFrame) -> DataFrame:
-    """(left, right, n) of neighbouring symbols over the word table."""
-    parts = table.select("n", _symbols(F.col("symbols")).alias("s")).where(F.size("s") > 1)
-    pairs = F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("left"),
-                         F.slice("s", F.lit(2), F.size("s") - 1).alias("right"))
-    return parts.select("n", F.inline(pairs)).toDF("n", "left", "right").groupBy("left", "right").agg(
-        F.sum("n").alias("n"))
+    """(pair, n) of neighbouring symbols over the word table. A pair is its two wrapped symbols, whose text order is
+    the order of the symbols."""
+    return (table.select("n", F.explode(F.regexp_extract_all("symbols", F.lit(_PAIR))).alias("pair"))
+            .groupBy("pair").agg(F.sum("n").alias("n")))
 
 
 def learn_merges(df: DataFrame, num_merges: int, min_frequency: int = 2, text: str = "text") -> list[tuple[str, str, int]]:
@@ -58,13 +56,14 @@ def learn_merges(df: DataFrame, num_merges: int, min_frequency: int = 2, text: s
     table = cut_lineage(spread(word_counts(df, text), "word").select("n", _as_symbols(F.col("word")).alias("symbols")))
     merges: list[tuple[str, str, int]] = []
     while len(merges) < num_merges:
-        best = pair_counts(table).orderBy(F.col("n").desc(), "left", "right").limit(1).collect()
+        best = pair_counts(table).orderBy(F.col("n").desc(), "pair").limit(1).collect()
         if not best or best[0]["n"] < min_frequency:
             break
-        left, right, n = best[0]["left"], best[0]["right"], best[0]["n"]
-        merges.append((left, right, n))
+        pair = best[0]["pair"]
+        left, right = pair[1:-1].split(_CLOSE + _OPEN)
+        merges.append((left, right, best[0]["n"]))
         table = table.withColumn("symbols", F.replace(
-            F.col("symbols"), F.lit(f"{_OPEN}{left}{_CLOSE}{_OPEN}{right}{_CLOSE}"), F.lit(f"{_OPEN}{left}{right}{_CLOSE}")))
+            F.col("symbols"), F.lit(pair), F.lit(f"{_OPEN}{left}{right}{_CLOSE}")))
         if len(merges) % _CHECKPOINT_EVERY == 0:
             table = cut_lineage(table)
     return merges

@@ -29,6 +29,21 @@ def char_ngrams(text: Column | str, nmin: int = 3, nmax: int = 5) -> Column:
     return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}})).")) for n in range(nmin, nmax + 1)]))
 
 
+def gram_rows(df: DataFrame, nmin: int = 3, nmax: int = 5, key: str = "id", text: str = "text") -> DataFrame:
+    """(id, gram), one row per n-gram occurrence.
+
+    The longest n-gram is cut at every position and its prefixes are the shorter ones, so the text is scanned once
+    for all lengths. At the end of a text the longest one is shorter and has fewer prefixes.
+    """
+    longest = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{nmin},{nmax}}}))."))
+    cut = df.select(key, F.explode(longest).alias("_gram"))
+    size = F.length("_gram")
+    prefixes = [F.when(size >= n, F.substring("_gram", 1, n)) for n in range(nmin, nmax)]
+    whole = F.when(size == nmax, F.col("_gram"))
+    return (cut.select(key, F.explode(F.array(*prefixes, whole)).alias("gram"))
+            .where(F.col("gram").isNotNull()))
+
+
 def effective_range(df: DataFrame, nmin: int, nmax: int, text: str = "text") -> tuple[int, int]:
     """The n-gram range shrunk to the longest text."""
     longest = df.agg(F.max(F.length(text)).alias("m")).first()["m"]
@@ -42,10 +57,16 @@ def term_counts(df: DataFrame, nmin: int = 3, nmax: int = 5, key: str = "id", te
     """(id, gram, tf). Texts are partitioned by id before they are cut, so the much larger n-gram rows need no
     shuffle of their own."""
     texts = spread(df.select(key, collapse_spaces(text).alias("_text")), key)
-    return (texts.select(key, F.explode(char_ngrams("_text", nmin, nmax)).alias("gram"))
+    return (gram_rows(texts, nmin, nmax, key, "_text")
             .groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def ngram_counts(df: DataFrame, nmin: int = 3, nmax: int = 5, key: str = "id", text: str = "text") -> DataFrame:
+    """(gram, n) over the whole corpus."""
+    texts = spread(df.select(key, collapse_spaces(text).alias("_text")), key)
+    return gram_rows(texts, nmin, nmax, key, "_text").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
 def document_frequency(df: DataFrame, nmin: int = 3, nmax: int = 5, min_df: int = 1, key: str = "id",
                        text: str = "text") -> DataFrame:
     """(gram, df) for n-grams found in at least ``min_df`` texts."""

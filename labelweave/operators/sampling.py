@@ -16,12 +16,19 @@ from pyspark.sql import functions as F
 
 from labelweave.functions.labels import is_blank
 from labelweave.operators.ordering import hash_cuts, hash_position, with_cuts
-from labelweave.schema import SPLITS, broadcast_if_small, uniform
+from labelweave.schema import SPLITS, broadcast_if_small, spread, uniform
 
 # Groups that are assigned one by one; a table with more gives the rest to a seeded draw.
 MAX_GREEDY_GROUPS = 100_000
 
 
+# Label and language combinations a group profile may have.
+MAX_BUCKETS = 1_000
+
+# Copies of one row that are made in one step when a class is oversampled.
+COPY_BLOCK = 100_000
+
+
 def check_ratios(train: float, val: float, test: float) -> None:
     if not (0 < train < 1 and 0 <= val < 1 and 0 <= test < 1):
         raise ValueError("need 0 < train < 1, 0 <= val < 1 and 0 <= test < 1")
@@ -130,8 +137,11 @@ def group_stratified_split(df: DataFrame, train: float, val: float, test: float,
     if by_lang:
         rows = rows.withColumn("_bucket", F.concat_ws("|", "_bucket", language_bucket()))
     cells = rows.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("n")).persist()
-    totals = {r["_bucket"]: r["n"] for r in cells.groupBy("_bucket").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["_bucket"]: r["n"] for r in cells.groupBy("_bucket").agg(F.sum("n").alias("n"))
+              .limit(MAX_BUCKETS + 1).collect()}
     buckets = sorted(totals)
+    if len(buckets) > MAX_BUCKETS:
+        raise ValueError("too many distinct labels and languages to balance")
     targets = np.array([[totals[b] * ratio for b in buckets] for ratio in (train, val, test)], dtype=float)
     counts = F.array(*[F.coalesce(F.sum(F.when(F.col("_bucket") == b, F.col("n"))), F.lit(0)) for b in buckets])
     profiles = cells.groupBy("_group").agg(F.sum("n").alias("_size"), counts.alias("counts"))
@@ -140,7 +150,7 @@ def group_stratified_split(df: DataFrame, train: float, val: float, test: float,
                 .mapInPandas(_greedy(targets), "_group string, split string").persist())
     placed = broadcast_if_small(assigned, max_groups)
     out = rows.join(placed, "_group", "left")
-    if not profiles.where(F.lit(True)).limit(max_groups + 1).count() <= max_groups:
+    if profiles.limit(max_groups + 1).count() > max_groups:
         out = out.withColumn("split", F.coalesce("split", _open_share(rows, placed, targets, seed)))
     return out.select(*[c for c in df.columns if c != "split"], "split")
 
@@ -188,11 +198,17 @@ def oversample(df: DataFrame, ratio: float = 1.0, seed: int = 42, key: Sequence[
         wanted = F.greatest(n, F.bround(F.col("n_max") * F.lit(max(1.0, ratio))).cast("long"))
         return {"rest": wanted % n, "times": F.floor(wanted / n)}
 
-    cuts = hash_cuts(df, [label], seed, key, targets).select(label, "cut_rest", "target_times")
+    cuts = hash_cuts(df, [label], seed, key, targets).select(label, "cut_rest", "target_times").persist()
     extra = F.when(hash_position(seed, *key) <= F.col("cut_rest"), 1).otherwise(0)
-    copies = (F.col("target_times") + extra).cast("int")
-    return (with_cuts(df, cuts, [label])
-            .select(*df.columns, F.explode(F.sequence(F.lit(1), copies)).alias("copy")))
+    rows = with_cuts(df, cuts, [label]).withColumn("_copies", F.col("target_times") + extra)
+    # Copies are made in blocks; when a rare class needs several blocks per row, they are spread over the cluster.
+    last_block = F.floor((F.col("_copies") - 1) / COPY_BLOCK)
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
+    if (cuts.agg(F.max("target_times").alias("t")).first()["t"] or 0) >= COPY_BLOCK:
+        rows = spread(rows, *key, "_block")
+    first = F.col("_block") * COPY_BLOCK + 1
+    last = F.least(F.col("_copies"), first + COPY_BLOCK - 1)
+    return rows.select(*df.columns, F.explode(F.sequence(first, last)).alias("copy"))
 
 
 def repair_splits(df: DataFrame, seed: int = 42, key: Sequence[str] = ("id",)) -> DataFrame:

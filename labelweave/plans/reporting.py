@@ -22,7 +22,7 @@ def run_report(runs: DataFrame, pairs: dict[str, tuple[DataFrame, DataFrame]] |
     out = {"overall": overall, "per_language": R.per_language(runs), "calibration": R.calibration(runs),
            "top": R.top_runs(overall, top_k)}
     for name, (a, b) in (pairs or {}).items():
-        found = C.paired_bootstrap(C.align(a, b)).withColumn("pair", F.lit(name))
+        found = C.paired_bootstrap(a, b).withColumn("pair", F.lit(name))
         out["intervals"] = out["intervals"].unionByName(found) if "intervals" in out else found
     if stressed is not None:
         clean = overall.select("model", F.col("test_accuracy").alias("accuracy"), F.col("test_f1_macro").alias("f1_macro"))

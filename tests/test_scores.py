@@ -152,18 +152,20 @@ def test_bootstrap(spark):
     b = np.where(rng.random(400) < 0.9, gold, rng.integers(0, 3, 400))
     side = lambda p: spark.createDataFrame([(i, ORDER[g], ORDER[q]) for i, (g, q) in enumerate(zip(gold, p))],
                                            "id long, label string, pred_label string")
-    aligned = compare.align(side(a), side(b))
-    out = {r["score"]: r for r in compare.paired_bootstrap(aligned, 500).collect()}
+    out = {r["score"]: r for r in compare.paired_bootstrap(side(a), side(b), 500).collect()}
     assert out["acc_a"]["point"] == pytest.approx((gold == a).mean())
     rows = [rng.integers(0, 400, 400) for _ in range(500)]
     by_rows = np.percentile([(gold == b)[i].mean() - (gold == a)[i].mean() for i in rows], [2.5, 97.5])
     assert (out["acc_delta"]["low"], out["acc_delta"]["high"]) == pytest.approx(tuple(by_rows), abs=0.02)
-    again = {r["score"]: r for r in compare.paired_bootstrap(aligned.repartition(5), 500).collect()}
+    again = {r["score"]: r for r in compare.paired_bootstrap(side(a).repartition(5), side(b), 500).collect()}
     assert out == again
+    aligned = compare.align(side(a), side(b)).unionByName(compare.align(side(a), side(b)))
+    doubled = compare.joint_counts(side(a).unionByName(side(a)), side(b))
+    assert sorted(map(tuple, doubled.collect())) == sorted(map(tuple, aligned.groupBy("label", "pred_a", "pred_b").count().collect()))
     with pytest.raises(Exception, match="gold labels differ"):
         compare.align(side(a), side(b).withColumn("label", F.lit("POS"))).collect()
     with pytest.raises(ValueError):
-        compare.bootstrap_replicates(aligned.where("id < 0"))
+        compare.bootstrap_replicates(side(a).where("id < 0"), side(b))
 
 
 def test_error_numbers(spark):

@@ -83,6 +83,15 @@ def test_resampling(rows):
     assert S.hold_out(rows, 0.25).where("held_out").count() == 150
 
 
+def test_copies_in_blocks(rows, monkeypatch):
+    monkeypatch.setattr(S, "COPY_BLOCK", 3)
+    few = rows.where("label = 'POS' or cast(id as int) < 30")
+    out = S.oversample(few)
+    assert {r["count"] for r in out.groupBy("label").count().collect()} == {200}
+    assert out.select("id", "copy").distinct().count() == out.count()
+    assert out.groupBy("label").agg(F.max("copy").alias("m")).where("label = 'NEG'").first()["m"] == 20
+
+
 def test_repair(spark):
     rows = spark.createDataFrame([("1", "POS", "train"), ("2", "POS", "train"), ("3", "NEG", "test"), ("4", "NEG", "test")],
                                  "id string, label string, split string")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelweave.catalog.agreement import DECISIONS, _logged
+from labelweave.catalog.agreement import DECISIONS, LATEST, _logged, _sql_pairs
 from labelweave.catalog.metrics import rounded, sql_summary
 from labelweave.catalog.registry import query
 from labelweave.catalog.views import LABEL_AT, annotations, documents, draw, labelled, predictions, raw_rows, sql_draw, with_views
-from labelweave.functions.labels import file_safe
 from labelweave.operators import metrics as M
+from labelweave.operators.agreement import disagreements
+from labelweave.operators.calibration import reliability_bins
 from labelweave.session import scratch_path
 from labelweave.sinks import tables as sinks
 from labelweave.sources import exports, runs
@@ -245,3 +246,51 @@ def sink_runs(spark, sf):
     score = M.summary(M.count_table(predictions(spark, sf))).first()
     sinks.record_run(spark, path, "r1", {"seed": 42}, {"accuracy": score["accuracy"]}, {"kind": "check"})
     return rounded(spark.read.parquet(f"{path}/metrics"), "value")
+
+
+@query("sink_splits", with_views("labelled", """
+    SELECT id, label, CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM labelled WHERE id % 3 <> 0"""))
+def sink_splits(spark, sf):
+    path = scratch_path(spark, "by-split")
+    n = F.col("id") % 3
+    rows = labelled(spark, sf).withColumn("split", F.when(n == 0, "train").when(n == 1, "val").otherwise("test"))
+    sinks.write_splits(rows.drop("seq"), path)
+    return spark.read.parquet(path).where("split <> 'train'").select("id", "label", "split")
+
+
+@query("sink_clean", with_views("raw_rows", "SELECT id, upper(trim(label)) AS label, split FROM raw_rows"))
+def sink_clean(spark, sf):
+    path = scratch_path(spark, "clean")
+    sinks.write_clean_copy(raw_rows(spark, sf), path)
+    return spark.read.parquet(path).select("id", "label", "split")
+
+
+@query("sink_queue", with_views("annotations", f"""
+    SELECT id, annotator_a, label_a, annotator_b, label_b FROM ({_sql_pairs('<>')})""", latest=LATEST))
+def sink_queue(spark, sf):
+    path = scratch_path(spark, "queue")
+    sinks.write_queue(disagreements(annotations(spark, sf)), path)
+    return spark.read.parquet(path).drop("text")
+
+
+@query("sink_bins", with_views("predictions_a", """
+    SELECT CAST(sum(CAST(round(bin_upper * 15) AS BIGINT)) AS BIGINT) AS bins, CAST(sum(count) AS BIGINT) AS n FROM (
+      SELECT e AS bin_upper, (SELECT count(*) FROM predictions_a WHERE confidence > e - 1 / 15.0::DOUBLE AND confidence <= e) AS count
+      FROM (SELECT unnest(range(1, 16)) / 15.0::DOUBLE AS e))"""))
+def sink_bins(spark, sf):
+    path = scratch_path(spark, "bins")
+    sinks.write_small(reliability_bins(predictions(spark, sf), 15), path)
+    bins = spark.read.option("header", True).csv(path)
+    upper = F.round(F.col("bin_upper").cast("double") * 15).cast("long")
+    return bins.agg(F.sum(upper).alias("bins"), F.sum(F.col("count").cast("long")).alias("n"))
+
+
+@query("report_tables", with_views("predictions_b", """
+    SELECT te."group" AS model, te.f1_macro AS test_f1_macro, (SELECT count(DISTINCT lang) FROM predictions_b p WHERE p."group" = te."group") AS langs
+    FROM te""", te=_BY_GROUP["te"]))
+def report_tables(spark, sf):
+    path, docs = scratch_path(spark, "report"), _runs(spark, sf)
+    sinks.write_report(path, overall=runs.overall(docs), per_language=runs.per_language(docs), calibration=runs.calibration(docs))
+    tables = runs.read_report(spark, path)
+    langs = tables["per_language"].groupBy("model").agg(F.count_distinct("lang").alias("langs"))
+    return rounded(tables["overall"].select("model", "test_f1_macro").join(langs, "model"), "test_f1_macro")

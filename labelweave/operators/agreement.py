@@ -22,10 +22,11 @@ def latest_annotations(anns: DataFrame, keep: Sequence[str] = ("text",), first:
             .select("id", "annotator", "pos", "last.*"))
 
 
-def _pairs(latest: DataFrame, same: bool) -> DataFrame:
-    slim = latest.withColumn("size", F.length("text")).drop("text")
+def _pairs(anns: DataFrame, same: bool, first: str) -> DataFrame:
+    slim = latest_annotations(anns.withColumn("size", F.length("text")), keep=("size", "seq"), first=first)
     a, b = slim.alias("a"), slim.alias("b")
     match = F.col("a.label") == F.col("b.label")
+    longer_a = F.col("a.size") >= F.col("b.size")
     paired = a.join(
         b,
         (F.col("a.id") == F.col("b.id")) & (F.col("a.pos") < F.col("b.pos")) & (match if same else ~match),
@@ -33,21 +34,23 @@ def _pairs(latest: DataFrame, same: bool) -> DataFrame:
         F.col("a.id").alias("id"),
         F.col("a.annotator").alias("annotator_a"), F.col("a.label").alias("label_a"),
         F.col("b.annotator").alias("annotator_b"), F.col("b.label").alias("label_b"),
-        F.when(F.col("a.size") >= F.col("b.size"), F.col("a.annotator")).otherwise(F.col("b.annotator")).alias("_from"),
+        F.when(longer_a, F.col("a.annotator")).otherwise(F.col("b.annotator")).alias("_from"),
+        F.when(longer_a, F.col("a.seq")).otherwise(F.col("b.seq")).alias("_seq"),
     )
-    # Texts join in only for the pairs that survive, instead of riding through the self-join twice.
-    texts = latest.select("id", F.col("annotator").alias("_from"), "text")
-    return (paired.join(texts, ["id", "_from"])
+    # Only lengths take part so far. Texts join by the row they come from, a key no two rows share, so they move once
+    # at most and a heavily annotated item does not gather in one task.
+    texts = anns.select("id", F.col("annotator").alias("_from"), F.col("seq").alias("_seq"), "text")
+    return (paired.join(texts, ["id", "_from", "_seq"])
             .select("id", "text", "annotator_a", "label_a", "annotator_b", "label_b"))
 
 
 def disagreements(anns: DataFrame, first: str = "seq") -> DataFrame:
     """All unordered annotator pairs of an item with different labels; the longer text represents the pair."""
-    return _pairs(latest_annotations(anns, first=first), same=False)
+    return _pairs(anns, False, first)
 
 
 def agreements(anns: DataFrame, first: str = "seq") -> DataFrame:
-    return _pairs(latest_annotations(anns, first=first), same=True)
+    return _pairs(anns, True, first)
 
 
 def queue_new(queue: DataFrame, logged: DataFrame, key: str = "id") -> DataFrame:

@@ -60,7 +60,7 @@ def tfidf_long(spark, sf):
 def ngram_range(spark, sf):
     rows = documents(spark, sf)
     low, high = G.effective_range(rows, 3, 5)
-    return rows.limit(1).select(F.lit(low).cast("long").alias("low"), F.lit(high).cast("long").alias("high"))
+    return spark.createDataFrame([(low, high)], "low long, high long")
 
 
 _WORDS = r"""SELECT word, count(*) AS n FROM (

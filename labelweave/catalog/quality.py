@@ -107,6 +107,6 @@ def validate_distributions(spark, sf):
     return Q.distributions(raw_rows(spark, sf), lang="lang", split="split", langs=LANGS)
 
 
-@query("missing_columns", "SELECT 'sentiment' AS \"column\", 'missing column' AS rule FROM documents LIMIT 1")
+@query("missing_columns", "SELECT 'sentiment' AS \"column\", 'missing column' AS rule, count(*) AS rows FROM documents")
 def missing_columns(spark, sf):
     return Q.missing_columns(raw_rows(spark, sf), optional=["group", "sentiment"])

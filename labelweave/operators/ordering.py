@@ -148,12 +148,12 @@ def value_at_rank(df: DataFrame, column: str, rank: Callable[[int], int], limit:
 
 
 def seq_span(df: DataFrame, seq: str = "seq") -> Column:
-    """Coarse position of a row in its source: at most SEQ_SPAN rows share it."""
+    """Coarse position of a row in its source: at most SEQ_SPAN records share it."""
     kind = df.schema[seq].dataType
     if isinstance(kind, StructType):
-        *outer, last = kind.fieldNames()
+        outer = kind.fieldNames()[:kind.fieldNames().index("pos")]
         return F.struct(*[F.col(f"{seq}.{f}").alias(f) for f in outer],
-                        F.floor(F.col(f"{seq}.{last}") / SEQ_SPAN).alias(last))
+                        F.floor(F.col(f"{seq}.pos") / SEQ_SPAN).alias("pos"))
     return F.floor(F.col(seq) / SEQ_SPAN)
 
 

@@ -26,6 +26,13 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
     return df
 
 
+def row_place(source_no: int, file: Column, pos: Column, part: Column | int = 0) -> Column:
+    """Sortable place of a row: source, file, position in the file, and part of a nested record."""
+    part = part if isinstance(part, Column) else F.lit(part)
+    return F.struct(F.lit(source_no).alias("source"), file.alias("file"), pos.cast("long").alias("pos"),
+                    part.cast("long").alias("part"))
+
+
 def rename_case_insensitive(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
     """Give the wanted columns their canonical spelling, whatever their case in the file."""
     by_lower = {c.lower(): c for c in df.columns}
@@ -38,11 +45,12 @@ def rename_case_insensitive(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a row count; a larger table keeps an ordinary (AQE skew-aware) join.
 
-    The table is persisted because the count and the join both need it.
+    A small table is persisted, because the count and the join both need it.
     """
-    df = df.persist()
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
+    kept = df.persist()
+    if kept.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(kept)
+    kept.unpersist()
     return df
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelweave.functions.labels import annotation_label, blank_to_null, canonical_split, is_blank, strip, upper_label
 from labelweave.operators.review import fill_uncertainty
-from labelweave.schema import LABELS, SPLITS, rename_case_insensitive, require_columns
+from labelweave.schema import LABELS, SPLITS, rename_case_insensitive, require_columns, row_place
 
 
 def file_format(path: str) -> str:
@@ -25,7 +25,7 @@ def file_format(path: str) -> str:
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, with_seq: bool = False, multiline: bool = True,
                source_no: int = 0) -> DataFrame:
-    """The file's columns, and with ``with_seq`` the place of each row as (source, file, position).
+    """The file's columns, and with ``with_seq`` the place of each row.
 
     Multi-line CSV keeps a file in one task; pass ``multiline=False``, or Parquet, for very large files.
     """
@@ -36,8 +36,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, with_seq:
                   .option("encoding", "UTF-8").option("enforceSchema", False))
     df = reader.format(fmt).load(path)
     if with_seq:
-        df = df.select("*", F.struct(F.lit(source_no).alias("source"), F.col("_metadata.file_path").alias("file"),
-                                     F.monotonically_increasing_id().alias("pos")).alias("seq"))
+        place = row_place(source_no, F.col("_metadata.file_path"), F.monotonically_increasing_id())
+        df = df.select("*", place.alias("seq"))
     return df.withColumnsRenamed({c: c.strip().lstrip("\ufeff") for c in df.columns})
 
 
@@ -126,9 +126,8 @@ def corpus_from_table(df: DataFrame, text: str = "text") -> DataFrame:
 
 def corpus_from_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """One row per line of text files."""
-    return spark.read.text(paths).select(F.col("value").alias("text"), F.struct(
-        F.lit(0).alias("source"), F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("pos")).alias("seq"))
+    place = row_place(0, F.col("_metadata.file_path"), F.monotonically_increasing_id())
+    return spark.read.text(paths).select(F.col("value").alias("text"), place.alias("seq"))
 
 
 def combine(*parts: DataFrame) -> DataFrame:

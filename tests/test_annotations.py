@@ -136,6 +136,19 @@ def test_csv_with_quotes_bom_and_lines(spark, tmp_path):
         T.file_format("x.xlsx")
 
 
+def test_two_sources_keep_their_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text,annotator,label\n1,t,x,POS\n1,t,x,NEG\n", encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps([{"id": 1, "text": "t", "annotations": [
+        {"completed_by": "x", "result": [{"value": {"choices": ["NEU"]}}]},
+        {"completed_by": "y", "result": [{"value": {"choices": ["POS"]}}]}]}]), encoding="utf-8")
+    both = T.combine(exports.read_annotations(spark, str(tmp_path / "a.csv")),
+                     exports.read_annotations(spark, str(tmp_path / "b.json"), source_no=1))
+    assert both.count() == 4
+    assert {r["annotator"]: r["label"] for r in A.latest_annotations(both).collect()} == {"x": "NEU", "y": "POS"}
+    pair = A.disagreements(both).first()
+    assert (pair["annotator_a"], pair["annotator_b"]) == ("x", "y")
+
+
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="annotator"):
         T.annotations(spark.createDataFrame([("1", "t", "POS")], "id string, text string, label string"))

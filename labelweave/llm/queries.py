@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labelweave.llm import chat, quality, warc
+from labelweave.llm import chat, packing, pieces, quality, warc
 from labelweave.llm.common import read
 
 
@@ -32,6 +33,16 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_quality_rules, op6_warc)}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed along the curve into sequences of at most 2048 ids, one row per piece."""
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 1).drop("ids")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: counts, checksum of the ids, and whether the text came back."""
+    return pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_packing, op4_quality_rules, op6_warc, op10_sentencepiece)}
 
 ORACLES: dict[str, str] = {}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelweave.llm import chat, packing, pieces, quality, warc
+from labelweave.llm import chat, packing, pieces, quality, secrets, toxicity, warc
 from labelweave.llm.common import read
 
 
@@ -38,11 +39,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 1).drop("ids")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; the fifth of the ids held out does not train."""
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's score; the value itself is given as a hash."""
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_no", "part", F.sha2("value", 256).alias("value_sha256"), F.char_length("value").alias("value_chars"),
+                        *secrets.FEATURES, "score", "is_secret")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: counts, checksum of the ids, and whether the text came back."""
     return pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_packing, op4_quality_rules, op6_warc, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_packing, op4_quality_rules, op5_toxicity, op6_warc, op8_secret_scan, op10_sentencepiece)}
 
 ORACLES: dict[str, str] = {}

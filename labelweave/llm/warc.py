@@ -3,8 +3,9 @@ r"""WARC archives on Spark: write records with duplicate payloads as revisits, r
 Writing uses Spark's text sink (its commit protocol, any file system it knows). A record's block is cut into segments of
 at most `segment_chars` characters; later segments are `continuation` records with the origin's id and their number, and
 the last one states the total length. The payload is framed with the chunked transfer coding. Chunks are cut wherever
-a payload holds the string that separates records, so the archive can be read in splits at that separator whatever the
-payloads say; a reader that goes by Content-Length reads the same records.
+a payload holds a record's version line, so the archive can be read in pieces at that line whatever the payloads say; a
+reader that goes by Content-Length reads the same records. (The line has no border, which Hadoop's reader of custom
+separators needs: one that begins with what it may follow, such as blank lines, is missed at buffer ends.)
 
 Reading takes the archives as text with that separator, checks Content-Length, groups records by origin id, orders
 them by segment number, verifies numbers and total length, and decodes the chunked framing.
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 from labelweave.llm.common import slices
 from labelweave.session import scratch_path
 
-# The WARC version line, and what stands between two records.
+# The WARC version line, which begins every record and which readers split at.
 VERSION = "WARC/1.1"
-SEPARATOR = f"\r\n\r\n{VERSION}\r\n"
+SEPARATOR = f"{VERSION}\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RESPONSE_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 LEAST_REVISIT_BYTES = 1000
@@ -52,7 +53,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
 
 def chunked(payload: str, chunk_chars: int = 4096) -> str:
     """Chunked transfer coding of a text, cut so that a version line, and with it a separator, never stands inside it."""
-    needle, out, at = f"{VERSION}\r\n", [], 0
+    needle, out, at = SEPARATOR, [], 0
     while at < len(payload):
         end = min(len(payload), at + chunk_chars)
         inside = payload.find(needle, at, end + len(needle))
@@ -90,7 +91,7 @@ def _record(headers: list[tuple[str, object]], block: str) -> str:
 
 
 def records_of(uid: str, page_id: int | None, url: str | None, html: str, refers_to: int | None, segment_chars: int) -> list[str]:
-    url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    url = (url or "").replace("\r", "%0D").replace("\n", "%0A").replace(VERSION, VERSION.replace("/", "%2F"))
     payload = html.encode()
     origin = f"<urn:uuid:{uid}>"
     common = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", url), ("WARC-Page-ID", page_id),
@@ -135,8 +136,6 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     def parse(text: str) -> dict:
         data = text.encode()
-        if data.startswith(f"{VERSION}\r\n".encode()):  # the first record of a file keeps its version line
-            data = data[len(VERSION) + 2:]
         head, _, block = data.partition(b"\r\n\r\n")
         h = dict(line.split(": ", 1) for line in head.decode().split("\r\n") if ": " in line)
         whole = lambda k: int(h[k]) if k in h else None

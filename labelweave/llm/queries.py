@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import chat, packing, pieces, quality, secrets, toxicity, warc
+from labelweave.llm import chat, packing, pieces, quality, secrets, suffixes, toxicity, warc
 from labelweave.llm.common import read
 
 
@@ -51,11 +51,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         *secrets.FEATURES, "score", "is_secret")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 50-byte strings removed from every document."""
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: counts, checksum of the ids, and whether the text came back."""
     return pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_packing, op4_quality_rules, op5_toxicity, op6_warc, op8_secret_scan, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_packing, op4_quality_rules, op5_toxicity, op6_warc, op8_secret_scan, op9_suffix_dedup, op10_sentencepiece)}
 
 ORACLES: dict[str, str] = {}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from labelweave.llm.common import settle, shuffle_width, slices
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 64
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 BLOCK = 1 << 20
 
 # Fixed value: separators that Python splits at but the tokenizer's pattern does not take for white space.
@@ -54,25 +54,37 @@ class WordIds:
         if suffix:
             self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         self.joined = bool(suffix)
+        # two generations each: what is met again in the older one moves to the newer one
         self.words: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {"": b""}
+        self.plain: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_plain: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _age(self) -> None:
         if len(self.words) > CACHED_WORDS:
-            self.words.clear()
+            self.words, self.old_words = {}, self.words
         if len(self.plain) > CACHED_WORDS:
-            self.plain = {"": b""}
+            self.plain, self.old_plain = {}, self.plain
+
+    def _learn(self, chunks: list[str]) -> None:
         split = {}
         for chunk in chunks:
-            m = _PLAIN.match(chunk) if self.joined else None
-            if m is None:
+            if chunk in self.old_words:
+                self.words[chunk] = self.old_words[chunk]
+            elif (m := _PLAIN.match(chunk) if self.joined else None) is None:
                 self.words[chunk] = self._encode(chunk)
             else:
                 split[chunk] = m[1].lower(), m[2]
-        new = [w for w in {w for pair in split.values() for w in pair} if w not in self.plain]
+        new = []
+        for w in {w for pair in split.values() for w in pair}:
+            if w not in self.plain:
+                if not w or w in self.old_plain:
+                    self.plain[w] = self.old_plain.get(w, b"")
+                else:
+                    new.append(w)
         for start in range(0, len(new), 4096):
             part = new[start:start + 4096]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
@@ -95,17 +107,22 @@ class WordIds:
                 out.append(self._encode(block))
                 continue
             chunks = block.split()
-            try:
-                out.append(b"".join(map(self.words.__getitem__, chunks)))
-            except KeyError:
-                self._learn({c for c in set(chunks) if c not in self.words})
-                missing = {c for c in set(chunks) if c not in self.words}
-                if missing:
-                    self._learn(missing)
-                out.append(b"".join(map(self.words.__getitem__, chunks)))
+            self._age()
+            self._learn([c for c in set(chunks) if c not in self.words])
+            out.append(b"".join(map(self.words.__getitem__, chunks)))
         return b"".join(out)
 
 
+_held: dict = {}
+
+
+def word_ids(path: str, dtype: str) -> WordIds:
+    """The encoder of a path, one per process, so that tasks share what their worker has learned."""
+    if (path, dtype) not in _held:
+        _held[path, dtype] = WordIds(path, np.dtype(dtype))
+    return _held[path, dtype]
+
+
 def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Index along the Hilbert curve of integer cells (rows x dimensions), by the transposed-axes construction."""
     x = cells.astype(np.int64).T.copy()
@@ -154,7 +171,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, dtype: str, text: str = "
                         F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordIds(path, np.dtype(dtype)), np.array([end_id], dtype).tobytes()
+        encoder, end = word_ids(path, dtype), np.array([end_id], dtype).tobytes()
         for batch in slices(batches):
             ids = [encoder.ids(t) + end for t in batch.column(2).to_pylist()]
             keys = curve_keys([np.frombuffer(i, dtype) for i in ids])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from labelweave.llm.common import slices
 
 MARK = "▁"
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 200_000
 LONG_CHUNK = 96
 
 # Piece kinds and field numbers of the model file format.
@@ -144,7 +144,9 @@ class Pieces:
             self.chunk = regex.compile(f"[{breaks}]|{MARK}+[^{MARK}{breaks}]*|[^{MARK}{breaks}]+" if breaks else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.bytes = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN
                       else t.encode() for t, k in zip(self.texts, self.kinds)]
+        # two generations: what is met again in the older one moves to the newer one
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _path(self, data: bytes, back: list[int], ids: list[int]) -> bytes:
         out, at = [], len(data)
@@ -230,8 +232,6 @@ class Pieces:
         return [self._path(c, b, i) for c, b, i in zip(chunks, back_list, id_list)]
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.cache) > CACHED_CHUNKS:
-            self.cache.clear()
         coded = sorted(((c, c.encode("utf-8", "replace")) for c in chunks), key=lambda x: len(x[1]))
         short = [x for x in coded if len(x[1]) <= LONG_CHUNK]
         for start in range(0, len(short), 4096):
@@ -242,12 +242,12 @@ class Pieces:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian 32-bit numbers."""
         split = [self.chunk.findall((MARK if self.prefix and t else "") + t.replace(" ", MARK)) for t in texts]
+        if len(self.cache) > CACHED_CHUNKS:
+            self.cache, self.old = {}, self.cache
         new = {c for chunks in split for c in chunks if c not in self.cache}
-        if new:
-            size = len(self.cache)
-            self._learn(new)
-            if len(self.cache) < size + len(new):  # the cache was emptied: learn what these texts need again
-                self._learn({c for chunks in split for c in chunks if c not in self.cache})
+        known = {c for c in new if c in self.old}
+        self.cache.update((c, self.old[c]) for c in known)
+        self._learn(new - known)
         return [b"".join(map(self.cache.__getitem__, chunks)) for chunks in split]
 
     def decode(self, ids: bytes) -> str:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelweave.llm import chat, packing, pieces, quality, secrets, suffixes, toxicity, warc
+from labelweave.llm import chat, jaccard, neighbours, packing, pieces, quality, secrets, suffixes, toxicity, warc
 from labelweave.llm.common import read
 
 
@@ -34,6 +34,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document, links at a similarity of 0.8 or more."""
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed along the curve into sequences of at most 2048 ids, one row per piece."""
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 1).drop("ids")
@@ -44,6 +49,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.95 or more."""
+    return neighbours.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document with the forest's score; the value itself is given as a hash."""
     found = secrets.scan(read(spark, sf_dir, "documents"))
@@ -61,6 +71,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_packing, op4_quality_rules, op5_toxicity, op6_warc, op8_secret_scan, op9_suffix_dedup, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op2_ngram_jaccard, op3_packing, op4_quality_rules, op5_toxicity, op6_warc, op7_embedding_near_dedup,
+    op8_secret_scan, op9_suffix_dedup, op10_sentencepiece)}
 
 ORACLES: dict[str, str] = {}

@@ -10,7 +10,7 @@ from labelweave.catalog.views import documents
 from labelweave.operators import corpus as C
 from labelweave.operators import ngrams as G
 
-_CLEAN = r"regexp_replace(text, '[\x{09}-\x{0d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2,}', ' ', 'g')"
+_CLEAN = r"regexp_replace(text, '[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2,}', ' ', 'g')"
 
 
 def sql_grams(nmin, nmax):

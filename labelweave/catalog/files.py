@@ -158,7 +158,7 @@ def _run_documents(spark, sf):
 
 
 def _runs(spark, sf):
-    docs = runs.read_runs(spark, [_run_documents(spark, sf)], glob="part-*")
+    docs = runs.read_runs(spark, [_run_documents(spark, sf)], pattern="part-[^/]*")
     return docs.withColumn("model", F.regexp_extract("model", "model=([^/]+)$", 1))
 
 

@@ -134,4 +134,4 @@ def annotation_intake(spark, sf):
 @query("annotation_intake_queue", with_views("annotations", f"SELECT id, annotator_a, label_a, annotator_b, label_b FROM ({_sql_pairs('<>')})", latest=LATEST))
 def annotation_intake_queue(spark, sf):
     # All rows of an id arrive in one file here, so the queue holds the final pairs.
-    return spark.read.parquet(f"{_intake(spark, sf)}/queue").select("id", "annotator_a", "label_a", "annotator_b", "label_b")
+    return S.current_queue(spark, _intake(spark, sf)).select("id", "annotator_a", "label_a", "annotator_b", "label_b")

@@ -60,9 +60,8 @@ def explain_rows(spark, sf):
 @query("request_records")
 def request_records(spark, sf):
     result = _trained(spark, sf)
-    accepted, _ = evaluation.accepted_and_rejected(documents(spark, sf))
-    out = evaluation.request_records(accepted.select("id", "text"), result.classifier, tau=0.6, importance=3)
-    return rounded(out.select("id", "pred_label", F.array_join("pred_set", ",").alias("pred_set"), "set_size", "entropy",
+    out = evaluation.request_records(documents(spark, sf).select("id", "text"), result.classifier, tau=0.6, importance=3, max_chars=4000)
+    return rounded(out.select("id", "reason", "pred_label", F.array_join("pred_set", ",").alias("pred_set"), "set_size", "entropy",
                               F.col("importance")[0]["feature"].alias("feature")), "entropy")
 
 

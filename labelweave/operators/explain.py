@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelweave.operators import ngrams as G
-from labelweave.operators.models import VOCABULARY_LIMIT, TextClassifier
-from labelweave.schema import broadcast_if_small
+from labelweave.operators.models import TextClassifier
 
 
 def top_features(weights: DataFrame, k: int = 50) -> DataFrame:
@@ -24,19 +21,29 @@ def top_features(weights: DataFrame, k: int = 50) -> DataFrame:
 
 def contributions(texts: DataFrame, weights: DataFrame, nmin: int, nmax: int, key: str = "id",
                   text: str = "text") -> DataFrame:
-    """(id, feature, label, contribution): unit-length TF-IDF value times class weight, zeros left out."""
-    table = weights.groupBy(F.col("feature").alias("gram"), "idf").agg(
+    """(id, feature, label, contribution): unit-length TF-IDF value times class weight, zeros left out.
+
+    N-grams that share a hashed column form one value of the norm; each brings its own part of it.
+    """
+    at = "column" if "column" in weights.columns else "feature"
+    table = weights.groupBy(F.col("feature").alias("gram"), F.col(at).cast("string").alias("_at"), "idf").agg(
         F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("_w"))
-    raw = (G.term_counts(texts, nmin, nmax, key, text).join(broadcast_if_small(table, VOCABULARY_LIMIT), "gram")
-           .select(key, "gram", "_w", (F.col("tf") * F.col("idf")).alias("_raw")))
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(key)))
-    return (raw.select(key, F.col("gram").alias("feature"), (F.col("_raw") / norm).alias("_x"),
-                       F.col("_w"))
-            .select(key, "feature", "_x", F.explode("_w").alias("label", "_weight"))
+    raw = (G.term_counts(texts, nmin, nmax, key, text).join(table, "gram")
+           .select(key, "gram", "_at", "_w", (F.col("tf") * F.col("idf")).alias("_raw")))
+    value = F.sum("_raw").over(W.partitionBy(key, "_at"))
+    first = F.row_number().over(W.partitionBy(key, "_at").orderBy("gram")) == 1
+    parts = raw.withColumn("_value", F.when(first, value)).withColumn(
+        "_norm", F.sqrt(F.sum(F.col("_value") * F.col("_value")).over(W.partitionBy(key))))
+    return (parts.select(key, F.col("gram").alias("feature"), (F.col("_raw") / F.col("_norm")).alias("_x"), F.explode("_w").alias("label", "_weight"))
             .select(key, "feature", "label", (F.col("_x") * F.col("_weight")).alias("contribution"))
             .where("contribution <> 0"))
 
 
+def _row_key() -> Column:
+    """Rows with one id and different texts are explained apart."""
+    return F.sha2(F.concat_ws("\x00", F.col("id").cast("string"), F.coalesce("normalized_text", F.lit(""))), 256)
+
+
 def top_contributions(parts: DataFrame, k: int = 5, by_size: bool = False, key: str = "id") -> DataFrame:
     """(id, label, importance): the k largest contributions per row and class as an array of (feature, weight)."""
     size = F.abs("contribution") if by_size else F.col("contribution")
@@ -59,29 +66,33 @@ def explain_misclassified(predictions: DataFrame, classifier: TextClassifier, nm
 
     Only wrong rows are cut into n-grams.
     """
-    wrong = predictions.where(F.col("label") != F.col("pred_label"))
+    wrong = predictions.where(F.col("label") != F.col("pred_label")).withColumn("_row", _row_key())
     weights = classifier.weights(predictions.sparkSession)
-    tops = top_contributions(contributions(wrong, weights, nmin, nmax, text="normalized_text"), k)
-    listed = tops.select("id", F.col("label").alias("_class"), _joined(F.col("importance")).alias("_top"))
-    found = wrong.select("id", "text", "label", "pred_label").join(listed, "id", "left")
+    parts = contributions(wrong.select("_row", "normalized_text").distinct(), weights, nmin, nmax, "_row", "normalized_text")
+    tops = top_contributions(parts, k, key="_row")
+    listed = tops.select("_row", F.col("label").alias("_class"), _joined(F.col("importance")).alias("_top"))
+    found = wrong.select("_row", "id", "text", "label", "pred_label").join(listed, "_row", "left")
 
     def of(column):
         return F.max(F.when(F.col("_class") == F.col(column), F.col("_top")))
 
-    return found.groupBy("id", "text", "label", "pred_label").agg(
-        of("pred_label").alias("top_pred_features"), of("label").alias("top_true_features"))
+    return found.groupBy("_row", "id", "text", "label", "pred_label").agg(
+        of("pred_label").alias("top_pred_features"), of("label").alias("top_true_features")).drop("_row")
 
 
 def importance_of_prediction(predictions: DataFrame, classifier: TextClassifier, nmin: int = 3, nmax: int = 5,
                              k: int = 5) -> DataFrame:
-    """(id, importance): the k n-grams of largest absolute contribution to the predicted class."""
+    """The rows with ``importance``: the k n-grams of largest absolute contribution to the predicted class."""
     weights = classifier.weights(predictions.sparkSession)
-    parts = contributions(predictions, weights, nmin, nmax, text="normalized_text")
-    of_prediction = parts.join(predictions.select("id", F.col("pred_label").alias("label")), ["id", "label"], "left_semi")
-    return top_contributions(of_prediction, k, by_size=True).select("id", "importance")
+    rows = predictions.withColumn("_row", _row_key())
+    asked = rows.select("_row", "normalized_text", "pred_label").distinct()
+    parts = contributions(asked, weights, nmin, nmax, "_row", "normalized_text")
+    of_prediction = parts.join(asked.select("_row", F.col("pred_label").alias("label")), ["_row", "label"], "left_semi")
+    found = top_contributions(of_prediction, k, by_size=True, key="_row").select("_row", "importance")
+    return rows.join(found, "_row", "left").drop("_row")
 
 
 def ngram_range(classifier: TextClassifier) -> tuple[int, int]:
     """Shortest and longest n-gram of the fitted vocabulary."""
-    sizes: Sequence[int] = [len(t) for t in classifier.vocabulary() or [""]]
+    sizes = [len(t) for t in classifier.vocabulary()] or [1]
     return min(sizes), max(sizes)

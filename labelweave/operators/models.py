@@ -9,8 +9,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, HashingTF, IDF, Normalizer, SQLTransformer,
-                                VectorAssembler)
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -25,8 +24,7 @@ from labelweave.operators import metrics as M
 from labelweave.operators import ngrams as G
 from labelweave.schema import LABELS, keyed_hash, spread
 
-# A larger vocabulary is hashed into this many columns, so every n-gram still counts.
-VOCABULARY_LIMIT = 1 << 18
+FEATURE_KINDS = ("vocabulary", "hashed")
 
 
 @dataclass(frozen=True)
@@ -42,6 +40,8 @@ class TrainConfig:
     resample: str = "none"
     resample_ratio: float = 1.0
     seed: int = 42
+    features: str = "vocabulary"
+    num_features: int = 1 << 18
     norm: NormConfig = field(default_factory=NormConfig)
 
 
@@ -51,41 +51,63 @@ def _gram_sql(nmin: int, nmax: int) -> str:
 
 
 def _clean_sql(text: str) -> str:
-    return rf"SELECT *, regexp_replace({text}, '(?U)\\s{{2,}}', ' ') AS _clean FROM __THIS__"
+    run = G.SPACE_RUN.replace("\\", "\\\\")
+    return f"SELECT *, regexp_replace({text}, '{run}', ' ') AS _clean FROM __THIS__"
 
 
-def fit_features(train: DataFrame, cfg: TrainConfig, text: str = "_norm", limit: int = VOCABULARY_LIMIT) -> PipelineModel:
-    """TF-IDF features fitted on the training texts.
+def bucket_of(gram: Column, num_features: int) -> Column:
+    """Column of a hashed n-gram."""
+    return F.pmod(F.xxhash64(gram), F.lit(num_features))
+
+
+def _bucket_sql(num_features: int) -> str:
+    """Kept n-grams of a row as the names of their columns."""
+    return (f"SELECT * EXCEPT (_grams), transform(_grams, g -> cast(pmod(xxhash64(g), {num_features}L) AS string)) AS _grams "
+            "FROM __THIS__")
+
+
+def fit_features(train: DataFrame, cfg: TrainConfig, text: str = "_norm") -> tuple[PipelineModel, list[tuple[str, int]]]:
+    """TF-IDF features fitted on the training texts, and the (n-gram, column) pairs behind them.
 
     Range and min_df shrink for tiny data; an empty vocabulary falls back to n-grams of length 1 to 3 without a
-    frequency floor. The vocabulary is part of the model and is read to the driver only up to ``limit`` entries.
+    frequency floor. What the features are is the caller's word and never depends on the size of the vocabulary:
+
+    * ``vocabulary``: one column per n-gram found in at least ``min_df`` texts.
+    * ``hashed``: ``num_features`` columns. An n-gram below the floor weighs nothing unless it shares its column with
+      one above it; the kept n-grams keep their names, so weights and explanations work as for a vocabulary.
     """
+    if cfg.features not in FEATURE_KINDS:
+        raise ValueError(f"unknown features {cfg.features!r}")
     n_docs = train.count()
     if n_docs == 0:
         raise ValueError("empty training split")
     nmin, nmax = G.effective_range(train, cfg.ngram_min, cfg.ngram_max, text)
     min_df = cfg.min_df if n_docs >= cfg.min_df else max(1, n_docs)
-    vocabulary = G.document_frequency(train, nmin, nmax, min_df, text=text).persist()
-    size = vocabulary.count()
-    if size == 0:
+    vocabulary = G.document_frequency(train, nmin, nmax, min_df, text=text)
+    if vocabulary.isEmpty():
         longest = train.agg(F.max(F.length(text)).alias("m")).first()["m"]
         nmin, nmax, min_df = 1, min(3, longest), 1
-        vocabulary = G.document_frequency(train, nmin, nmax, min_df, text=text).persist()
-        size = vocabulary.count()
+        vocabulary = G.document_frequency(train, nmin, nmax, min_df, text=text)
     cut = [SQLTransformer(statement=_clean_sql(text)), SQLTransformer(statement=_gram_sql(nmin, nmax))]
-    if size > limit:
-        hashed = HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=limit)
-        counted = hashed.transform(PipelineModel(cut).transform(train))
-        inverse = IDF(inputCol="_tf", outputCol="_raw").fit(counted).idf.toArray() + 1.0
-        stages = [*cut, hashed]
+    if cfg.features == "hashed":
+        # a column counts a text once however many of its n-grams the text holds
+        named = vocabulary.select("gram", bucket_of(F.col("gram"), cfg.num_features).cast("int").alias("at"))
+        terms = sorted((r["gram"], r["at"]) for r in named.toLocalIterator())
+        counted = PipelineModel([*cut, SQLTransformer(statement=_bucket_sql(cfg.num_features))]).transform(train)
+        df = {int(r["b"]): r["n"] for r in counted.select(F.explode(F.array_distinct("_grams")).alias("b")).groupBy("b")
+              .agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+        kept = {at for _, at in terms}
+        inverse = [math.log((1 + n_docs) / (1 + df.get(i, 0))) + 1.0 if i in kept else 0.0 for i in range(cfg.num_features)]
+        names = [str(i) for i in range(cfg.num_features)]
+        stages = [*cut, SQLTransformer(statement=_bucket_sql(cfg.num_features))]
     else:
-        terms = sorted((r["gram"], r["df"]) for r in vocabulary.collect())
-        inverse = [math.log((1 + n_docs) / (1 + df)) + 1.0 for _, df in terms]
-        counter = CountVectorizerModel.from_vocabulary([g for g, _ in terms], inputCol="_grams", outputCol="_tf")
-        stages = [*cut, counter]
-    vocabulary.unpersist()
+        found = sorted((r["gram"], r["df"]) for r in vocabulary.toLocalIterator())
+        terms = [(g, i) for i, (g, _) in enumerate(found)]
+        inverse = [math.log((1 + n_docs) / (1 + df)) + 1.0 for _, df in found]
+        names, stages = [g for g, _ in found], cut
+    counter = CountVectorizerModel.from_vocabulary(names, inputCol="_grams", outputCol="_tf")
     weigh = ElementwiseProduct(scalingVec=Vectors.dense(inverse), inputCol="_tf", outputCol="_raw")
-    return PipelineModel([*stages, weigh, Normalizer(p=2.0, inputCol="_raw", outputCol="features")])
+    return PipelineModel([*stages, counter, weigh, Normalizer(p=2.0, inputCol="_raw", outputCol="features")]), terms
 
 
 def row_weights(train: DataFrame, class_weight: str | dict, label: str = "label") -> Column:
@@ -121,21 +143,22 @@ class Calibrator:
     lines: dict = field(default_factory=dict)
     steps: dict = field(default_factory=dict)
 
-    def apply(self, df: DataFrame, classes: Sequence[str]) -> DataFrame:
+    def apply(self, df: DataFrame, classes: Sequence[str], logits: str = "logits", proba: str = "proba") -> DataFrame:
+        """Adds or replaces the ``proba`` map from the ``logits`` map."""
         if self.method == "temperature":
-            return df.withColumn("proba", P.softmax("logits", self.temperature))
+            return df.withColumn(proba, P.softmax(logits, self.temperature))
         if self.method == "platt":
-            parts = {l: 1 / (1 + F.exp(-(F.element_at("logits", F.lit(l)) * a + b))) for l, (a, b) in self.lines.items()}
+            parts = {l: 1 / (1 + F.exp(-(F.element_at(logits, F.lit(l)) * a + b))) for l, (a, b) in self.lines.items()}
             df = df.withColumns({f"_c{i}": parts[l] for i, l in enumerate(classes)})
         else:
             for i, l in enumerate(classes):
-                df = df.withColumn("_s", F.element_at("logits", F.lit(l)))
+                df = df.withColumn("_s", F.element_at(logits, F.lit(l)))
                 df = self.steps[l].setPredictionCol(f"_c{i}").transform(df).drop("_s")
         total = sum(F.col(f"_c{i}") for i in range(len(classes)))
         fair = F.lit(1.0 / len(classes))
         shares = [x for i, l in enumerate(classes)
                   for x in (F.lit(l), F.when(total > 0, F.col(f"_c{i}") / total).otherwise(fair))]
-        return df.withColumn("proba", F.create_map(*shares)).drop(*[f"_c{i}" for i in range(len(classes))])
+        return df.withColumn(proba, F.create_map(*shares)).drop(*[f"_c{i}" for i in range(len(classes))])
 
 
 def fit_calibrator(scored: DataFrame, method: str, classes: Sequence[str], label: str = "label") -> Calibrator:
@@ -165,6 +188,7 @@ class TextClassifier:
     classes: list[str]
     norm: NormConfig = field(default_factory=NormConfig)
     calibrators: list = field(default_factory=list)
+    terms: list = field(default_factory=list)
 
     def vectorize(self, df: DataFrame, text: str = "text") -> DataFrame:
         out = self.features.transform(df.withColumn("_norm", normalize(text, self.norm)))
@@ -174,47 +198,43 @@ class TextClassifier:
         """Adds normalized_text, logits and proba (maps by label), pred_label, confidence and margin."""
         return add_prediction(self._probabilities(self.vectorize(df, text))).withColumnRenamed("_norm", "normalized_text")
 
-    def _probabilities(self, rows: DataFrame) -> DataFrame:
+    def _head(self, model: LogisticRegressionModel, rows: DataFrame, logits: str, proba: str) -> DataFrame:
         names = F.array(*[F.lit(c) for c in self.classes])
-        scored = self.model.transform(rows)
-        scored = scored.withColumns({
-            "logits": F.map_from_arrays(names, vector_to_array("rawPrediction")),
-            "proba": F.map_from_arrays(names, vector_to_array("probability")),
-        }).drop("rawPrediction", "probability", "prediction", "features")
-        if not self.calibrators:
-            return scored
+        return model.transform(rows).withColumns({
+            logits: F.map_from_arrays(names, vector_to_array("rawPrediction")),
+            proba: F.map_from_arrays(names, vector_to_array("probability")),
+        }).drop("rawPrediction", "probability", "prediction")
+
+    def _probabilities(self, rows: DataFrame) -> DataFrame:
+        """Every head and calibrator runs over the same rows, one after the other; nothing is joined."""
+        scored = self._head(self.model, rows, "logits", "proba")
         if len(self.calibrators) == 1 and self.calibrators[0][0] is None:
-            return self.calibrators[0][1].apply(scored, self.classes)
-        for i, (member, calibrator) in enumerate(self.calibrators):
-            part = TextClassifier(self.features, member, self.classes)._probabilities(rows.select("id", "features"))
-            part = calibrator.apply(part, self.classes).select("id", F.col("proba").alias(f"_p{i}"))
-            scored = scored.join(part, "id")
-        mean = F.create_map(*[x for l in self.classes for x in (F.lit(l), sum(
-            F.element_at(f"_p{i}", F.lit(l)) for i in range(len(self.calibrators))) / len(self.calibrators))])
-        return scored.withColumn("proba", mean).drop(*[f"_p{i}" for i in range(len(self.calibrators))])
-
-    def vocabulary(self) -> list[str] | None:
-        for stage in self.features.stages:
-            if isinstance(stage, CountVectorizerModel):
-                return stage.vocabulary
-        return None
+            scored = self.calibrators[0][1].apply(scored, self.classes)
+        elif self.calibrators:
+            for i, (member, calibrator) in enumerate(self.calibrators):
+                scored = calibrator.apply(self._head(member, scored, f"_l{i}", f"_p{i}"), self.classes, f"_l{i}", f"_p{i}")
+            mean = F.create_map(*[x for l in self.classes for x in (F.lit(l), sum(
+                F.element_at(f"_p{i}", F.lit(l)) for i in range(len(self.calibrators))) / len(self.calibrators))])
+            scored = scored.withColumn("proba", mean).drop(*[f"_{c}{i}" for i in range(len(self.calibrators)) for c in "lp"])
+        return scored.drop("features")
+
+    def vocabulary(self) -> list[str]:
+        return [g for g, _ in self.terms]
 
     def weights(self, spark) -> DataFrame:
-        """(feature, idf, label, weight) rows; as many as the model has coefficients."""
-        terms = self.vocabulary()
-        if terms is None:
-            raise ValueError("hashed features have no names")
+        """(feature, idf, label, weight, column) rows, one per n-gram and class; n-grams of one hashed column share its weight."""
         idf = next(s for s in self.features.stages if isinstance(s, ElementwiseProduct)).getScalingVec().toArray()
         matrix = self.model.coefficientMatrix.toArray()
-        rows = [(t, float(idf[j]), [float(w) for w in matrix[:, j]]) for j, t in enumerate(terms)]
-        table = spark.createDataFrame(rows, "feature string, idf double, w array<double>")
+        rows = ((t, j, float(idf[j]), [float(w) for w in matrix[:, j]]) for t, j in self.terms)
+        table = spark.createDataFrame(list(rows), "feature string, column int, idf double, w array<double>")
         return table.select("feature", "idf", F.inline(F.array(*[
-            F.struct(F.lit(c).alias("label"), F.col("w")[i].alias("weight")) for i, c in enumerate(self.classes)])))
+            F.struct(F.lit(c).alias("label"), F.col("w")[i].alias("weight")) for i, c in enumerate(self.classes)])), "column")
 
     def save(self, path: str) -> None:
         spark = _active_session()
         self.features.write().overwrite().save(f"{path}/features")
         self.model.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame(self.terms, "gram string, at int").write.mode("overwrite").parquet(f"{path}/terms")
         meta = {"classes": self.classes, "norm": asdict(self.norm), "calibrators": []}
         for i, (member, cal) in enumerate(self.calibrators):
             if member is not None:
@@ -238,8 +258,9 @@ class TextClassifier:
             member = LogisticRegressionModel.load(f"{path}/member_{i}") if c["own"] else None
             lines = {k: tuple(v) for k, v in c["lines"].items()}
             calibrators.append((member, Calibrator(c["method"], c["temperature"], lines, steps)))
+        terms = sorted((r["gram"], r["at"]) for r in spark.read.parquet(f"{path}/terms").toLocalIterator())
         return cls(PipelineModel.load(f"{path}/features"), LogisticRegressionModel.load(f"{path}/model"),
-                   meta["classes"], NormConfig(**meta["norm"]), calibrators)
+                   meta["classes"], NormConfig(**meta["norm"]), calibrators, terms)
 
 
 def _active_session():
@@ -257,11 +278,11 @@ def fit(train: DataFrame, cfg: TrainConfig = TrainConfig(), val: DataFrame | Non
     """Train on (id, text, label); calibrate on ``val``, or over folds of ``train`` when cfg.folds > 1."""
     rows = (spread(train.select("id", "label", "text"), "id")
             .withColumn("_norm", normalize("text", cfg.norm)).drop("text").persist())
-    features = fit_features(rows, cfg)
+    features, terms = fit_features(rows, cfg)
     vectors = features.transform(rows).select("id", "label", "features").persist()
     sample = resampler(vectors) if resampler else vectors
     model, classes = fit_classifier(sample, cfg)
-    out = TextClassifier(features, model, classes, cfg.norm)
+    out = TextClassifier(features, model, classes, cfg.norm, terms=terms)
     if cfg.calibrate != "none":
         if cfg.folds > 1 and cfg.calibrate != "temperature":
             out.calibrators = [_fold(vectors, out, cfg, k) for k in range(cfg.folds)]
@@ -269,7 +290,9 @@ def fit(train: DataFrame, cfg: TrainConfig = TrainConfig(), val: DataFrame | Non
             if val is None or val.isEmpty():
                 raise ValueError("calibration needs validation rows")
             scored = out._probabilities(out.vectorize(val).select("id", "label", "features"))
-            out.calibrators = [(None, fit_calibrator(scored.persist(), cfg.calibrate, classes))]
+            scored = scored.persist()
+            out.calibrators = [(None, fit_calibrator(scored, cfg.calibrate, classes))]
+            scored.unpersist()
     vectors.unpersist()
     rows.unpersist()
     return out
@@ -282,7 +305,10 @@ def _fold(vectors: DataFrame, whole: TextClassifier, cfg: TrainConfig, k: int):
     if classes != whole.classes:
         raise ValueError("a fold misses a class")
     part = TextClassifier(whole.features, member, classes)
-    return member, fit_calibrator(part._probabilities(vectors.where(fold == k)).persist(), cfg.calibrate, classes)
+    scored = part._probabilities(vectors.where(fold == k)).persist()
+    fitted = fit_calibrator(scored, cfg.calibrate, classes)
+    scored.unpersist()
+    return member, fitted
 
 
 @dataclass
@@ -308,25 +334,24 @@ class LanguageRouted:
         return add_prediction(out).withColumnRenamed("_norm", "normalized_text")
 
 
-def fit_language_routed(train: DataFrame, cfg: TrainConfig = TrainConfig(), langs: Sequence[str] | None = None,
-                        max_langs: int = 100) -> LanguageRouted:
-    """Heads for the listed languages, or for those present; a language with a single class uses the default head."""
+def fit_language_routed(train: DataFrame, cfg: TrainConfig = TrainConfig(), langs: Sequence[str] | None = None) -> LanguageRouted:
+    """Heads for the listed languages, or for those present; a language with a single class uses the default head.
+
+    One model is fitted per language, so a column of codes is meant, not free text.
+    """
     lower = F.lower("lang")
     if langs is None:
-        found = train.where("lang is not null").select(lower.alias("l")).distinct().limit(max_langs + 1).collect()
-        if len(found) > max_langs:
-            raise ValueError("more languages than heads; name the ones to route")
-        langs = sorted(r["l"] for r in found)
+        langs = sorted(r["l"] for r in train.where("lang is not null").select(lower.alias("l")).distinct().collect())
     rows = spread(train.select("id", "label", lower.alias("_lang"), "text"), "id").withColumn(
         "_norm", normalize("text", cfg.norm)).drop("text").persist()
-    features = fit_features(rows, cfg)
+    features, terms = fit_features(rows, cfg)
     vectors = features.transform(rows).select("id", "label", "_lang", "features").persist()
-    default = TextClassifier(features, *fit_classifier(vectors, cfg), cfg.norm)
+    default = TextClassifier(features, *fit_classifier(vectors, cfg), cfg.norm, terms=terms)
     heads = {}
     for l in langs:
         part = vectors.where(F.col("_lang") == l.lower())
         if part.select("label").distinct().limit(2).count() == 2:
-            heads[l.lower()] = TextClassifier(features, *fit_classifier(part, cfg), cfg.norm)
+            heads[l.lower()] = TextClassifier(features, *fit_classifier(part, cfg), cfg.norm, terms=terms)
     vectors.unpersist()
     rows.unpersist()
     return LanguageRouted(default, heads)

@@ -7,16 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelweave.functions.labels import as_column
+from labelweave.functions.normalize import WHITESPACE_RUN
 from labelweave.schema import VOCABULARY_ROWS, broadcast_if_small, spread
 
 DEFAULT_RANGE = (3, 5)
 
 # Two or more white-space characters count as one blank before n-grams are cut.
-_SPACE_RUN = r"(?U)\s{2,}"
+SPACE_RUN = WHITESPACE_RUN.removesuffix("+") + "{2,}"
 
 
 def collapse_spaces(text: Column | str) -> Column:
-    return F.regexp_replace(as_column(text), _SPACE_RUN, " ")
+    return F.regexp_replace(as_column(text), SPACE_RUN, " ")
 
 
 def char_ngrams(text: Column | str, nmin: int = 3, nmax: int = 5) -> Column:

@@ -177,6 +177,11 @@ def hold_out(df: DataFrame, share: float, seed: int = 42, key: Sequence[str] = (
             .drop("cut_held"))
 
 
+def _class_of(label: str) -> Column:
+    """The class of a row; rows without a label form one of their own."""
+    return F.coalesce(F.col(label).cast("string"), F.lit("\x00"))
+
+
 def undersample(df: DataFrame, ratio: float = 1.0, seed: int = 42, key: Sequence[str] = ("id",),
                 label: str = "label") -> DataFrame:
     """At most round(smallest class * ratio) rows per class; a target of 0 means the smallest class."""
@@ -184,8 +189,9 @@ def undersample(df: DataFrame, ratio: float = 1.0, seed: int = 42, key: Sequence
         wanted = F.bround(F.col("n_min") * F.lit(max(0.0, ratio)))
         return {"keep": F.least(n, F.when(wanted <= 0, F.col("n_min")).otherwise(wanted))}
 
-    cuts = hash_cuts(df, [label], seed, key, targets).select(label, "cut_keep")
-    return (with_cuts(df, cuts, [label]).where(hash_position(seed, *key) <= F.col("cut_keep")).select(*df.columns))
+    rows = df.withColumn("_class", _class_of(label))
+    cuts = hash_cuts(rows, ["_class"], seed, key, targets).select("_class", "cut_keep")
+    return (with_cuts(rows, cuts, ["_class"]).where(hash_position(seed, *key) <= F.col("cut_keep")).select(*df.columns))
 
 
 def oversample(df: DataFrame, ratio: float = 1.0, seed: int = 42, key: Sequence[str] = ("id",),
@@ -198,9 +204,10 @@ def oversample(df: DataFrame, ratio: float = 1.0, seed: int = 42, key: Sequence[
         wanted = F.greatest(n, F.bround(F.col("n_max") * F.lit(max(1.0, ratio))).cast("long"))
         return {"rest": wanted % n, "times": F.floor(wanted / n)}
 
-    cuts = hash_cuts(df, [label], seed, key, targets).select(label, "cut_rest", "target_times").persist()
+    classed = df.withColumn("_class", _class_of(label))
+    cuts = hash_cuts(classed, ["_class"], seed, key, targets).select("_class", "cut_rest", "target_times").persist()
     extra = F.when(hash_position(seed, *key) <= F.col("cut_rest"), 1).otherwise(0)
-    rows = with_cuts(df, cuts, [label]).withColumn("_copies", F.col("target_times") + extra)
+    rows = with_cuts(classed, cuts, ["_class"]).withColumn("_copies", F.col("target_times") + extra)
     # Copies are made in blocks; when a rare class needs several blocks per row, they are spread over the cluster.
     last_block = F.floor((F.col("_copies") - 1) / COPY_BLOCK)
     rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))

@@ -41,15 +41,21 @@ def analyse_errors(scored: DataFrame, labels: Sequence[str] = LABELS, slice_colu
 
 
 def request_records(df: DataFrame, classifier: TextClassifier, tau: float = X.DEFAULT_TAU, top_k: int = 3,
-                    importance: int = 0) -> DataFrame:
+                    importance: int = 0, max_chars: int | None = None) -> DataFrame:
     """Everything a caller gets for one text: normalised text, probabilities, label, set, uncertainty, top classes,
-    and with ``importance`` the n-grams that carried the prediction."""
+    and with ``importance`` the n-grams that carried the prediction.
+
+    With ``max_chars`` texts that may not be scored are returned too, with their ``reason`` and nothing else.
+    """
+    if max_chars is not None:
+        accepted, rejected = accepted_and_rejected(df, max_chars)
+        answered = request_records(accepted, classifier, tau, top_k, importance).withColumn("reason", F.lit(None).cast("string"))
+        return answered.unionByName(rejected, allowMissingColumns=True)
     scored = X.prediction_sets(classifier.score(df), tau, sorted(classifier.classes))
     out = scored.withColumns({"entropy": P.entropy("proba"), "max_proba": P.confidence("proba"),
                               "top": P.top_classes("proba", top_k), "tau": F.lit(float(tau))})
     if importance > 0:
-        found = E.importance_of_prediction(scored, classifier, *E.ngram_range(classifier), k=importance)
-        out = out.join(found, "id", "left")
+        out = E.importance_of_prediction(out, classifier, *E.ngram_range(classifier), k=importance)
     return out
 
 
@@ -79,7 +85,7 @@ def stress_test(df: DataFrame, classifier: TextClassifier, preset: str, severity
 
     Texts are normalised first and perturbed afterwards, so the model sees the perturbation as it is.
     """
-    plain = TextClassifier(classifier.features, classifier.model, classifier.classes, calibrators=classifier.calibrators)
+    plain = TextClassifier(classifier.features, classifier.model, classifier.classes, calibrators=classifier.calibrators, terms=classifier.terms)
     noisy = df.withColumn("text", T.perturb(preset, normalize("text", classifier.norm), "id", severity, prob, seed))
     scored = plain.score(noisy)
     return M.overall_and_per_category(scored, category), scored

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,16 +11,26 @@ from pyspark.sql import functions as F
 from labelweave.functions.labels import number
 
 
-def read_runs(spark: SparkSession, paths: Sequence[str], glob: str = "*.json") -> DataFrame:
-    """(model, doc) for every readable metrics.json; ``model`` is its folder. Each file counts once.
+METRICS = r"metrics\.json(?:/part-[^/]*)?"
 
+
+def read_runs(spark: SparkSession, paths: Sequence[str], pattern: str = METRICS) -> DataFrame:
+    """(model, doc, place) for every readable metrics document at or below the paths; ``model`` is its folder.
+
+    Paths are documents, folders, or globs of either. A document is a file ``metrics.json``, or a folder of that name as
+    the writer leaves it. Each counts once; ``place`` orders documents by the path that names them first, then by name.
     Unreadable documents have no row.
     """
-    files = spark.read.text(list(dict.fromkeys(paths)), wholetext=True, pathGlobFilter=glob)
-    path = F.col("_metadata.file_path")
-    named = files.select(F.regexp_replace(path, "/[^/]*$", "").alias("model"), path.alias("file"),
-                         F.try_parse_json("value").alias("doc"))
-    return named.where("doc is not null").dropDuplicates(["file"]).select("model", "doc")
+    found = None
+    for place, given in enumerate(dict.fromkeys(p.rstrip("/") for p in paths)):
+        files = (spark.read.option("recursiveFileLookup", True).text(given, wholetext=True)
+                 .select(F.col("_metadata.file_path").alias("file"), "value").where(F.col("file").rlike(f"/{pattern}$")))
+        rows = files.select("file", F.lit(place).alias("at"), F.try_parse_json("value").alias("doc"))
+        found = rows if found is None else found.unionAll(rows)
+    if found is None:
+        return spark.createDataFrame([], "model string, place struct<at: int, file: string>").select("model", F.parse_json(F.lit("{}")).alias("doc"), "place")
+    once = found.where("doc is not null").groupBy("file").agg(F.min("at").alias("at"), F.any_value("doc").alias("doc"))
+    return once.select(F.regexp_replace("file", f"/{pattern}$", "").alias("model"), "doc", F.struct("at", "file").alias("place"))
 
 
 def _at(path: str) -> Column:
@@ -82,8 +93,8 @@ def model_listing(spark: SparkSession, root: str, runs: DataFrame) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     marks = files.select(
-        F.regexp_extract("path", rf"^(.*?{_tail(root)}/[^/]+)/", 1).alias("model"),
-        F.regexp_extract("path", rf"{_tail(root)}/[^/]+/([^/]+)", 1).alias("entry"))
+        F.regexp_extract("path", rf"^(.*?/{_tail(root)}/[^/]+)/", 1).alias("model"),
+        F.regexp_extract("path", rf"/{_tail(root)}/[^/]+/([^/]+)", 1).alias("entry"))
     has = marks.groupBy("model").agg(*[F.max((F.col("entry") == e).cast("int")).alias(f"_{i}") for i, e in enumerate(
         ("features", "model", "config.json", "metrics.json"))])
     kind = F.when((F.col("_0") == 1) & (F.col("_1") == 1), "linear").when(F.col("_2") == 1, "plugin")
@@ -94,7 +105,7 @@ def model_listing(spark: SparkSession, root: str, runs: DataFrame) -> DataFrame:
 
 
 def _tail(root: str) -> str:
-    return root.rstrip("/").rsplit("/", 1)[-1]
+    return re.escape(root.rstrip("/").rsplit("/", 1)[-1])
 
 
 def top_runs(rows: DataFrame, k: int = 10) -> DataFrame:

@@ -11,14 +11,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from labelweave.operators import agreement as A
 from labelweave.operators import quality as Q
 from labelweave.operators.resolve import resolve
 from labelweave.plans.evaluation import accepted_and_rejected
 
-# Buckets of the label table; a micro-batch reads only the buckets its ids fall into.
+# Buckets of the label table; a micro-batch reads only the buckets its ids fall into. Size them to the number of ids.
 BUCKETS = 16
 
 
@@ -60,8 +59,8 @@ def check_stream(stream: DataFrame, out: str, once: bool = True, **rules) -> Str
     return _start(marked, handle, f"{out}/checkpoint", once)
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def _labels_upto(spark: SparkSession, out: str, batch: int, buckets: Sequence[int] | None = None) -> DataFrame:
@@ -69,31 +68,33 @@ def _labels_upto(spark: SparkSession, out: str, batch: int, buckets: Sequence[in
     return rows if buckets is None else rows.where(F.col("bucket").isin(list(buckets)))
 
 
-def annotation_stream(stream: DataFrame, out: str, once: bool = True) -> StreamingQuery:
-    """Keep the last label per (id, annotator) and queue new disagreements.
+def annotation_stream(stream: DataFrame, out: str, once: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the last label per (id, annotator) and the pairs that disagree.
 
     A micro-batch is folded per key and added to the label table. Only ids of the batch are looked at again, and only
-    their buckets are read; pairs queued before are not queued twice.
+    their buckets are read. Their disagreements are written anew under the batch's number, so a pair that a new label
+    settles goes and one that it opens comes; ``current_queue`` takes each id from the last batch that touched it.
     """
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         folded = A.latest_annotations(batch, keep=("text", "seq")).withColumnRenamed("pos", "first_seq")
-        _put(folded.select("*", _bucket()).repartition("bucket"), f"{out}/labels", number, ["bucket"])
+        _put(folded.select("*", _bucket(buckets)).repartition("bucket"), f"{out}/labels", number, ["bucket"])
         fresh = spark.read.parquet(f"{out}/labels/batch={number}").select("id", "bucket").distinct().persist()
         touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
         known = _labels_upto(spark, out, number, touched).join(fresh, ["id", "bucket"], "left_semi")
-        pairs = A.disagreements(known, first="first_seq")
-        if number > 0:
-            stored = StructType([*pairs.schema.fields, StructField("batch", IntegerType())])
-            earlier = spark.read.schema(stored).parquet(f"{out}/queue").where(F.col("batch") < number)
-            pairs = pairs.join(earlier.select("id", "annotator_a", "annotator_b"), ["id", "annotator_a", "annotator_b"],
-                               "left_anti")
-        _put(pairs, f"{out}/queue", number)
+        _put(A.disagreements(known, first="first_seq"), f"{out}/queue", number)
+        _put(fresh.select("id"), f"{out}/touched", number)
         fresh.unpersist()
 
     return _start(stream, handle, f"{out}/checkpoint", once)
 
 
+def current_queue(spark: SparkSession, out: str) -> DataFrame:
+    """The pairs that disagree after all micro-batches: what the batch operator finds in all rows at once."""
+    last = spark.read.parquet(f"{out}/touched").groupBy("id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/queue").join(last, ["id", "batch"], "left_semi").drop("batch")
+
+
 def current_labels(spark: SparkSession, out: str) -> DataFrame:
     """Last label per (id, annotator) over all micro-batches."""
     rows = spark.read.parquet(f"{out}/labels")

@@ -131,3 +131,11 @@ def test_previous_value_across_spans(spark, monkeypatch):
     assert out[("a", 0)] is None and out[("b", 30)] is None
     assert all(out[("a", i)] == str(i - 1) for i in range(1, 20))
     assert [r["seq"] for r in O.last_rows(rows, 0.3).orderBy("seq").collect()] == [15, 16, 17, 18, 19, 30]
+
+
+def test_rows_without_a_label_are_resampled_too(spark):
+    rows = spark.createDataFrame([(str(i), None if i < 8 else "POS" if i < 20 else "NEG") for i in range(40)], "id string, label string")
+    over = {r["label"]: r["count"] for r in S.oversample(rows, 1.0).groupBy("label").count().collect()}
+    assert over == {None: 20, "POS": 20, "NEG": 20}
+    under = {r["label"]: r["count"] for r in S.undersample(rows, 10.0).groupBy("label").count().collect()}
+    assert under == {None: 8, "POS": 12, "NEG": 20}

@@ -16,12 +16,23 @@ def test_labels_arrive_late_and_change(spark, tmp_path):
     S.annotation_stream(as_stream(spark, anns, str(tmp_path / "in")), out).awaitTermination()
     batch = A.latest_annotations(anns, keep=()).select("id", "annotator", "label")
     assert S.current_labels(spark, out).select("id", "annotator", "label").exceptAll(batch).isEmpty()
-    queued = spark.read.parquet(f"{out}/queue").select("id").collect()
-    assert len(queued) <= 1
+    pair = ["id", "annotator_a", "label_a", "annotator_b", "label_b"]
+    assert S.current_queue(spark, out).select(*pair).collect() == A.disagreements(anns).select(*pair).collect() == []
     labels = {r["id"]: r["label"] for r in S.current_resolution(spark, out).collect()}
     assert labels["2"] == "POS"
 
 
+def test_relabelled_pairs_leave_and_enter_the_queue(spark, tmp_path):
+    rows = [(str(i % 7), "t", who, label, n) for n, (i, who, label) in enumerate(
+        [(i, who, ("POS", "NEG", "NEU")[(i * k + len(who)) % 3]) for k in (1, 2, 5) for i in range(14) for who in ("a", "bb", "ccc")])]
+    anns = spark.createDataFrame(rows, "id string, text string, annotator string, label string, seq long")
+    out = str(tmp_path / "out")
+    S.annotation_stream(as_stream(spark, anns, str(tmp_path / "in"), 6), out, buckets=3).awaitTermination()
+    pair = ["id", "annotator_a", "label_a", "annotator_b", "label_b"]
+    found = sorted(map(tuple, S.current_queue(spark, out).select(*pair).collect()))
+    assert found == sorted(map(tuple, A.disagreements(anns).select(*pair).collect())) != []
+
+
 def test_check_and_score(spark, tmp_path):
     rows = spark.createDataFrame([("1", "a", "POS", 0), ("2", " ", "POS", 1), ("3", "b" * 50, "odd", 2)],
                                  "id string, text string, label string, seq long")

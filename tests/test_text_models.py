@@ -102,11 +102,70 @@ def test_explanations(spark, rows, result):
     assert len(record["importance"]) == 2 and record["top"][0]["label"] == record["pred_label"]
 
 
-def test_hashed_features_keep_every_ngram(rows):
-    norm = rows.withColumn("_norm", F.col("text"))
-    features = models.fit_features(norm, CFG, limit=16)
-    v = features.transform(norm).select("features").first()[0]
-    assert v.size == 16 and v.numNonzeros() > 0
+def test_hashed_features_have_names_and_a_floor(spark, rows):
+    from dataclasses import replace
+
+    cfg = replace(CFG, features="hashed", num_features=1 << 12, min_df=3)
+    rare = spark.createDataFrame([("r1", "good qqxxqq", "POS", "en", 900), ("r2", "bad qqxxqq", "NEG", "en", 901)], rows.schema)
+    fitted = models.fit(rows.unionByName(rare).withColumn("split", F.lit("train")), cfg)
+    names = set(fitted.vocabulary())
+    assert {"go", "good"[:3]} <= names and not {"qq", "qqx", "xq"} & names
+    weights = fitted.weights(spark)
+    assert {r["feature"] for r in E.top_features(weights, 5).collect()} <= names
+    scored = fitted.score(rows).persist()
+    assert scored.where("label = pred_label").count() > 140
+    found = E.importance_of_prediction(scored, fitted, 2, 3, k=2)
+    assert found.count() == rows.count() and found.where("size(importance) = 2").count() == rows.count()
+    parts = E.contributions(scored.limit(5), weights, 2, 3, text="normalized_text").groupBy("id", "label").agg(F.sum("contribution").alias("s"))
+    margins = {(r["id"], l): v for r in scored.select("id", "logits").collect() for l, v in r["logits"].items()}
+    whole = [margins[r["id"], r["label"]] - r["s"] for r in parts.collect() if r["label"] == "POS"]
+    assert max(whole) - min(whole) < 1e-6  # what is left is the intercept
+    with pytest.raises(ValueError, match="unknown features"):
+        models.fit(rows, replace(CFG, features="odd"))
+
+
+def test_fold_calibrators_keep_copies_of_an_id(rows):
+    from dataclasses import replace
+
+    twice = rows.unionByName(rows.where("seq < 10"))
+    fitted = models.fit(twice, replace(CFG, calibrate="platt", folds=3))
+    scored = fitted.score(twice)
+    assert scored.count() == 160 and scored.select("id").distinct().count() == 150
+    assert scored.where(F.abs(F.aggregate(F.map_values("proba"), F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9).count() == 0
+
+
+def test_one_id_with_two_texts_is_explained_apart(spark, result):
+    rows = spark.createDataFrame([("x", "good fine nice happy", "NEG"), ("x", "bad awful poor sad", "POS")], "id string, text string, label string")
+    wrong = E.explain_misclassified(result.classifier.score(rows), result.classifier, 2, 3).collect()
+    assert len(wrong) == 2 and len({r["top_pred_features"] for r in wrong}) == 2
+
+
+def test_refused_texts_come_back(spark, rows, result):
+    asked = rows.limit(3).select("id", "text").unionByName(spark.createDataFrame([("long", "x" * 50), ("blank", " ")], "id string, text string"))
+    out = {r["id"]: (r["reason"], r["pred_label"]) for r in evaluation.request_records(asked, result.classifier, importance=1, max_chars=40).collect()}
+    assert len(out) == 5 and out["long"] == ("too_long", None) and out["blank"] == ("empty", None)
+    assert all(reason is None and label for i, (reason, label) in out.items() if i not in ("long", "blank"))
+
+
+def test_separators_count_as_white_space(spark):
+    df = spark.createDataFrame([("a\x1c\x1db  c",)], "text string")
+    assert df.select(G.collapse_spaces("text").alias("t")).first()["t"] == "a b c"
+
+
+def test_runs_read_what_was_written(spark, tmp_path):
+    from labelweave.sinks import tables as K
+    from labelweave.sources import runs
+
+    for name in ("m1", "m2"):
+        K.write_metrics(spark, str(tmp_path / name / "metrics.json"), test={"accuracy": 0.5 if name == "m1" else 0.75})
+    (tmp_path / "m1" / "env.json").write_text('{"python": 3}')
+    (tmp_path / "m3").mkdir()
+    (tmp_path / "m3" / "metrics.json").write_text("{broken")
+    rows = runs.overall(runs.read_runs(spark, [str(tmp_path)])).collect()
+    assert sorted((r["model"].rsplit("/", 1)[1], r["test_accuracy"]) for r in rows) == [("m1", 0.5), ("m2", 0.75)]
+    ordered = runs.read_runs(spark, [str(tmp_path / "m2"), str(tmp_path / "m*"), str(tmp_path / "m1" / "metrics.json")]).orderBy("place").collect()
+    assert [r["model"].rsplit("/", 1)[1] for r in ordered] == ["m2", "m1"]
+    assert runs.read_runs(spark, []).count() == 0
 
 
 def test_tiny_corpus_falls_back(spark):
@@ -186,6 +245,6 @@ def test_whole_chain(spark, rows, tmp_path):
     tables = reporting.whole_chain(rows.select("id", "text", "label", "seq"), str(tmp_path), CFG, "r1", num_merges=3)
     assert tables["scores"].count() == 2 and tables["issues"].count() == 0
     from labelweave.sources import runs
-    listed = runs.model_listing(spark, str(tmp_path), runs.read_runs(spark, [str(tmp_path / "r1" / "metrics.json")], glob="part-*"))
+    listed = runs.model_listing(spark, str(tmp_path), runs.read_runs(spark, [str(tmp_path / "r1")]))
     assert listed.where("type = 'linear'").count() == 1
     assert spark.read.parquet(str(tmp_path / "runs" / "metrics")).where("run = 'r1'").count() == 4

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import settle, slices
+from labelweave.llm.common import bounded, settle, slices
 from labelweave.llm.components import components
 
 BLOCK = 1024  # vectors compared with each other in one task
@@ -156,7 +156,7 @@ def _component_counts(members: DataFrame, kind: str, threshold: float) -> DataFr
 
 def _audit(nodes: DataFrame, kind: str, threshold: float, queries: int) -> DataFrame:
     """All links of a bounded set of query nodes, by comparing them with every node: (a, b)."""
-    asked = nodes.select("node", "vec").orderBy(F.xxhash64(F.lit("audit"), "node")).limit(queries).collect()
+    asked = bounded(nodes.select("node", "vec"), F.xxhash64(F.lit("audit"), "node"), queries).collect()
     by_size: dict[int, list] = {}
     for r in asked:
         by_size.setdefault(len(r["vec"]), []).append((r["node"], bytes(r["vec"])))

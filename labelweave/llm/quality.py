@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import WORD, bind, settle, word_array
+from labelweave.llm.common import WORD, bind, bounded, settle, word_array
 
 # Fixed value: the characters the contract counts as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -75,8 +75,8 @@ def base_failed() -> Column:
 
 def labelled_sample(labels: DataFrame, label: str, max_rows: int, key: str = "doc_id") -> DataFrame:
     """At most `max_rows` labelled ids, chosen by hash; a repeated id has its lower label."""
-    return (labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("label"))
-            .orderBy(F.xxhash64(key), key).limit(max_rows))
+    rows = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("label"))
+    return bounded(rows, F.xxhash64(key), max_rows)
 
 
 @dataclass(frozen=True)

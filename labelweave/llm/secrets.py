@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import bind, settle, word_array
+from labelweave.llm.common import bind, bounded, settle, word_array
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*[0-9])[A-Za-z0-9+/_=\-]{16,}"
 NAMES = r"(?i)(?:token|secret|passw|passwd|pwd|credential|auth|bearer|access|private|api|key)"
@@ -45,10 +45,9 @@ def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
                        F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), 0)).alias("part", "value"))
 
 
-def dictionary(docs: DataFrame, text: str = "text", size: int = 2_000, max_docs: int = 5_000) -> list[str]:
-    """The commonest words of three letters or more in at most `max_docs` documents, chosen by hash."""
-    some = docs.select(F.col(text).alias("t")).where("t is not null").orderBy(F.xxhash64("t")).limit(max_docs)
-    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit("[a-z]{3,}"), 0))).alias("w"))
+def dictionary(docs: DataFrame, text: str = "text", size: int = 2_000) -> list[str]:
+    """The commonest words of three letters or more, by the number of documents that hold them."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]{3,}"), 0))).alias("w"))
     return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()]
 
 
@@ -88,8 +87,8 @@ def classify(found: DataFrame, labelled: DataFrame | None = None, words: list[st
     """
     rows = with_features(found, words or [])
     train = weak_labels(rows) if labelled is None else with_features(labelled, words or []).where("label is not null")
-    train = settle(train.select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64("value", "left1", "right1").alias("_h"))
-                   .orderBy("_h").limit(max_findings), "findings")
+    train = train.select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64("value", "left1", "right1").alias("_h"))
+    train = settle(bounded(train, F.col("_h"), max_findings), "findings")
     classes = {r["label"] for r in train.select("label").distinct().collect()}
     if len(classes) < 2:
         score = F.lit(classes.pop() if classes else 0.0)

@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import bind, settle, word_array
+from labelweave.llm.common import bind, bounded, settle, word_array
 
 # Second person words of the corpus languages, and characters written in place of letters.
 SECOND_PERSON = ("you", "your", "yours", "u", "ur", "tu", "te", "toi", "vous", "votre", "du", "dich", "dir", "dein", "ihr", "euch",
@@ -73,8 +73,9 @@ def held_out(key: str = "doc_id") -> Column:
 
 def training_labels(labels: DataFrame, max_rows: int) -> DataFrame:
     """At most `max_rows` labelled ids outside the held-out fifth, chosen by hash."""
-    return (labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id")
-            .agg(F.max("toxic").cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    rows = (labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id")
+            .agg(F.max("toxic").cast("double").alias("label")))
+    return bounded(rows, F.xxhash64("doc_id"), max_rows)
 
 
 def learn_lexicon(rows: DataFrame, text: str = "text", min_share: float = 0.01, min_lift: float = 20.0, max_words: int = 300) -> list[str]:

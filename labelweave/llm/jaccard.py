@@ -38,7 +38,8 @@ from labelweave.llm.components import components
 WORDS, PERCENT = 5, 80
 SKETCH_BITS = 512
 GROUP = 256  # texts compared with one pivot in one task
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+SMALL = 512  # members of a region among which partners are looked for before any text is read
 NULL_ID = -(1 << 63)
 
 _U = np.uint64
@@ -171,6 +172,54 @@ def _shared_regions(table: pa.Table) -> pa.Table:
     return pa.table({"region": pa.array(region[keep].view(np.int64)), "row": row[keep], "n": size[keep], "lead": lead[keep]})
 
 
+def _possible(members: DataFrame, buckets: int) -> DataFrame:
+    """Members without those that no other member of their region can link with, by size, rank and sketch.
+
+    Regions of more than SMALL members keep all; the pivots and the last round test their pairs.
+    """
+    def partners(m, n, lead, bits):
+        apart = np.zeros((len(m), len(m)), np.int64)
+        for word in range(bits.shape[1]):
+            apart += np.bitwise_count(bits[m, word][:, None] ^ bits[m, word][None, :])
+        size = n[m]
+        total = size[:, None] + size[None, :]
+        ok = (9 * apart <= total) & (lead[m][:, None] + lead[m][None, :] <= 0) & (
+            100 * np.minimum(size[:, None], size[None, :]) >= PERCENT * np.maximum(size[:, None], size[None, :]))
+        np.fill_diagonal(ok, False)
+        return ok.any(axis=1)
+
+    def run(table: pa.Table) -> pa.Table:
+        region, row, n, lead = (table.column(c).to_numpy() for c in ("region", "row", "n", "lead"))
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+        order = np.argsort(region, kind="stable")
+        first = np.flatnonzero(np.append(True, region[order][1:] != region[order][:-1]))
+        count = np.diff(np.append(first, len(order)))
+        keep = np.zeros(len(order), bool)
+        a, b = order[first[count == 2]], order[first[count == 2] + 1]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        both = (9 * apart <= n[a] + n[b]) & (lead[a] + lead[b] <= 0) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+        keep[a[both]] = keep[b[both]] = True
+        for x, size in zip(first[count > 2], count[count > 2]):
+            m = order[x:x + size]
+            keep[m] = True if size > SMALL else partners(m, n, lead, bits)
+        return pa.table({"region": region[keep], "row": row[keep], "n": n[keep], "lead": lead[keep]})
+
+    return (members.withColumn("_bucket", F.pmod(F.xxhash64("region"), F.lit(8 * buckets))).groupBy("_bucket")
+            .applyInArrow(run, "region long, row long, n long, lead long"))
+
+
+def _packed(docs: DataFrame, text: str) -> DataFrame:
+    """(rid, data): ids and compressed texts, which travel at a third of their size."""
+    ready = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(1)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["rid", "data"])
+
+    return ready.mapInArrow(run, "rid long, data binary")
+
+
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link. Texts meet their pivot `a` in groups of at most about GROUP members."""
     sized = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("b") / GROUP).alias("_parts")), "a")
@@ -234,11 +283,11 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     heads = rows.join(classes.select(F.col("rep").alias("row")), "row")
     shared = (step.where("kind = 'regions'").select("bucket", "n", "keys").repartition(buckets, "bucket").groupBy("bucket")
               .applyInArrow(_shared_regions, "region long, row long, n long, lead long"))
-    members = settle(shared.join(classes.select(F.col("rep").alias("row")), "row", "left_semi"), "regions")
+    members = shared.join(heads.select("row", "sketch"), "row")
+    members = settle(_possible(members, buckets), "regions")
     # the texts of all members, found by id and told apart by their set's size and digest
     wanted = members.select("row").distinct().join(heads, "row").select("row", F.coalesce("doc_id", F.lit(NULL_ID)).alias("rid"), "digest")
-    bodies = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
-    texts = settle(_matching(bodies.join(wanted, "rid").select("row", "digest", "data")).dropDuplicates(["row"]), "texts")
+    texts = settle(_matching(_packed(docs, text).join(wanted, "rid").select("row", "digest", "data")), "texts")
 
     # every region's pivot comes from home; a new round takes one from outside the region's main component
     links = checked = spark.createDataFrame([], "a long, b long")
@@ -279,14 +328,14 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _matching(rows: DataFrame) -> DataFrame:
-    """(row, data): compressed texts whose set has the wanted digest."""
+    """(row, data): compressed texts whose set has the wanted digest. A repeated document may come twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        press = zstandard.ZstdCompressor(1)
+        unpress = zstandard.ZstdDecompressor()
         for batch in slices(batches):
-            kept = [(row, press.compress(data)) for row, digest, data in zip(*(c.to_pylist() for c in batch.columns))
-                    if hashlib.blake2b(shingle_set(data).tobytes(), digest_size=16).digest() == digest]
+            kept = [(row, data) for row, digest, data in zip(*(c.to_pylist() for c in batch.columns)) if hashlib.blake2b(
+                shingle_set(unpress.decompress(data, max_output_size=1 << 31)).tobytes(), digest_size=16).digest() == digest]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in kept], pa.int64()), pa.array([d for _, d in kept], pa.binary())], names=["row", "data"])
 
     return rows.mapInArrow(run, "row long, data binary")

@@ -75,4 +75,52 @@ QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_ngram_jaccard, op3_packing, op4_quality_rules, op5_toxicity, op6_warc, op7_embedding_near_dedup,
     op8_secret_scan, op9_suffix_dedup, op10_sentencepiece)}
 
-ORACLES: dict[str, str] = {}
+
+def _rendered(column: str, marks: dict[str, int]) -> str:
+    """Length of an escaped text: every escaped character becomes two."""
+    more = " + ".join(f"(length({column}) - length(replace({column}, '{m}', ''))) // {n}" for m, n in marks.items())
+    return f"(length({column}) + {more})"
+
+
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": rf"""
+        WITH turns AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+               CAST(sum(14 + {_rendered('role', {chr(92): 1, '#': 1, '<': 1, ':': 1})} + {_rendered('text', {chr(92): 1, '### ': 4, '</turn>': 7})}) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id""",
+    "op2_ngram_jaccard": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                              ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+        shingles AS (SELECT doc_id, len(s) AS n, hash(x) AS h FROM (SELECT doc_id, s, unnest(s) AS x FROM sets)),
+        links AS (
+          SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id
+        FROM sets s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON m.x = s.doc_id""",
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             r AS (SELECT *, CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS head FROM p)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN head <> page_id THEN head END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM r""",
+    "op7_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+          WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b
+                  WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        least AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+        SELECT e.vec_id, (SELECT count(*) FROM links WHERE x = e.vec_id) AS n_links, c AS component_id, e.vec_id = c AS kept
+        FROM embeddings e JOIN least ON x = e.vec_id""",
+}

@@ -95,6 +95,12 @@ def bpe_merges(spark, sf):
     return C.merges_table(spark, C.learn_merges(documents(spark, sf), MERGES))
 
 
+@query("bpe_vocabulary")
+def bpe_vocabulary(spark, sf):
+    """As many merges as a vocabulary needs; `bpe_merges` compares the first ones with SQL."""
+    return C.merges_table(spark, C.learn_merges(documents(spark, sf), 400))
+
+
 @query("characters", "SELECT DISTINCT unnest(string_split(text, '')) AS char FROM documents")
 def characters(spark, sf):
     return C.characters(documents(spark, sf))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelweave.catalog.agreement import DECISIONS, LATEST, TOTALS, _MAJORITY, _logged, _sql_pairs
+from labelweave.catalog.agreement import DECISIONS, LATEST, TOTALS, _MAJORITY, _logged, _pair_counts, _sql_kappa, _sql_pairs
 from labelweave.catalog.metrics import rounded
 from labelweave.catalog.quality import LANGS, ROW_ISSUES
 from labelweave.catalog.registry import query
@@ -56,7 +56,11 @@ def queue_flow(spark, sf):
         "id", "annotator_a", "annotator_b", "label_a", "label_b")
 
 
-@query("agreement_flow")
+_KAPPA = {by: _sql_kappa(_pair_counts(by), tuple(by.split(", ")), "'NaN'::DOUBLE") for by in ("annotator_a, annotator_b", "lang, annotator_a, annotator_b")}
+
+
+@query("agreement_flow", with_views("annotations", f"""
+    SELECT 'all' AS lang, * FROM ({_KAPPA['annotator_a, annotator_b']}) UNION ALL SELECT * FROM ({_KAPPA['lang, annotator_a, annotator_b']})""", latest=LATEST))
 def agreement_flow(spark, sf):
     tables = curation.agreement(annotations(spark, sf), "lang")
     pairs = tables["pairs"].withColumn("lang", F.lit("all")).unionByName(tables["pairs_by_lang"])
@@ -89,10 +93,10 @@ def whole_chain(spark, sf):
     return rounded(scores.unionByName(stress), "accuracy", "f1_macro")
 
 
-def _as_stream(spark, df, name, files=4):
+def _as_stream(spark, df, name, files=4, by="seq"):
     """The table as several files, read one file per micro-batch."""
     path = scratch_path(spark, name)
-    df.repartitionByRange(files, "seq").write.parquet(path)
+    df.repartitionByRange(files, by).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -120,9 +124,10 @@ def stream_validate(spark, sf):
     return spark.read.parquet(f"{out}/quarantine").select("seq", "id", F.inline("issues"))
 
 
-def _intake(spark, sf):
+def _intake(spark, sf, by="seq"):
+    """By `label` an item's annotations come in several batches, so labels change after their pairs were queued."""
     out = scratch_path(spark, "stream-intake")
-    S.annotation_stream(_as_stream(spark, annotations(spark, sf), "annotations"), out).awaitTermination()
+    S.annotation_stream(_as_stream(spark, annotations(spark, sf), "annotations", by=by), out).awaitTermination()
     return out
 
 
@@ -133,5 +138,4 @@ def annotation_intake(spark, sf):
 
 @query("annotation_intake_queue", with_views("annotations", f"SELECT id, annotator_a, label_a, annotator_b, label_b FROM ({_sql_pairs('<>')})", latest=LATEST))
 def annotation_intake_queue(spark, sf):
-    # All rows of an id arrive in one file here, so the queue holds the final pairs.
-    return S.current_queue(spark, _intake(spark, sf)).select("id", "annotator_a", "label_a", "annotator_b", "label_b")
+    return S.current_queue(spark, _intake(spark, sf, "label")).select("id", "annotator_a", "label_a", "annotator_b", "label_b")

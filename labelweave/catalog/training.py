@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from labelweave.catalog.metrics import rounded
+from labelweave.catalog.metrics import rounded, sql_summary
 from labelweave.catalog.registry import query
-from labelweave.catalog.views import LABEL_AT, documents, labelled, predictions
+from labelweave.catalog.views import LABEL_AT, documents, labelled, predictions, with_views
 from labelweave.operators import explain as E
 from labelweave.operators import metrics as M
 from labelweave.operators import models
@@ -114,7 +114,9 @@ def plugin_scoring(spark, sf):
     return out.select("id", "pred_label", F.round(F.element_at("proba", F.lit("POS")), 6).alias("proba_pos"))
 
 
-@query("error_analysis")
+@query("error_analysis", with_views("predictions_a", f"""
+    SELECT 'all' AS part, n, accuracy, f1_macro FROM ({sql_summary('predictions_a')})
+    UNION ALL SELECT lang, n, accuracy, f1_macro FROM ({sql_summary('predictions_a', 'lang')})"""))
 def error_analysis(spark, sf):
     out = evaluation.analyse_errors(predictions(spark, sf), slice_column="lang")
     scores = out["scores"].select(F.lit("all").alias("part"), "n", "accuracy", "f1_macro")

@@ -47,25 +47,55 @@ def pair_counts(table: DataFrame) -> DataFrame:
             .groupBy("pair").agg(F.sum("n").alias("n")))
 
 
-def learn_merges(df: DataFrame, num_merges: int, min_frequency: int = 2, text: str = "text") -> list[tuple[str, str, int]]:
+def next_batch(ranked: Sequence[tuple[str, str, int]], tokens: set[str], complete: bool) -> list[tuple[str, str, int]]:
+    """The leading merges of a ranking that a loop of single merges would take next, in its order.
+
+    Pairs without a common symbol do not change each other's counts. A pair that merges bring about is at most as
+    frequent as a pair of the ranking that shares a symbol with a taken one, and there the walk stops; so it can only
+    come before taken pairs that tie with the stopping pair, and these are given back. A pair of two equal symbols, or one
+    whose token exists already, ends the batch. ``complete`` says that the ranking holds every pair that may be merged.
+    """
+    batch, used, stop = [], set(), None
+    for i, (left, right, n) in enumerate(ranked):
+        if left in used or right in used:
+            stop = n
+            break
+        batch.append((left, right, n))
+        used |= {left, right}
+        if left == right or left + right in tokens:
+            stop = ranked[i + 1][2] if i + 1 < len(ranked) else 0 if complete else n
+            break
+    else:
+        stop = 0 if complete or not ranked else ranked[-1][2]
+    while len(batch) > 1 and batch[-1][2] == stop:
+        batch.pop()
+    return batch
+
+
+def learn_merges(df: DataFrame, num_merges: int, min_frequency: int = 2, text: str = "text", ranking: int = 256) -> list[tuple[str, str, int]]:
     """Byte-pair merges (left, right, frequency), most frequent pair first, the smaller pair on a tie.
 
-    The corpus folds to a table of distinct words once; each merge is one aggregate over it that returns one row.
+    The corpus folds to a table of distinct words once. Each round is one aggregate over it that returns the leading
+    pairs, of which all that cannot influence each other are merged in one pass; the result is that of single merges.
     """
-    spark = df.sparkSession
     table = cut_lineage(spread(word_counts(df, text), "word").select("n", _as_symbols(F.col("word")).alias("symbols")))
     merges: list[tuple[str, str, int]] = []
+    tokens: set[str] = set()
+    depth = 0
     while len(merges) < num_merges:
-        best = pair_counts(table).orderBy(F.col("n").desc(), "pair").limit(1).collect()
-        if not best or best[0]["n"] < min_frequency:
+        rows = pair_counts(table).where(F.col("n") >= min_frequency).orderBy(F.col("n").desc(), "pair").limit(ranking).collect()
+        ranked = [(*r["pair"][1:-1].split(_CLOSE + _OPEN), r["n"]) for r in rows]
+        batch = next_batch(ranked, tokens, len(rows) < ranking)[:num_merges - len(merges)]
+        if not batch:
             break
-        pair = best[0]["pair"]
-        left, right = pair[1:-1].split(_CLOSE + _OPEN)
-        merges.append((left, right, best[0]["n"]))
-        table = table.withColumn("symbols", F.replace(
-            F.col("symbols"), F.lit(pair), F.lit(f"{_OPEN}{left}{right}{_CLOSE}")))
-        if len(merges) % _CHECKPOINT_EVERY == 0:
-            table = cut_lineage(table)
+        for left, right, n in batch:
+            merges.append((left, right, n))
+            tokens.add(left + right)
+            table = table.withColumn("symbols", F.replace(
+                F.col("symbols"), F.lit(f"{_OPEN}{left}{_CLOSE}{_OPEN}{right}{_CLOSE}"), F.lit(f"{_OPEN}{left}{right}{_CLOSE}")))
+        depth += len(batch)
+        if depth >= _CHECKPOINT_EVERY:
+            table, depth = cut_lineage(table), 0
     return merges
 
 

@@ -248,3 +248,31 @@ def test_whole_chain(spark, rows, tmp_path):
     listed = runs.model_listing(spark, str(tmp_path), runs.read_runs(spark, [str(tmp_path / "r1")]))
     assert listed.where("type = 'linear'").count() == 1
     assert spark.read.parquet(str(tmp_path / "runs" / "metrics")).where("run = 'r1'").count() == 4
+
+
+def test_batches_of_merges_equal_single_merges(spark):
+    import random
+
+    rng = random.Random(11)
+    for alphabet in ("ab", "abcde", "abcdefghijkl"):
+        texts = [" ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9))) for _ in range(12)) for _ in range(20)]
+        words = Counter(w for t in texts for w in t.split())
+        table, single = {w: list(w) for w in words}, []
+        while len(single) < 40:
+            pairs = Counter()
+            for w, symbols in table.items():
+                for a, b in zip(symbols, symbols[1:]):
+                    pairs[(a, b)] += words[w]
+            # pairs are ordered as their wrapped texts are
+            best = min((p for p, n in pairs.items() if n >= 2), key=lambda p: (-pairs[p], f"\x02{p[0]}\x03\x02{p[1]}\x03"), default=None)
+            if best is None:
+                break
+            single.append((*best, pairs[best]))
+            for symbols in table.values():
+                i = 0
+                while i < len(symbols) - 1:
+                    if (symbols[i], symbols[i + 1]) == best:
+                        symbols[i:i + 2] = [best[0] + best[1]]
+                    i += 1
+        df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+        assert C.learn_merges(df, 40, ranking=16) == single

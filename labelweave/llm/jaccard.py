@@ -37,6 +37,7 @@ from labelweave.llm.components import components
 
 WORDS, PERCENT = 5, 80
 SKETCH_BITS = 512
+BUCKETS = 4  # buckets of regions per shuffle partition; one is held by a task at a time
 GROUP = 256  # texts compared with one pivot in one task
 PIVOT_ROUNDS = 2
 SMALL = 512  # members of a region among which partners are looked for before any text is read
@@ -275,13 +276,13 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs`."""
     spark = docs.sparkSession
     buckets = shuffle_width(spark)
-    step = settle(_replicate(docs, text, buckets), "shingles", "kind")
+    step = settle(_replicate(docs, text, BUCKETS * buckets), "shingles", "kind")
     rows = step.where("kind = 'docs'").select("row", "doc_id", "n", "digest", "sketch")
     # equal sets are one from here on; an empty set links with nothing
     classes = rows.where("n > 0").groupBy("digest", "n").agg(F.min("row").alias("rep"), F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least"))
     classes = settle(classes, "classes")
     heads = rows.join(classes.select(F.col("rep").alias("row")), "row")
-    shared = (step.where("kind = 'regions'").select("bucket", "n", "keys").repartition(buckets, "bucket").groupBy("bucket")
+    shared = (step.where("kind = 'regions'").select("bucket", "n", "keys").groupBy("bucket")
               .applyInArrow(_shared_regions, "region long, row long, n long, lead long"))
     members = shared.join(heads.select("row", "sketch"), "row")
     members = settle(_possible(members, buckets), "regions")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelweave.catalog.agreement import DECISIONS, LATEST, _logged, _sql_pairs
 from labelweave.catalog.metrics import rounded, sql_summary
 from labelweave.catalog.registry import query
-from labelweave.catalog.views import LABEL_AT, annotations, documents, draw, labelled, predictions, raw_rows, sql_draw, with_views
+from labelweave.catalog.views import LABEL_AT, annotations, documents, draw, labelled, predictions, raw_rows, sql_draw, with_text, with_views
 from labelweave.operators import metrics as M
 from labelweave.operators.agreement import disagreements
 from labelweave.operators.calibration import reliability_bins
@@ -43,13 +43,13 @@ def scan_splits(spark, sf):
     return T.with_known_split(_through(spark, rows, "splits", "parquet")).select("seq", "split")
 
 
-@query("scan_split_files", with_views("labelled", "SELECT CAST(id AS VARCHAR) AS id, label, CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM labelled"))
+@query("scan_split_files", with_views("labelled", """SELECT CAST(id AS VARCHAR) AS id, text, label, CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM labelled"""))
 def scan_split_files(spark, sf):
     rows, paths = labelled(spark, sf), []
     for i in range(3):
         paths.append(scratch_path(spark, f"part{i}"))
         sinks.write_table(rows.where(F.col("id") % 3 == i).drop("seq"), paths[-1])
-    return T.read_split_files(spark, *paths).select("id", "label", "split")
+    return T.read_split_files(spark, *paths).select("id", "text", "label", "split")
 
 
 def _typed_annotations(spark, sf):
@@ -61,10 +61,10 @@ def _typed_annotations(spark, sf):
 
 
 @query("scan_annotations", with_views("annotations", f"""
-    SELECT CAST(id AS VARCHAR) AS id, annotator, label, count(*) AS n FROM annotations WHERE {sql_draw('typed', 'seq')} % 50 <> 0 GROUP BY ALL"""))
+    SELECT CAST(id AS VARCHAR) AS id, trim(text) AS text, annotator, label, count(*) AS n FROM annotations WHERE {sql_draw('typed', 'seq')} % 50 <> 0 GROUP BY ALL"""))
 def scan_annotations(spark, sf):
     rows = _through(spark, _typed_annotations(spark, sf).select("id", "text", "annotator", "label"), "annotations", with_seq=True)
-    return T.annotations(rows).groupBy("id", "annotator", "label").agg(F.count(F.lit(1)).alias("n"))
+    return T.annotations(rows).groupBy("id", F.trim("text").alias("text"), "annotator", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("scan_tool_export", with_views("annotations", "SELECT CAST(id AS VARCHAR) AS id, trim(text) AS text, annotator, label FROM annotations"))
@@ -206,11 +206,12 @@ def sink_final(spark, sf):
 
 
 @query("sink_predictions", with_views("predictions_a", """
-    SELECT id, label, pred_label, round(p_POS, 6) AS proba_POS, round(p_NEG, 6) AS proba_NEG, round(p_NEU, 6) AS proba_NEU FROM predictions_a"""))
+    SELECT id, text, p.label, pred_label, round(p_POS, 6) AS proba_POS, round(p_NEG, 6) AS proba_NEG, round(p_NEU, 6) AS proba_NEU
+    FROM predictions_a p JOIN labelled l USING (id)"""))
 def sink_predictions(spark, sf):
     path = scratch_path(spark, "scored")
-    sinks.write_predictions(predictions(spark, sf).withColumn("text", F.lit("")), path)
-    return rounded(spark.read.parquet(path).drop("text"), *[f"proba_{l}" for l in LABEL_AT])
+    sinks.write_predictions(with_text(spark, sf, predictions(spark, sf)), path)
+    return rounded(spark.read.parquet(path), *[f"proba_{l}" for l in LABEL_AT])
 
 
 @query("sink_misclassified", with_views("predictions_a", """
@@ -223,12 +224,12 @@ def sink_misclassified(spark, sf):
 
 
 @query("sink_review", with_views("predictions_a", """
-    SELECT id, label AS gold_label, pred_label AS model_label, round(confidence, 6) AS confidence, round(margin, 6) AS margin
-    FROM predictions_a WHERE label <> pred_label"""))
+    SELECT id, text, p.label AS gold_label, pred_label AS model_label, round(confidence, 6) AS confidence, round(margin, 6) AS margin
+    FROM predictions_a p JOIN labelled l USING (id) WHERE p.label <> pred_label"""))
 def sink_review(spark, sf):
     path = scratch_path(spark, "review")
-    sinks.write_review(predictions(spark, sf).where("label <> pred_label").withColumn("text", F.lit("")), path)
-    return spark.read.parquet(path).drop("text")
+    sinks.write_review(with_text(spark, sf, predictions(spark, sf).where("label <> pred_label")), path)
+    return spark.read.parquet(path)
 
 
 @query("sink_metrics", with_views("predictions_a", f"SELECT n, accuracy, f1_macro FROM ({sql_summary('predictions_a')})"))
@@ -249,28 +250,28 @@ def sink_runs(spark, sf):
 
 
 @query("sink_splits", with_views("labelled", """
-    SELECT id, label, CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM labelled WHERE id % 3 <> 0"""))
+    SELECT id, text, lang, "group", label, CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM labelled"""))
 def sink_splits(spark, sf):
     path = scratch_path(spark, "by-split")
     n = F.col("id") % 3
     rows = labelled(spark, sf).withColumn("split", F.when(n == 0, "train").when(n == 1, "val").otherwise("test"))
     sinks.write_splits(rows.drop("seq"), path)
-    return spark.read.parquet(path).where("split <> 'train'").select("id", "label", "split")
+    return spark.read.parquet(path).select("id", "text", "lang", "group", "label", "split")
 
 
-@query("sink_clean", with_views("raw_rows", "SELECT id, upper(trim(label)) AS label, split FROM raw_rows"))
+@query("sink_clean", with_views("raw_rows", """SELECT id, text, upper(trim(label)) AS label, split, lang, "group" FROM raw_rows"""))
 def sink_clean(spark, sf):
     path = scratch_path(spark, "clean")
     sinks.write_clean_copy(raw_rows(spark, sf), path)
-    return spark.read.parquet(path).select("id", "label", "split")
+    return spark.read.parquet(path).select("id", "text", "label", "split", "lang", "group")
 
 
 @query("sink_queue", with_views("annotations", f"""
-    SELECT id, annotator_a, label_a, annotator_b, label_b FROM ({_sql_pairs('<>')})""", latest=LATEST))
+    SELECT id, text, annotator_a, label_a, annotator_b, label_b FROM ({_sql_pairs('<>')})""", latest=LATEST))
 def sink_queue(spark, sf):
     path = scratch_path(spark, "queue")
     sinks.write_queue(disagreements(annotations(spark, sf)), path)
-    return spark.read.parquet(path).drop("text")
+    return spark.read.parquet(path)
 
 
 @query("sink_bins", with_views("predictions_a", """

@@ -9,7 +9,7 @@ from labelweave.catalog.metrics import rounded
 from labelweave.catalog.quality import LANGS, ROW_ISSUES
 from labelweave.catalog.registry import query
 from labelweave.catalog.training import CONFIG, _VOWELS, _length_model
-from labelweave.catalog.views import LABEL_AT, annotations, documents, labelled, predictions, raw_rows, sql_hash, with_views
+from labelweave.catalog.views import LABEL_AT, annotations, documents, labelled, predictions, raw_rows, sql_hash, with_text, with_views
 from labelweave.operators import models
 from labelweave.plans import curation, evaluation, reporting
 from labelweave.session import scratch_path
@@ -68,12 +68,14 @@ def agreement_flow(spark, sf):
 
 
 @query("error_loop", with_views("predictions_a", """
-    SELECT id, label AS gold_label, pred_label AS model_label, round(confidence, 6) AS confidence, round(margin, 6) AS margin
-    FROM predictions_a WHERE label <> pred_label AND id NOT IN (SELECT id FROM decisions)
-    ORDER BY predictions_a.margin, predictions_a.confidence DESC, id LIMIT 20""", decisions=DECISIONS))
+    SELECT id, text, gold AS gold_label, pred_label AS model_label, round(confidence, 6) AS confidence, round(margin, 6) AS margin,
+           '- Item ID: ' || CAST(id AS VARCHAR) || chr(10) || '- Text (de-identified): ' || text || chr(10) || '- Label A: ' || gold || chr(10) ||
+           '- Label B: ' || pred_label || ' (model)' || chr(10) || '- Final Label: <POS/NEG/NEU>' || chr(10) ||
+           '- Action Items: <add example/update guidelines/augment data>' AS note
+    FROM (SELECT id, text, p.label AS gold, pred_label, confidence, margin FROM predictions_a p JOIN labelled l USING (id)
+          WHERE p.label <> pred_label AND id NOT IN (SELECT id FROM decisions) ORDER BY margin, confidence DESC, id LIMIT 20)""", decisions=DECISIONS))
 def error_loop(spark, sf):
-    scored = predictions(spark, sf).withColumn("text", F.lit(""))
-    return evaluation.error_loop(scored, _logged(spark, sf), limit=20).drop("text", "note")
+    return evaluation.error_loop(with_text(spark, sf, predictions(spark, sf)), _logged(spark, sf), limit=20)
 
 
 @query("report_flow")

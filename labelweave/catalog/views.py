@@ -89,6 +89,11 @@ def predictions(spark: SparkSession, sf_dir: str, model: str = "a") -> DataFrame
                        (top / total).alias("confidence"), ((top - middle) / total).alias("margin"))
 
 
+def with_text(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Rows by document id, with the documents' texts."""
+    return rows.join(labelled(spark, sf_dir).select("id", "text"), "id")
+
+
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = labelled(spark, sf_dir)
     n = draw("raw", "id")

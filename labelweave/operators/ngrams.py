@@ -73,7 +73,8 @@ def document_frequency(df: DataFrame, nmin: int = 3, nmax: int = 5, min_df: int
     """(gram, df) for n-grams found in at least ``min_df`` texts."""
     texts = df.select(collapse_spaces(text).alias("_text"))
     longest = F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{nmin},{nmax}}})).")))
-    shorter = [F.transform(F.filter(F.col("_g"), lambda g, n=n: F.length(g) >= n), lambda g, n=n: F.substring(g, 1, n)) for n in range(nmin, nmax)]
+    prefixes = lambda n: F.transform(F.filter("_g", lambda g: F.length(g) >= n), lambda g: F.substring(g, 1, n))
+    shorter = [prefixes(n) for n in range(nmin, nmax)]
     whole = F.filter(F.col("_g"), lambda g: F.length(g) == nmax)
     grams = F.array_distinct(F.flatten(F.array(*shorter, whole)))
     return (texts.select(longest.alias("_g")).select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))

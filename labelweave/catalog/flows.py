@@ -8,6 +8,7 @@ from labelweave.catalog.agreement import DECISIONS, LATEST, TOTALS, _MAJORITY, _
 from labelweave.catalog.metrics import rounded
 from labelweave.catalog.quality import LANGS, ROW_ISSUES
 from labelweave.catalog.registry import query
+from labelweave.catalog.splits import sql_group_split
 from labelweave.catalog.training import CONFIG, _VOWELS, _length_model
 from labelweave.catalog.views import LABEL_AT, annotations, documents, labelled, predictions, raw_rows, sql_hash, with_text, with_views
 from labelweave.operators import models
@@ -37,7 +38,9 @@ def publish_flow(spark, sf):
     return curation.publish(final, scratch_path(spark, "dataset"))
 
 
-@query("split_flow")
+@query("split_flow", with_views("raw_rows", sql_group_split('k.id, k."group"'), keyed="""
+    SELECT id, nullif(trim("group"), '') AS "group", coalesce(nullif(trim("group"), ''), '__nogroup_' || id) AS g
+    FROM raw_rows WHERE trim(id) <> '' AND trim(label) <> ''"""))
 def split_flow(spark, sf):
     return curation.split_dataset(raw_rows(spark, sf), by_group=True).select("id", "group", "split")
 

@@ -54,17 +54,45 @@ def _grouped(spark, sf):
 _KEYED = f"SELECT *, coalesce(\"group\", '__nogroup_' || CAST(id AS VARCHAR)) AS g FROM ({GROUPS})"
 
 
-@query("split_group", with_views("labelled", f"""
-    SELECT k.id, CASE WHEN t.g IS NULL THEN 'train' WHEN t.is_test THEN 'test' ELSE 'val' END AS split
+def sql_group_split(columns):
+    """Rows of `keyed` with the split of their group `g`."""
+    return f"""
+    SELECT {columns}, CASE WHEN t.g IS NULL THEN 'train' WHEN t.is_test THEN 'test' ELSE 'val' END AS split
     FROM keyed k LEFT JOIN (
       SELECT g, row_number() OVER (ORDER BY {sql_hash(43, 'g')}, g) <= ceil(count(*) OVER () * (0.1::DOUBLE / (0.1::DOUBLE + 0.1::DOUBLE))) AS is_test
       FROM (SELECT g, row_number() OVER (ORDER BY {sql_hash(42, 'g')}, g) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM keyed))
-      WHERE r <= ceil(n * (0.1::DOUBLE + 0.1::DOUBLE))) t ON t.g = k.g""", keyed=_KEYED))
+      WHERE r <= ceil(n * (0.1::DOUBLE + 0.1::DOUBLE))) t ON t.g = k.g"""
+
+
+@query("split_group", with_views("labelled", sql_group_split("k.id"), keyed=_KEYED))
 def split_group(spark, sf):
     return S.group_split(_grouped(spark, sf), *RATIOS).select("id", "split")
 
 
-@query("split_group_stratified")
+def _sql_greedy(ratios):
+    """Groups, largest first, each to the side whose counts then miss its targets least."""
+    sides, classes = range(3), ("NEG", "NEU", "POS")
+    error = lambda i: " + ".join(f"abs(s{i}_{c} + {c} - t_{c} * {ratios[i]}::DOUBLE)" for c in classes)
+    state = ", ".join(f"s{i}_{c} + CASE WHEN side = {i} THEN {c} ELSE 0 END AS s{i}_{c}" for i in sides for c in classes)
+    held = ", ".join(f"w.s{i}_{c}" for i in sides for c in classes)
+    return f"""
+    SELECT k.id, k."group", CASE w.side WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM keyed k JOIN (
+      WITH RECURSIVE groups AS (
+        SELECT g, row_number() OVER (ORDER BY count(*) DESC, g) AS r, {', '.join(f"CAST(count(*) FILTER (label = '{c}') AS DOUBLE) AS {c}" for c in classes)}
+        FROM keyed GROUP BY g),
+      totals AS (SELECT {', '.join(f'sum({c}) AS t_{c}' for c in classes)} FROM groups),
+      walk AS (
+        SELECT CAST(0 AS BIGINT) AS r, CAST('' AS VARCHAR) AS g, -1 AS side, {', '.join(f'CAST(0 AS DOUBLE) AS s{i}_{c}' for i in sides for c in classes)}
+        UNION ALL
+        SELECT r, g, side, {state} FROM (
+          SELECT *, CASE WHEN e0 <= e1 AND e0 <= e2 THEN 0 WHEN e1 <= e2 THEN 1 ELSE 2 END AS side FROM (
+            SELECT *, {', '.join(f'{error(i)} AS e{i}' for i in sides)} FROM (
+              SELECT n.r, n.g, {', '.join('n.' + c for c in classes)}, {held}, {', '.join('t_' + c for c in classes)}
+              FROM walk w JOIN groups n ON n.r = w.r + 1 CROSS JOIN totals))))
+      SELECT g, side FROM walk WHERE r > 0) w ON w.g = k.g"""
+
+
+@query("split_group_stratified", with_views("labelled", _sql_greedy((0.6, 0.2, 0.2)), keyed=_KEYED))
 def split_group_stratified(spark, sf):
     return S.group_stratified_split(_grouped(spark, sf), 0.6, 0.2, 0.2).select("id", "group", "split")
 

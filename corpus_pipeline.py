@@ -24,20 +24,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id, and of several rows with that id one."""
-    found = jaccard.jaccard_components(docs).select("doc_id", "component_id", "n_shingles")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    repeated = chosen.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return _first_of_each(chosen, repeated)
-
-
-def _first_of_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Rows whose id is not repeated as they are, and the first text of each repeated one."""
-    single = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
-    several = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
-    least = several.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    return single.select(*COLUMNS).unionByName(least.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars"))
+    """One document of each group: that with the smallest id. Rows that share an id count as one document.
+
+    The join lays the texts out by id, so the choice among rows of one id needs no further shuffle.
+    """
+    key = F.coalesce(F.col("doc_id"), F.lit(jaccard.NULL_ID))
+    found = jaccard.jaccard_components(docs)
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
+    chosen = docs.withColumn("_key", key).join(heads, "_key", "left_semi")
+    return chosen.groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("_d")).select("_d.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,12 +23,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def settle(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write a step to the shared folder and read it back: lineage ends there and a lost executor costs a re-read."""
+def settle(df: DataFrame, name: str, *partition_by: str, release: bool = False) -> DataFrame:
+    """Write a step to the shared folder and read it back: lineage ends there and a lost executor costs a re-read.
+
+    Nothing needs the shuffle files behind a written step any more, but Spark deletes them only once the driver's JVM
+    has collected what refers to them; `release` has it do so now.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -285,10 +285,10 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     shared = (step.where("kind = 'regions'").select("bucket", "n", "keys").groupBy("bucket")
               .applyInArrow(_shared_regions, "region long, row long, n long, lead long"))
     members = shared.join(heads.select("row", "sketch"), "row")
-    members = settle(_possible(members, buckets), "regions")
+    members = settle(_possible(members, buckets), "regions", release=True)
     # the texts of all members, found by id and told apart by their set's size and digest
     wanted = members.select("row").distinct().join(heads, "row").select("row", F.coalesce("doc_id", F.lit(NULL_ID)).alias("rid"), "digest")
-    texts = settle(_matching(_packed(docs, text).join(wanted, "rid").select("row", "digest", "data")), "texts")
+    texts = settle(_matching(_packed(docs, text).join(wanted, "rid").select("row", "digest", "data")), "texts", release=True)
 
     # every region's pivot comes from home; a new round takes one from outside the region's main component
     links = checked = spark.createDataFrame([], "a long, b long")
@@ -310,7 +310,7 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
         pairs = settle(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         if not pairs.take(1):
             continue
-        links = links.unionAll(settle(_compare(pairs, texts), "found"))
+        links = links.unionAll(settle(_compare(pairs, texts), "found", release=True))
         checked = checked.unionAll(pairs)
         if not last:
             parts = settle(components(links), "components")

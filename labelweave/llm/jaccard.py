@@ -1,17 +1,18 @@
-"""N-gram Jaccard join: all links between shingle sets with similarity of at least 0.8, exactly, as components.
+r"""N-gram Jaccard join: all links between shingle sets with similarity of at least 0.8, exactly, as components.
 
 The Jaccard distance is a metric, and so is the size of the symmetric difference. Pivots are single shingles: a set is at
 distance 1 - 1/n from each of its own and 1 from all others, and the rank of their hashes breaks the tie. A set's home
-regions are those of its pivots of lowest rank; triangle-inequality windows replicate it to more. For linked sets x and y
-the difference x \\ y has at most a fifth of x, and both differences together at most a ninth of |x| + |y|. So the shingle
-of lowest rank that they share stands at most at a fifth of each ranking (the window), and in one of them at most at a
-ninth (the home): they meet in that shingle's region, one of them at home.
+region is that of its pivot of lowest rank; triangle-inequality windows replicate it to more. For linked sets x and y
+the difference x \ y has at most a fifth of x, so the shingle of lowest rank that they share stands in the first fifth of
+both rankings, the window, and they meet in its region. They also meet in more: of the at least 4/9 (|x| + |y|) shingles
+that they share, at most max(|x| - w(x), |y| - w(y)) lie beyond one of the windows, so they share at least the rest of
+them as regions.
 
 Each region is then joined recursively by documents as pivots. The pivot is compared with all members; members within the
 threshold join its component, and what is left (members of other components, pairs not yet compared) goes to the next
-round with the next pivot. Pairs that sizes, rank positions, or the parity sketch rule out are not compared: the sketch
-holds the parities of hash buckets, which differ in at most |x| + |y| - 2 |x & y| places, so it only rejects pairs that
-cannot link. The last round compares all pairs that are left, so no link between different components is lost.
+round with the next pivot. Pairs that sizes, the number of shared regions, or the parity sketch rule out are not compared:
+the sketch holds the parities of hash buckets, which differ in at most |x| + |y| - 2 |x & y| places, so it only rejects
+pairs that cannot link. The last round compares all pairs that are left, so no link between different components is lost.
 
 Equal sets are folded to one before regions are joined, and copies within a batch before they travel. Comparisons bring
 compressed texts together, in groups of bounded size, and count shared shingles on the whole sets.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.llm.common import settle, shuffle_width, slices
@@ -120,7 +121,7 @@ _STEP = "kind string, row long, doc_id long, n long, digest binary, sketch binar
 
 
 def _replicate(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """A `docs` row per document, and `regions` rows: its home and window regions, packed by bucket."""
+    """A `docs` row per document, and `regions` rows: the regions of its window, packed by bucket."""
     ready = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
     names = [f.split()[0] for f in _STEP.split(", ")]
@@ -138,16 +139,16 @@ def _replicate(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                 out.append(("docs", row, doc_id, len(s), digest, sketch(s), None, None))
                 if len(s) and digest not in seen:
                     seen.add(digest)
-                    kept = s[:len(s) * (100 - PERCENT) // 100 + 1]
-                    parts.append((kept, np.full(len(kept), row), np.full(len(kept), len(s)), np.arange(len(kept))))
+                    kept = s[:_window(len(s))]
+                    parts.append((kept, np.full(len(kept), row), np.full(len(kept), len(s))))
             if parts:
-                hashes, rows, sizes, ranks = (np.concatenate(x) for x in zip(*parts))
+                hashes, rows, sizes = (np.concatenate(x) for x in zip(*parts))
                 bucket = ((hashes & _U(0xFFFFFFFF)) * _U(buckets) >> _U(32)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for i in np.flatnonzero(np.diff(cuts)):
                     take = order[cuts[i]:cuts[i + 1]]
-                    packed = hashes[take].tobytes() + b"".join(a[take].astype("<i8").tobytes() for a in (rows, sizes, ranks))
+                    packed = hashes[take].tobytes() + b"".join(a[take].astype("<i8").tobytes() for a in (rows, sizes))
                     out.append(("regions", None, None, len(take), None, None, int(i), press.compress(packed)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
@@ -155,42 +156,49 @@ def _replicate(docs: DataFrame, text: str, buckets: int) -> DataFrame:
 
 
 def _shared_regions(table: pa.Table) -> pa.Table:
-    """Members of the regions of a bucket in which two different rows meet, one of them at home."""
+    """Members of the regions of a bucket in which different rows meet."""
     unpress, parts = zstandard.ZstdDecompressor(), []
     for n, keys in zip(table.column("n").to_pylist(), table.column("keys").to_pylist()):
-        raw = unpress.decompress(keys, max_output_size=32 * n)
-        parts.append([np.frombuffer(raw[8 * n * i:8 * n * (i + 1)], "<u8" if i == 0 else "<i8") for i in range(4)])
-    region, row, size, rank = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((9 * rank - size, region))
-    region, row, size, rank = region[order], row[order], size[order], rank[order]
-    lead = 9 * rank - size  # at most 0 at home; two members can link only if their leads sum to at most 0
+        raw = unpress.decompress(keys, max_output_size=24 * n)
+        parts.append([np.frombuffer(raw[8 * n * i:8 * n * (i + 1)], "<u8" if i == 0 else "<i8") for i in range(3)])
+    region, row, size = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(region, kind="stable")
+    region, row, size = region[order], row[order], size[order]
     first = np.flatnonzero(np.append(True, region[1:] != region[:-1])) if len(region) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(region)))
-    second = np.minimum(first + 1, len(region) - 1)
-    other = np.repeat(lead[first], count)
-    other[first] = lead[second]
-    keep = np.repeat(count > 1, count) & (lead + other <= 0)
-    return pa.table({"region": pa.array(region[keep].view(np.int64)), "row": row[keep], "n": size[keep], "lead": lead[keep]})
+    keep = np.repeat(count > 1, count)
+    return pa.table({"region": pa.array(region[keep].view(np.int64)), "row": row[keep], "n": size[keep]})
+
+
+def _window(n):
+    """Shingles of a set of n whose regions it joins."""
+    return n * (100 - PERCENT) // 100 + 1
+
+
+def enough_regions(shared: Column, n: Column, m: Column) -> Column:
+    """Whether sets of sizes n and m that share so many regions can link."""
+    beyond = F.greatest(n - F.floor(n * (100 - PERCENT) / 100) - 1, m - F.floor(m * (100 - PERCENT) / 100) - 1)
+    return (100 + PERCENT) * (shared + beyond) >= PERCENT * (n + m)
 
 
 def _possible(members: DataFrame, buckets: int) -> DataFrame:
-    """Members without those that no other member of their region can link with, by size, rank and sketch.
+    """Members without those that no other member of their region can link with, by size and sketch.
 
     Regions of more than SMALL members keep all; the pivots and the last round test their pairs.
     """
-    def partners(m, n, lead, bits):
+    def partners(m, n, bits):
         apart = np.zeros((len(m), len(m)), np.int64)
         for word in range(bits.shape[1]):
             apart += np.bitwise_count(bits[m, word][:, None] ^ bits[m, word][None, :])
         size = n[m]
         total = size[:, None] + size[None, :]
-        ok = (9 * apart <= total) & (lead[m][:, None] + lead[m][None, :] <= 0) & (
+        ok = (9 * apart <= total) & (
             100 * np.minimum(size[:, None], size[None, :]) >= PERCENT * np.maximum(size[:, None], size[None, :]))
         np.fill_diagonal(ok, False)
         return ok.any(axis=1)
 
     def run(table: pa.Table) -> pa.Table:
-        region, row, n, lead = (table.column(c).to_numpy() for c in ("region", "row", "n", "lead"))
+        region, row, n = (table.column(c).to_numpy() for c in ("region", "row", "n"))
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
         order = np.argsort(region, kind="stable")
         first = np.flatnonzero(np.append(True, region[order][1:] != region[order][:-1]))
@@ -198,15 +206,15 @@ def _possible(members: DataFrame, buckets: int) -> DataFrame:
         keep = np.zeros(len(order), bool)
         a, b = order[first[count == 2]], order[first[count == 2] + 1]
         apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-        both = (9 * apart <= n[a] + n[b]) & (lead[a] + lead[b] <= 0) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+        both = (9 * apart <= n[a] + n[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
         keep[a[both]] = keep[b[both]] = True
         for x, size in zip(first[count > 2], count[count > 2]):
             m = order[x:x + size]
-            keep[m] = True if size > SMALL else partners(m, n, lead, bits)
-        return pa.table({"region": region[keep], "row": row[keep], "n": n[keep], "lead": lead[keep]})
+            keep[m] = True if size > SMALL else partners(m, n, bits)
+        return pa.table({"region": region[keep], "row": row[keep], "n": n[keep]})
 
     return (members.withColumn("_bucket", F.pmod(F.xxhash64("region"), F.lit(8 * buckets))).groupBy("_bucket")
-            .applyInArrow(run, "region long, row long, n long, lead long"))
+            .applyInArrow(run, "region long, row long, n long"))
 
 
 def _packed(docs: DataFrame, text: str) -> DataFrame:
@@ -246,30 +254,37 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _left_pairs(members: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of a region that no bound rules out, from members of different components: (a, b)."""
+    """Pairs (a, b) from different components that no bound rules out."""
     def run(table: pa.Table) -> pa.Table:
-        region, row, n, lead, comp = (table.column(c).to_numpy() for c in ("region", "row", "n", "lead", "component"))
+        region, row, n, comp = (table.column(c).to_numpy() for c in ("region", "row", "n", "component"))
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
         order = np.lexsort((n, region))
         cuts = np.flatnonzero(np.append(True, region[order][1:] != region[order][:-1]))
-        found = set()
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x, y in zip(cuts, np.append(cuts[1:], len(order))):
             m = order[x:y]
             size = n[m]
             for i in range(len(m) - 1):
                 stop = np.searchsorted(size, size[i] * 100 // PERCENT, side="right")  # members are in order of size
                 js = m[i + 1:stop]
-                js = js[(comp[js] != comp[m[i]]) & (lead[js] + lead[m[i]] <= 0)]
+                js = js[comp[js] != comp[m[i]]]
                 if len(js):
                     apart = np.bitwise_count(bits[js] ^ bits[m[i]]).sum(axis=1, dtype=np.int64)
                     js = js[9 * apart <= n[js] + size[i]]
-                    r = int(row[m[i]])
-                    found.update((min(r, int(o)), max(r, int(o))) for o in row[js])
-        a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return (members.withColumn("_bucket", F.pmod(F.xxhash64("region"), F.lit(8 * buckets))).groupBy("_bucket")
-            .applyInArrow(run, "a long, b long").distinct())
+                    left.append(np.full(len(js), m[i]))
+                    right.append(js)
+        i, j = np.concatenate(left), np.concatenate(right)
+        swap = row[i] > row[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        pair = np.lexsort((row[j], row[i]))
+        i, j = i[pair], j[pair]
+        new = np.flatnonzero(np.append(True, (row[i][1:] != row[i][:-1]) | (row[j][1:] != row[j][:-1]))) if len(i) else np.zeros(0, np.int64)
+        return pa.table({"a": row[i[new]], "b": row[j[new]], "na": n[i[new]], "nb": n[j[new]], "c": np.diff(np.append(new, len(i)))})
+
+    found = (members.withColumn("_bucket", F.pmod(F.xxhash64("region"), F.lit(8 * buckets))).groupBy("_bucket")
+             .applyInArrow(run, "a long, b long, na long, nb long, c long"))
+    counted = found.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    return counted.where(enough_regions(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -283,29 +298,30 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = settle(classes, "classes")
     heads = rows.join(classes.select(F.col("rep").alias("row")), "row")
     shared = (step.where("kind = 'regions'").select("bucket", "n", "keys").groupBy("bucket")
-              .applyInArrow(_shared_regions, "region long, row long, n long, lead long"))
+              .applyInArrow(_shared_regions, "region long, row long, n long"))
     members = shared.join(heads.select("row", "sketch"), "row")
     members = settle(_possible(members, buckets), "regions", release=True)
     # the texts of all members, found by id and told apart by their set's size and digest
     wanted = members.select("row").distinct().join(heads, "row").select("row", F.coalesce("doc_id", F.lit(NULL_ID)).alias("rid"), "digest")
     texts = settle(_matching(_packed(docs, text).join(wanted, "rid").select("row", "digest", "data")), "texts", release=True)
 
-    # every region's pivot comes from home; a new round takes one from outside the region's main component
+    # a new round takes each region's pivot from outside its main component; pairs that share too few of the pivot's
+    # regions wait for the last round, which counts all regions of a pair
     links = checked = spark.createDataFrame([], "a long, b long")
     open_members = members.withColumn("component", F.col("row")).withColumn("_order", F.col("row"))
     for last in (False,) * PIVOT_ROUNDS + (True,):
         several = open_members.groupBy("region").agg(
             F.min("component").alias("_low"), F.max("component").alias("_high"),
-            F.min(F.when(F.col("lead") <= 0, F.struct("_order", F.col("row").alias("pivot"), F.col("n").alias("pn"), F.col("lead").alias("pl"),
-                                                      F.col("component").alias("pc")))).alias("_first")).where("_low < _high")
+            F.min(F.struct("_order", F.col("row").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))).alias("_first"))
+        several = several.where("_low < _high")
         if last:
             left = open_members.join(several.select("region"), "region", "left_semi").join(heads.select("row", "sketch"), "row")
             pairs = _left_pairs(left, buckets)
         else:
             near = open_members.join(several.select("region", "_first.*").drop("_order"), "region").where(
-                (F.col("component") != F.col("pc")) & (F.col("lead") + F.col("pl") <= 0)
-                & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
-            pairs = near.select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct()
+                (F.col("component") != F.col("pc")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
+            counted = near.groupBy(F.col("pivot").alias("a"), F.col("row").alias("b"), "n", "pn").agg(F.count("region").alias("c"))
+            pairs = counted.where(enough_regions(F.col("c"), F.col("n"), F.col("pn"))).select("a", "b")
         seen = checked.unionAll(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = settle(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         if not pairs.take(1):

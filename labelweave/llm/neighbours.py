@@ -4,9 +4,12 @@
 2. Nodes get first neighbour lists from blocks of vectors with equal hyperplane codes, in several tables.
 3. Each round joins neighbours of neighbours (lists and their reverses) and keeps the best; rounds end when few lists change.
 4. Links at the threshold give components. A node whose list holds links only is saturated: its list is enlarged to its
-   whole component. This is done for every component, exactly, in blocks of bounded size, and yields the counts.
-5. The audit compares a bounded, hash-chosen set of query vectors with all vectors. Below `min_recall` the search goes on with
-   more tables; links that the audit finds are kept.
+   whole component and the best `k` outside it, found by the same descent over the saturated nodes. Links among those
+   join components, and the search is repeated, with new tables, until no saturated list gains a link.
+5. The links inside each component are counted exactly, in blocks of bounded size.
+6. The audit compares a bounded, hash-chosen set of query vectors with all vectors. Below `min_recall` the search goes on with
+   more tables, and after the last attempt every vector is compared with every other in blocks; links that the audit
+   finds are kept.
 
 Blocks, reverse lists and components are split to a bounded number of vectors per task, by a salt, so a vector that a
 third of all rows resemble does not fill one task. No list of nodes, links or components comes to the driver.
@@ -67,8 +70,16 @@ def _near_table(node, other, cosine) -> pa.Table:
     return pa.table({"node": pa.array(node, pa.int64()), "other": pa.array(other, pa.int64()), "cosine": pa.array(cosine, pa.float64())})
 
 
+def _outside(table: pa.Table, kind: str) -> np.ndarray:
+    """Cosines of all pairs of a block; -2 within a component, and so for a node with itself."""
+    x, component = _unit(table.column("vec").to_pylist(), kind), table.column("component").to_numpy()
+    s = x @ x.T
+    s[component[:, None] == component[None, :]] = -2
+    return s
+
+
 def _first_lists(nodes: DataFrame, kind: str, count: int, tables: range, k: int) -> DataFrame:
-    """Neighbours within blocks of equal codes, the best k of each block."""
+    """Neighbours in other components within blocks of equal codes, the best k of each block."""
     bits = max(0, math.ceil(math.log2(max(count, 1) / CODE_ROWS)))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +94,12 @@ def _first_lists(nodes: DataFrame, kind: str, count: int, tables: range, k: int)
                     code = ((x @ planes > 0) @ (1 << np.arange(max(bits, 1)))) if bits else np.zeros(len(pick), np.int64)
                     part = batch.take(pa.array(pick))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pick), t), pa.int32()), pa.array(np.full(len(pick), d), pa.int32()),
-                                                      pa.array(code.astype(np.int64)), part.column(0), part.column(1)],
-                                                     names=["t", "d", "code", "node", "vec"])
+                                                      pa.array(code.astype(np.int64)), part.column(0), part.column(1), part.column(2)],
+                                                     names=["t", "d", "code", "node", "vec", "component"])
 
-    coded = nodes.select("node", "vec").mapInArrow(codes, "t int, d int, code long, node long, vec binary")
-    sizes = nodes.select("node", "vec").mapInArrow(codes, "t int, d int, code long, node long, vec binary").groupBy("t", "d", "code").agg(
+    step = "t int, d int, code long, node long, vec binary, component long"
+    coded = nodes.select("node", "vec", "component").mapInArrow(codes, step)
+    sizes = nodes.select("node", "vec", "component").mapInArrow(codes, step).groupBy("t", "d", "code").agg(
         F.ceil(F.count("node") / BLOCK).alias("parts"))
     blocks = coded.join(sizes, ["t", "d", "code"]).withColumn("part", F.pmod(F.xxhash64("t", "node"), F.col("parts"))).drop("parts")
 
@@ -95,11 +107,11 @@ def _first_lists(nodes: DataFrame, kind: str, count: int, tables: range, k: int)
         node = table.column("node").to_numpy()
         if len(node) < 2:
             return _near_table([], [], [])
-        x = _unit(table.column("vec").to_pylist(), kind)
-        s = x @ x.T
-        np.fill_diagonal(s, -2)
+        s = _outside(table, kind)
         top = np.argpartition(-s, min(k, len(node) - 1) - 1, axis=1)[:, :k]
-        return _near_table(np.repeat(node, top.shape[1]), node[top.ravel()], np.take_along_axis(s, top, 1).ravel())
+        near = np.take_along_axis(s, top, 1).ravel()
+        kept = near > -2
+        return _near_table(np.repeat(node, top.shape[1])[kept], node[top.ravel()][kept], near[kept])
 
     return blocks.groupBy("t", "d", "code", "part").applyInArrow(best, _NEAR)
 
@@ -110,13 +122,17 @@ def _best(candidates: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("place") <= k).drop("place")
 
 
-def _descend(lists: DataFrame, nodes: DataFrame, kind: str, k: int) -> DataFrame:
-    """Better neighbours from joining each node's neighbours, forward and reverse, with one another."""
+def _descend(lists: DataFrame, inner: DataFrame | None, nodes: DataFrame, kind: str, k: int) -> DataFrame:
+    """Better neighbours from joining each node's neighbours, forward and reverse, with those in other components.
+
+    `inner` are lists whose members are joined too, but not made better.
+    """
     least = lists.groupBy("node").agg(F.min("cosine").alias("worst"), F.count("other").alias("held"))
-    facts = nodes.select("node", "vec").join(least, "node", "left").select(
-        F.col("node").alias("member"), "vec", F.when(F.col("held") >= k, F.col("worst")).otherwise(F.lit(-2.0)).alias("worst"))
-    around = lists.select(F.col("node").alias("centre"), F.col("other").alias("member")).unionAll(
-        lists.select(F.col("other").alias("centre"), F.col("node").alias("member"))).distinct()
+    facts = nodes.select("node", "vec", "component").join(least, "node", "left").select(
+        F.col("node").alias("member"), "vec", "component", F.when(F.col("held") >= k, F.col("worst")).otherwise(F.lit(-2.0)).alias("worst"))
+    near = lists.select("node", "other") if inner is None else lists.select("node", "other").unionAll(inner.select("node", "other"))
+    around = near.select(F.col("node").alias("centre"), F.col("other").alias("member")).unionAll(
+        near.select(F.col("other").alias("centre"), F.col("node").alias("member"))).distinct()
     parts = around.groupBy("centre").agg(F.ceil(F.count("member") / 128).alias("parts"))
     around = around.join(parts, "centre").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts"))).drop("parts")
 
@@ -124,21 +140,71 @@ def _descend(lists: DataFrame, nodes: DataFrame, kind: str, k: int) -> DataFrame
         node = table.column("member").to_numpy()
         if len(node) < 2:
             return _near_table([], [], [])
-        x = _unit(table.column("vec").to_pylist(), kind)
-        s = x @ x.T
-        np.fill_diagonal(s, -2)
+        s = _outside(table, kind)
         i, j = np.nonzero(s > table.column("worst").to_numpy()[:, None])
         return _near_table(node[i], node[j], s[i, j])
 
     return around.join(facts, "member").groupBy("centre", "part").applyInArrow(run, _NEAR)
 
 
+def _converge(lists: DataFrame, inner: DataFrame | None, nodes: DataFrame, kind: str, k: int, few: float) -> DataFrame:
+    """The lists after as many rounds as it takes until at most `few` entries change. Entries only get better, so rounds end."""
+    while True:
+        after = settle(_best(lists.unionAll(_descend(lists, inner, nodes, kind, k)), k), "lists")
+        changed = after.select("node", "other").exceptAll(lists.select("node", "other")).count()
+        lists = after
+        if changed <= few:
+            return lists
+
+
+def _enlarge(lists: DataFrame, links: DataFrame, nodes: DataFrame, kind: str, threshold: float, k: int, tables: range, min_change: float
+             ) -> tuple[DataFrame, DataFrame]:
+    """Links and components after saturated lists are enlarged to their components and the best k outside them.
+
+    A link that is cut by k at one end only stands in the other end's list, so the search is among saturated nodes.
+    """
+    full = lists.groupBy("node").agg(F.min("cosine").alias("worst"), F.count("other").alias("held")).where(
+        (F.col("held") >= k) & (F.col("worst") >= threshold)).select("node")
+    saturated = settle(nodes.select("node", "vec").join(full, "node"), "saturated")
+    count = saturated.count()
+    while True:
+        parts = settle(components(links), "components")
+        placed = settle(saturated.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        ends = placed.agg(F.min("component").alias("low"), F.max("component").alias("high")).first()
+        if ends["low"] == ends["high"]:
+            return links, parts
+        outer = settle(_best(_first_lists(placed, kind, count, tables, k), k), "lists")
+        outer = _converge(outer, lists, placed, kind, k, min_change * k * count)
+        gained = settle(outer.where(F.col("cosine") >= threshold).select(F.col("node").alias("a"), F.col("other").alias("b")), "gained")
+        if not gained.take(1):
+            return links, parts
+        links, tables = links.unionAll(gained), range(tables.stop, tables.stop + len(tables))
+
+
+def _block_pairs(members: DataFrame, by: str) -> DataFrame:
+    """Members once for each pair (i, j) of blocks of their group `by` that they take part in."""
+    sizes = members.groupBy(by).agg(F.ceil(F.count("node") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        *members.columns, F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block")
+
+
+def _every_pair(nodes: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """Links (a, b) between components from comparing all vectors; of a pair of blocks, one for each pair of components."""
+    def run(table: pa.Table) -> pa.Table:
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        i, j = np.nonzero(np.triu(_outside(table, kind) >= threshold))
+        low, high = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+        first = np.unique(np.stack([low, high]), axis=1, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
+        return pa.table({"a": node[i[first]], "b": node[j[first]]})
+
+    pairs = _block_pairs(nodes.select("node", "vec", "component", F.octet_length("vec").alias("size")), "size")
+    return pairs.groupBy("size", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _component_counts(members: DataFrame, kind: str, threshold: float) -> DataFrame:
     """(node, linked): weight of the other nodes of its component at the threshold, over pairs of blocks."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("node") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "vec", "weight")
+    pairs = _block_pairs(members.select("component", "node", "vec", "weight"), "component")
 
     def run(table: pa.Table) -> pa.Table:
         node, weight, block = (table.column(c).to_numpy() for c in ("node", "weight", "block"))
@@ -178,7 +244,7 @@ def _audit(nodes: DataFrame, kind: str, threshold: float, queries: int) -> DataF
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", column: str = "embedding", k: int = 6, tables: int = 8,
-                    rounds: int = 3, min_change: float = 0.01, min_recall: float = 0.98, queries: int = 256, attempts: int = 3) -> DataFrame:
+                    min_change: float = 0.01, min_recall: float = 0.98, queries: int = 256, attempts: int = 3) -> DataFrame:
     """key, n_links, component_id, kept of every row."""
     packed, kind = _rows(vectors, key, column)
     rows = settle(packed, "vectors")
@@ -186,24 +252,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
     nodes = settle(rows.where("vec is not null").groupBy("vec").agg(F.min("row").alias("node"), F.count("row").alias("weight"), F.min(own).alias("least")), "nodes")
     count = nodes.count()
     truth = settle(_audit(nodes, kind, threshold, queries), "audit")
-    lists, found = None, truth
+    apart = nodes.select("node", "vec", F.col("node").alias("component"))
+    lists, links = None, truth.limit(0)
     for attempt in range(attempts):
-        first = _first_lists(nodes, kind, count, range(attempt * tables, (attempt + 1) * tables), k)
+        first = _first_lists(apart, kind, count, range(attempt * tables, (attempt + 1) * tables), k)
         lists = settle(_best(first if lists is None else first.unionAll(lists), k), "lists")
-        for _ in range(rounds):
-            after = settle(_best(lists.unionAll(_descend(lists, nodes, kind, k)), k), "lists")
-            changed = after.select("node", "other").exceptAll(lists.select("node", "other")).count()
-            lists = after
-            if changed <= min_change * k * count:
-                break
-        links = lists.where(F.col("cosine") >= threshold).select(F.col("node").alias("a"), F.col("other").alias("b"))
-        parts = settle(components(links), "components")
+        lists = _converge(lists, None, apart, kind, k, min_change * k * count)
+        links = links.unionAll(lists.where(F.col("cosine") >= threshold).select(F.col("node").alias("a"), F.col("other").alias("b")))
+        start = 1_000_000 * (attempt + 1)
+        links, parts = _enlarge(lists, links, nodes, kind, threshold, k, range(start, start + tables), min_change)
         side = lambda n: parts.select(F.col("node").alias(n), F.col("component").alias(f"_{n}"))
         met = truth.join(side("a"), "a", "left").join(side("b"), "b", "left").agg(
             F.count("a").alias("n"), F.count(F.when(F.col("_a") == F.col("_b"), 1)).alias("hit")).first()
         if met["hit"] >= min_recall * met["n"]:
             break
-    parts = settle(components(links.unionAll(found)), "components")
+    else:
+        placed = apart.drop("component").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        links = links.unionAll(settle(_every_pair(placed, kind, threshold), "links"))
+    parts = settle(components(links.unionAll(truth)), "components")
     members = parts.join(nodes.select("node", "vec", "weight"), "node")
     counts = _component_counts(members, kind, threshold)
     named = parts.join(parts.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id")), "component")

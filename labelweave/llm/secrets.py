@@ -3,7 +3,8 @@
 A candidate is a run of at least 16 of `A-Za-z0-9+/_=-` with a digit in it. Its features are length, changes of
 character class, share of letters that stand in dictionary words, alphabet, whether it looks like a path, and the words
 beside it. The forest learns from labelled findings; without a table of them, `weak_labels` marks candidates that are
-assigned to a telling name as secrets and those far from any such name as harmless, and leaves the rest to the forest.
+assigned to a telling name as secrets and those far from any such name as harmless, and leaves the rest, and what has the
+shape of a key wherever it stands, to the forest.
 
 Documents without a candidate are skipped by one test of the text, so clean text costs one pass and no shuffle.
 
@@ -72,30 +73,49 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
 
 
 def weak_labels(rows: DataFrame) -> DataFrame:
-    """Labelled findings from context alone: 1 where a telling name is assigned, 0 where nothing of the kind is near."""
+    """Labelled findings: 1 where a telling name is assigned, 0 where nothing of the kind is near and the shape is not a key's."""
     told = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("length") >= 20)
-    far = (F.col("named") == 0) & (F.col("assigned") == 0)
+    keylike = ((F.col("length") >= 20) & (F.col("transitions") >= 0.2) & (F.col("dictionary_share") < 0.3) & (F.col("upper_share") > 0)
+               & (F.col("path_like") == 0))
+    far = (F.col("named") == 0) & (F.col("assigned") == 0) & ~keylike
     return rows.withColumn("label", F.when(told, 1.0).when(far, 0.0)).where("label is not null")
 
 
+def _training(rows: DataFrame, max_findings: int) -> DataFrame:
+    """Per class, at most `max_findings` distinct findings in their context, chosen by hash, so a rare class stays whole.
+
+    `weight` is the number of rows that a finding stands for: its copies, times the share of its class that was drawn.
+    """
+    rows = rows.withColumn("_h", F.xxhash64("value", "word", "left2", "left1", "right1"))
+    held = rows.select("label", "_h").distinct().groupBy("label").agg(F.count("_h").alias("n")).orderBy("label").collect()
+    out = None
+    for label, n in held:
+        own, scale = rows.where(F.col("label") == label), 1_000_000_000
+        if n > max_findings:  # far fewer rows before they are grouped
+            own = own.where(F.pmod("_h", F.lit(scale)) < int(scale * min(1.0, 1.2 * (max_findings + 1000) / n)) + 1)
+        folded = own.groupBy(*FEATURES, "label", "_h").agg((F.count("_h") * max(1.0, n / max_findings)).alias("weight"))
+        drawn = bounded(folded, F.col("_h"), max_findings)
+        out = drawn if out is None else out.unionAll(drawn)
+    return rows.select(*FEATURES, "label", "_h", F.lit(1.0).alias("weight")).limit(0) if out is None else out
+
+
 def classify(found: DataFrame, labelled: DataFrame | None = None, words: list[str] | None = None, max_findings: int = 20_000,
              trees: int = 20, depth: int = 6) -> DataFrame:
     """Candidates with `score` and `is_secret`.
 
-    `labelled` holds candidates in the same columns with a `label`; at most `max_findings` of them, chosen by hash,
+    `labelled` holds candidates in the same columns with a `label`; at most `max_findings` of each class, chosen by hash,
     train the forest.
     """
     rows = with_features(found, words or [])
     train = weak_labels(rows) if labelled is None else with_features(labelled, words or []).where("label is not null")
-    train = train.select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64("value", "left1", "right1").alias("_h"))
-    train = settle(bounded(train, F.col("_h"), max_findings), "findings")
+    train = settle(_training(train.withColumn("label", F.col("label").cast("double")), max_findings), "findings")
     classes = {r["label"] for r in train.select("label").distinct().collect()}
     if len(classes) < 2:
         score = F.lit(classes.pop() if classes else 0.0)
         return rows.withColumn("score", score).withColumn("is_secret", F.col("score") > 0.5)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_x", handleInvalid="keep")
-    forest = RandomForestClassifier(featuresCol="_x", labelCol="label", numTrees=trees, maxDepth=depth, seed=11, cacheNodeIds=False)
-    model = forest.fit(assembler.transform(train).select("_x", "label"))
+    forest = RandomForestClassifier(featuresCol="_x", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=11, cacheNodeIds=False)
+    model = forest.fit(assembler.transform(train).select("_x", "label", "weight"))
     scored = model.transform(assembler.transform(rows)).withColumn("score", vector_to_array(F.col("probability"))[1])
     return scored.drop("_x", "rawPrediction", "probability", "prediction").withColumn("is_secret", F.col("score") > 0.5)
 

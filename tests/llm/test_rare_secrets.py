@@ -1,0 +1,38 @@
+"""Rare telling findings among many harmless ones, and keys without a name beside them."""
+
+from __future__ import annotations
+
+import random
+import string
+
+from pyspark.sql import functions as F
+
+from labelweave.llm import secrets
+
+
+def _key(rng, n=32):
+    return "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) + "7aB3x"
+
+
+def test_rare_class_trains_whole(spark):
+    rng = random.Random(2)
+    rows = [(i, f"paid {rng.randrange(10 ** 17, 10 ** 18)} today") for i in range(4_000)]
+    rows += [(10_000 + i, f"token = {_key(rng)} end") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secrets.classify(secrets.candidates(docs), max_findings=60)
+    assert got.where("is_secret").count() == 5 and got.where("is_secret and doc_id < 10000").count() == 0
+
+
+def test_copies_weigh(spark):
+    rows = [(0.0, "a", 3), (1.0, "b", 1), (1.0, "c", 2)]
+    rows = [(label, value) for label, value, n in rows for _ in range(n)]
+    found = spark.createDataFrame(rows, "label double, value string").select(
+        "label", "value", *[F.lit("").alias(c) for c in ("word", "left2", "left1", "right1")], *[F.lit(0.0).alias(c) for c in secrets.FEATURES])
+    assert sorted(r.weight for r in secrets._training(found, 10).collect()) == [1.0, 2.0, 3.0]
+    assert secrets._training(found, 1).count() == 2
+
+
+def test_bare_keys_are_not_called_harmless(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(1, f"use {_key(rng)} there"), (2, "card 980791576280449012 paid")], "doc_id long, text string")
+    assert {r.doc_id: r.label for r in secrets.weak_labels(secrets.with_features(secrets.candidates(docs), [])).collect()} == {2: 0.0}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.llm import jaccard, packing, quality, secrets, suffixes
-from labelweave.llm.common import read, settle
+from labelweave.llm.common import read, settle, word_array
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,15 +24,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id. Rows that share an id count as one document.
+    """One row of each component: that with the smallest id, and of these the smallest digest. Rows without words all stay.
 
-    The join lays the texts out by id, so the choice among rows of one id needs no further shuffle.
+    Rows are told apart by id and text, whatever other rows share the id; rows equal in both are linked with each other.
+    The join lays the texts out by this key, so the choice among equal rows needs no further shuffle.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(jaccard.NULL_ID))
-    found = jaccard.jaccard_components(docs)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    chosen = docs.withColumn("_key", key).join(heads, "_key", "left_semi")
-    return chosen.groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("_d")).select("_d.*")
+    key, text = F.coalesce(F.col("doc_id"), F.lit(jaccard.NULL_ID)).alias("_key"), F.coalesce(F.col("text"), F.lit(""))
+    found = jaccard.joined_rows(docs).where("component is not null")
+    heads = found.groupBy("component").agg(F.min(F.struct(key, "content")).alias("_h")).select("_h._key", F.col("_h.content").alias("_content"))
+    blank = F.size(word_array(F.col("text"))) == 0
+    keyed = docs.where(~blank).select(*COLUMNS, key, F.unhex(F.sha2(text, 256)).alias("_content"))
+    chosen = keyed.join(heads, ["_key", "_content"], "left_semi").groupBy("_key", "_content").agg(F.min(F.struct(*COLUMNS)).alias("_d"))
+    return chosen.select("_d.*").unionByName(docs.where(blank).select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

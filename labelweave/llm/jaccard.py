@@ -117,7 +117,7 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
 
 
-_STEP = "kind string, row long, doc_id long, n long, digest binary, sketch binary, bucket int, keys binary"
+_STEP = "kind string, row long, doc_id long, n long, digest binary, sketch binary, bucket int, keys binary, content binary"
 
 
 def _replicate(docs: DataFrame, text: str, buckets: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _replicate(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     ready = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
     names = [f.split()[0] for f in _STEP.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -136,7 +136,7 @@ def _replicate(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             for row, doc_id, data in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingle_set(data)
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                out.append(("docs", row, doc_id, len(s), digest, sketch(s), None, None))
+                out.append(("docs", row, doc_id, len(s), digest, sketch(s), None, None, hashlib.sha256(data).digest()))
                 if len(s) and digest not in seen:
                     seen.add(digest)
                     kept = s[:_window(len(s))]
@@ -149,7 +149,7 @@ def _replicate(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                 for i in np.flatnonzero(np.diff(cuts)):
                     take = order[cuts[i]:cuts[i + 1]]
                     packed = hashes[take].tobytes() + b"".join(a[take].astype("<i8").tobytes() for a in (rows, sizes))
-                    out.append(("regions", None, None, len(take), None, None, int(i), press.compress(packed)))
+                    out.append(("regions", None, None, len(take), None, None, int(i), press.compress(packed), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     return ready.mapInArrow(run, _STEP)
@@ -289,10 +289,19 @@ def _left_pairs(members: DataFrame, buckets: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs`."""
+    return joined_rows(docs, text).select("doc_id", "n_shingles", "component_id")
+
+
+def joined_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, content, component of every row of `docs`.
+
+    `content` is the SHA-256 of the text. Ids may be null or repeat, so components share a component_id at times; `component`
+    tells them apart, and is null for rows without shingles, which are components of their own.
+    """
     spark = docs.sparkSession
     buckets = shuffle_width(spark)
     step = settle(_replicate(docs, text, BUCKETS * buckets), "shingles", "kind")
-    rows = step.where("kind = 'docs'").select("row", "doc_id", "n", "digest", "sketch")
+    rows = step.where("kind = 'docs'").select("row", "doc_id", "n", "digest", "sketch", "content")
     # equal sets are one from here on; an empty set links with nothing
     classes = rows.where("n > 0").groupBy("digest", "n").agg(F.min("row").alias("rep"), F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least"))
     classes = settle(classes, "classes")
@@ -338,10 +347,10 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     # the smallest id of a component, over all copies of its sets
     whole = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = whole.select("digest", "n", "component").join(least, "component").select("digest", F.col("n").alias("_n"), "component_id")
+    named = whole.select("digest", "n", "component").join(least, "component").select("digest", F.col("n").alias("_n"), "component_id", "component")
     own = F.coalesce("component_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     return (rows.join(named, (rows["digest"] == named["digest"]) & (rows["n"] == named["_n"]), "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(own != NULL_ID, own).alias("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.when(own != NULL_ID, own).alias("component_id"), "content", "component"))
 
 
 def _matching(rows: DataFrame) -> DataFrame:

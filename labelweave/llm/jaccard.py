@@ -73,8 +73,8 @@ def word_hashes(data: bytes) -> np.ndarray:
         end = min(len(data), begin + BLOCK)
         if end < len(data):
             cut = max(data.rfind(s, begin, end) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-            end = cut + 1 if cut > begin else end
-            if cut <= begin:  # a word longer than a block: hash it alone
+            end = cut + 1 if cut >= begin else end
+            if cut < begin:  # a word longer than a block: hash it alone
                 stop = begin
                 while stop < len(data) and data[stop] > 32 or stop < len(data) and data[stop] not in b" \t\n\x0b\x0c\r":
                     stop += 1

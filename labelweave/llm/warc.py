@@ -52,8 +52,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
 
 
 def chunked(payload: str, chunk_chars: int = 4096) -> str:
-    """Chunked transfer coding of a text, cut so that a version line, and with it a separator, never stands inside it."""
-    needle, out, at = SEPARATOR, [], 0
+    """Chunked transfer coding of a text, cut inside every version, so that none meets the line end after a chunk or segment."""
+    needle, out, at = VERSION, [], 0
     while at < len(payload):
         end = min(len(payload), at + chunk_chars)
         inside = payload.find(needle, at, end + len(needle))

@@ -6,6 +6,7 @@ import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def sized_slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` rows and about `size` bytes of a binary column; a longer value comes alone."""
+    for batch in slices(batches, rows):
+        start, held = 0, 0
+        for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+            if held and held + n > size:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def bind(value: Column, body) -> Column:
     """Evaluate a column once per row and use it many times inside an expression."""
     return F.transform(F.array(value), body)[0]

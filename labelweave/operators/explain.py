@@ -94,5 +94,4 @@ def importance_of_prediction(predictions: DataFrame, classifier: TextClassifier,
 
 def ngram_range(classifier: TextClassifier) -> tuple[int, int]:
     """Shortest and longest n-gram of the fitted vocabulary."""
-    sizes = [len(t) for t in classifier.vocabulary()] or [1]
-    return min(sizes), max(sizes)
+    return classifier.features.gram_lengths()

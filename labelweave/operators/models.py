@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +17,11 @@ from pyspark.sql.types import ArrayType, DoubleType
 from labelweave.functions import proba as P
 from labelweave.functions.normalize import NormConfig, normalize
 from labelweave.operators import calibration as C
+from labelweave.operators import features
 from labelweave.operators import metrics as M
-from labelweave.operators import ngrams as G
+from labelweave.operators.features import GramFeatures
 from labelweave.schema import LABELS, keyed_hash, spread
 
-FEATURE_KINDS = ("vocabulary", "hashed")
-
 
 @dataclass(frozen=True)
 class TrainConfig:
@@ -45,69 +41,9 @@ class TrainConfig:
     norm: NormConfig = field(default_factory=NormConfig)
 
 
-def _gram_sql(nmin: int, nmax: int) -> str:
-    parts = ", ".join(f"regexp_extract_all(_clean, '(?s)(?=(.{{{n}}})).', 1)" for n in range(nmin, nmax + 1))
-    return f"SELECT *, flatten(array({parts})) AS _grams FROM __THIS__"
-
-
-def _clean_sql(text: str) -> str:
-    run = G.SPACE_RUN.replace("\\", "\\\\")
-    return f"SELECT *, regexp_replace({text}, '{run}', ' ') AS _clean FROM __THIS__"
-
-
-def bucket_of(gram: Column, num_features: int) -> Column:
-    """Column of a hashed n-gram."""
-    return F.pmod(F.xxhash64(gram), F.lit(num_features))
-
-
-def _bucket_sql(num_features: int) -> str:
-    """Kept n-grams of a row as the names of their columns."""
-    return (f"SELECT * EXCEPT (_grams), transform(_grams, g -> cast(pmod(xxhash64(g), {num_features}L) AS string)) AS _grams "
-            "FROM __THIS__")
-
-
-def fit_features(train: DataFrame, cfg: TrainConfig, text: str = "_norm") -> tuple[PipelineModel, list[tuple[str, int]]]:
-    """TF-IDF features fitted on the training texts, and the (n-gram, column) pairs behind them.
-
-    Range and min_df shrink for tiny data; an empty vocabulary falls back to n-grams of length 1 to 3 without a
-    frequency floor. What the features are is the caller's word and never depends on the size of the vocabulary:
-
-    * ``vocabulary``: one column per n-gram found in at least ``min_df`` texts.
-    * ``hashed``: ``num_features`` columns. An n-gram below the floor weighs nothing unless it shares its column with
-      one above it; the kept n-grams keep their names, so weights and explanations work as for a vocabulary.
-    """
-    if cfg.features not in FEATURE_KINDS:
-        raise ValueError(f"unknown features {cfg.features!r}")
-    n_docs = train.count()
-    if n_docs == 0:
-        raise ValueError("empty training split")
-    nmin, nmax = G.effective_range(train, cfg.ngram_min, cfg.ngram_max, text)
-    min_df = cfg.min_df if n_docs >= cfg.min_df else max(1, n_docs)
-    vocabulary = G.document_frequency(train, nmin, nmax, min_df, text=text)
-    if vocabulary.isEmpty():
-        longest = train.agg(F.max(F.length(text)).alias("m")).first()["m"]
-        nmin, nmax, min_df = 1, min(3, longest), 1
-        vocabulary = G.document_frequency(train, nmin, nmax, min_df, text=text)
-    cut = [SQLTransformer(statement=_clean_sql(text)), SQLTransformer(statement=_gram_sql(nmin, nmax))]
-    if cfg.features == "hashed":
-        # a column counts a text once however many of its n-grams the text holds
-        named = vocabulary.select("gram", bucket_of(F.col("gram"), cfg.num_features).cast("int").alias("at"))
-        terms = sorted((r["gram"], r["at"]) for r in named.toLocalIterator())
-        counted = PipelineModel([*cut, SQLTransformer(statement=_bucket_sql(cfg.num_features))]).transform(train)
-        df = {int(r["b"]): r["n"] for r in counted.select(F.explode(F.array_distinct("_grams")).alias("b")).groupBy("b")
-              .agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-        kept = {at for _, at in terms}
-        inverse = [math.log((1 + n_docs) / (1 + df.get(i, 0))) + 1.0 if i in kept else 0.0 for i in range(cfg.num_features)]
-        names = [str(i) for i in range(cfg.num_features)]
-        stages = [*cut, SQLTransformer(statement=_bucket_sql(cfg.num_features))]
-    else:
-        found = sorted((r["gram"], r["df"]) for r in vocabulary.toLocalIterator())
-        terms = [(g, i) for i, (g, _) in enumerate(found)]
-        inverse = [math.log((1 + n_docs) / (1 + df)) + 1.0 for _, df in found]
-        names, stages = [g for g, _ in found], cut
-    counter = CountVectorizerModel.from_vocabulary(names, inputCol="_grams", outputCol="_tf")
-    weigh = ElementwiseProduct(scalingVec=Vectors.dense(inverse), inputCol="_tf", outputCol="_raw")
-    return PipelineModel([*stages, counter, weigh, Normalizer(p=2.0, inputCol="_raw", outputCol="features")]), terms
+def fit_features(train: DataFrame, cfg: TrainConfig, text: str = "_norm") -> GramFeatures:
+    """Features of a configuration; see ``features.fit_features``."""
+    return features.fit_features(train, cfg.ngram_min, cfg.ngram_max, cfg.min_df, cfg.features, cfg.num_features, text)
 
 
 def row_weights(train: DataFrame, class_weight: str | dict, label: str = "label") -> Column:
@@ -183,16 +119,14 @@ def fit_calibrator(scored: DataFrame, method: str, classes: Sequence[str], label
 class TextClassifier:
     """Normaliser, features, linear model, optional calibration: everything scoring needs."""
 
-    features: PipelineModel
+    features: GramFeatures
     model: LogisticRegressionModel
     classes: list[str]
     norm: NormConfig = field(default_factory=NormConfig)
     calibrators: list = field(default_factory=list)
-    terms: list = field(default_factory=list)
 
     def vectorize(self, df: DataFrame, text: str = "text") -> DataFrame:
-        out = self.features.transform(df.withColumn("_norm", normalize(text, self.norm)))
-        return out.drop("_clean", "_grams", "_tf", "_raw")
+        return self.features.transform(df.withColumn("_norm", normalize(text, self.norm)))
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Adds normalized_text, logits and proba (maps by label), pred_label, confidence and margin."""
@@ -219,22 +153,19 @@ class TextClassifier:
         return scored.drop("features")
 
     def vocabulary(self) -> list[str]:
-        return [g for g, _ in self.terms]
+        """All n-grams in the order of their columns. A list for small models; ``features.index`` is the table."""
+        return [r["gram"] for r in self.features.index.orderBy("column", "gram").collect()]
 
     def weights(self, spark) -> DataFrame:
         """(feature, idf, label, weight, column) rows, one per n-gram and class; n-grams of one hashed column share its weight."""
-        idf = next(s for s in self.features.stages if isinstance(s, ElementwiseProduct)).getScalingVec().toArray()
-        matrix = self.model.coefficientMatrix.toArray()
-        rows = ((t, j, float(idf[j]), [float(w) for w in matrix[:, j]]) for t, j in self.terms)
-        table = spark.createDataFrame(list(rows), "feature string, column int, idf double, w array<double>")
-        return table.select("feature", "idf", F.inline(F.array(*[
+        table = self.features.index.join(features.coefficient_table(spark, self.model.coefficientMatrix.toArray()), "column")
+        return table.select(F.col("gram").alias("feature"), "idf", F.inline(F.array(*[
             F.struct(F.lit(c).alias("label"), F.col("w")[i].alias("weight")) for i, c in enumerate(self.classes)])), "column")
 
     def save(self, path: str) -> None:
         spark = _active_session()
-        self.features.write().overwrite().save(f"{path}/features")
+        self.features.save(f"{path}/features")
         self.model.write().overwrite().save(f"{path}/model")
-        spark.createDataFrame(self.terms, "gram string, at int").write.mode("overwrite").parquet(f"{path}/terms")
         meta = {"classes": self.classes, "norm": asdict(self.norm), "calibrators": []}
         for i, (member, cal) in enumerate(self.calibrators):
             if member is not None:
@@ -258,9 +189,8 @@ class TextClassifier:
             member = LogisticRegressionModel.load(f"{path}/member_{i}") if c["own"] else None
             lines = {k: tuple(v) for k, v in c["lines"].items()}
             calibrators.append((member, Calibrator(c["method"], c["temperature"], lines, steps)))
-        terms = sorted((r["gram"], r["at"]) for r in spark.read.parquet(f"{path}/terms").toLocalIterator())
-        return cls(PipelineModel.load(f"{path}/features"), LogisticRegressionModel.load(f"{path}/model"),
-                   meta["classes"], NormConfig(**meta["norm"]), calibrators, terms)
+        return cls(GramFeatures.load(f"{path}/features"), LogisticRegressionModel.load(f"{path}/model"),
+                   meta["classes"], NormConfig(**meta["norm"]), calibrators)
 
 
 def _active_session():
@@ -278,11 +208,11 @@ def fit(train: DataFrame, cfg: TrainConfig = TrainConfig(), val: DataFrame | Non
     """Train on (id, text, label); calibrate on ``val``, or over folds of ``train`` when cfg.folds > 1."""
     rows = (spread(train.select("id", "label", "text"), "id")
             .withColumn("_norm", normalize("text", cfg.norm)).drop("text").persist())
-    features, terms = fit_features(rows, cfg)
-    vectors = features.transform(rows).select("id", "label", "features").persist()
+    fitted = fit_features(rows, cfg)
+    vectors = fitted.transform(rows).select("id", "label", "features").persist()
     sample = resampler(vectors) if resampler else vectors
     model, classes = fit_classifier(sample, cfg)
-    out = TextClassifier(features, model, classes, cfg.norm, terms=terms)
+    out = TextClassifier(fitted, model, classes, cfg.norm)
     if cfg.calibrate != "none":
         if cfg.folds > 1 and cfg.calibrate != "temperature":
             out.calibrators = [_fold(vectors, out, cfg, k) for k in range(cfg.folds)]
@@ -344,14 +274,14 @@ def fit_language_routed(train: DataFrame, cfg: TrainConfig = TrainConfig(), lang
         langs = sorted(r["l"] for r in train.where("lang is not null").select(lower.alias("l")).distinct().collect())
     rows = spread(train.select("id", "label", lower.alias("_lang"), "text"), "id").withColumn(
         "_norm", normalize("text", cfg.norm)).drop("text").persist()
-    features, terms = fit_features(rows, cfg)
-    vectors = features.transform(rows).select("id", "label", "_lang", "features").persist()
-    default = TextClassifier(features, *fit_classifier(vectors, cfg), cfg.norm, terms=terms)
+    fitted = fit_features(rows, cfg)
+    vectors = fitted.transform(rows).select("id", "label", "_lang", "features").persist()
+    default = TextClassifier(fitted, *fit_classifier(vectors, cfg), cfg.norm)
     heads = {}
     for l in langs:
         part = vectors.where(F.col("_lang") == l.lower())
         if part.select("label").distinct().limit(2).count() == 2:
-            heads[l.lower()] = TextClassifier(features, *fit_classifier(part, cfg), cfg.norm, terms=terms)
+            heads[l.lower()] = TextClassifier(fitted, *fit_classifier(part, cfg), cfg.norm)
     vectors.unpersist()
     rows.unpersist()
     return LanguageRouted(default, heads)

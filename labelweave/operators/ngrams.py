@@ -68,16 +68,20 @@ def ngram_counts(df: DataFrame, nmin: int = 3, nmax: int = 5, key: str = "id", t
     return gram_rows(texts, nmin, nmax, key, "_text").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def document_frequency(df: DataFrame, nmin: int = 3, nmax: int = 5, min_df: int = 1, key: str = "id",
-                       text: str = "text") -> DataFrame:
-    """(gram, df) for n-grams found in at least ``min_df`` texts."""
+def gram_sets(df: DataFrame, nmin: int, nmax: int, text: str = "text") -> DataFrame:
+    """(grams): the distinct n-grams of each text, from one scan of it."""
     texts = df.select(collapse_spaces(text).alias("_text"))
     longest = F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{nmin},{nmax}}})).")))
     prefixes = lambda n: F.transform(F.filter("_g", lambda g: F.length(g) >= n), lambda g: F.substring(g, 1, n))
     shorter = [prefixes(n) for n in range(nmin, nmax)]
     whole = F.filter(F.col("_g"), lambda g: F.length(g) == nmax)
-    grams = F.array_distinct(F.flatten(F.array(*shorter, whole)))
-    return (texts.select(longest.alias("_g")).select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    return texts.select(longest.alias("_g")).select(F.array_distinct(F.flatten(F.array(*shorter, whole))).alias("grams"))
+
+
+def document_frequency(df: DataFrame, nmin: int = 3, nmax: int = 5, min_df: int = 1, key: str = "id",
+                       text: str = "text") -> DataFrame:
+    """(gram, df) for n-grams found in at least ``min_df`` texts."""
+    return (gram_sets(df, nmin, nmax, text).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
             .where(F.col("df") >= min_df))
 
 

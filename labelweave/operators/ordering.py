@@ -6,8 +6,10 @@ depends on the row alone, bins are counted (a map-side combined aggregate), and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +26,9 @@ BIN_DIGITS = 4
 
 NOTHING, EVERYTHING = "", "g"
 
+# Steps of an order prefix per doubling of a value, and the bins that a prefix with many values is cut into.
+PREFIX_STEPS, FINE_BINS = 2048, 1 << 16
+
 # Rows that one task orders, and bounds on the number of bins that follows from it.
 ROWS_PER_BIN, MIN_BINS, MAX_BINS = 1_000_000, 8, 10_000
 
@@ -122,29 +127,58 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], by: Sequenc
     return out.drop("_bin", *[f"_o_{v}" for v in values])
 
 
+def order_prefix(value: Column) -> Column:
+    """A whole number that never falls where a double rises: sign and binary order of magnitude in steps of 1/2048.
+
+    Zero is 0, infinities are outermost, and NaN is above all, as in Spark's own order.
+    """
+    size = F.floor(F.log2(F.abs(value)) * PREFIX_STEPS) + 1 + PREFIX_STEPS * 1100  # positive for every double but 0
+    return (F.when(F.isnan(value), PREFIX_STEPS * 4000).when(value == float("inf"), PREFIX_STEPS * 3000).when(value == float("-inf"), -PREFIX_STEPS * 3000)
+            .when(value > 0, size).when(value < 0, -size).otherwise(0).cast("long"))
+
+
 def value_at_rank(df: DataFrame, column: str, rank: Callable[[int], int], limit: int = ROWS_PER_BIN) -> tuple:
     """(value at 0-based ascending rank ``rank(n)``, n); (None, 0) without rows.
 
-    The range that must hold the rank is narrowed with approximate quantiles and exact counts, which move no rows,
-    until few distinct values are left to order.
+    Radix selection over persisted values. One pass counts the values of each prefix of the order, with their smallest and
+    largest, map-side combined. The prefix that holds the rank is read again: a bin of at most ``limit`` values is folded
+    and ordered, a larger one is counted again in finer, equally wide bins. The finest bin has one value.
     """
-    rows = df.select(F.col(column).alias("v")).where(F.col(column).isNotNull())
-    n = rows.count()
-    if n == 0:
-        return None, 0
-    wanted, below, inside = int(rank(n)), 0, rows
-    while True:
-        cells = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-        if cells.limit(limit + 1).count() <= limit:
-            running = cells.withColumn("upto", F.sum("c").over(W.partitionBy(F.lit(1)).orderBy("v")))
-            return running.where(F.col("upto") > wanted - below).agg(F.min("v").alias("v")).first()["v"], n
-        share, slack = (wanted - below) / inside.count(), 0.01
-        lo, hi = inside.approxQuantile("v", [max(0.0, share - 2 * slack), min(1.0, share + 2 * slack)], slack)
-        part = inside.where(F.col("v").between(lo, hi))
-        before = inside.where(F.col("v") < lo).count()
-        if lo == hi:
-            return lo, n
-        below, inside = below + before, part
+    kind = df.schema[column].dataType.simpleString()
+    rows = df.select(F.col(column).cast("double").alias("v")).where(F.col(column).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        bins = _bin_counts(rows, order_prefix(F.col("v")))
+        n = sum(b["c"] for b in bins)
+        if not n:
+            return None, 0
+        wanted, inside = int(rank(n)), rows
+        while True:
+            for at in bins:
+                if wanted < at["c"]:
+                    break
+                wanted -= at["c"]
+            low, high = at["low"], at["high"]
+            if low == high or at["c"] == 1 or math.isnan(high) and math.isnan(low):
+                return _as_kind(low, kind), n
+            inside = inside.where((F.col("v") >= low) & (F.col("v") <= high))
+            if at["c"] <= limit:
+                cells = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(W.partitionBy(F.lit(1)).orderBy("v")))
+                return _as_kind(cells.where(F.col("upto") > wanted).agg(F.min("v").alias("v")).first()["v"], kind), n
+            # v / 2 keeps the range finite; a bin of two neighbouring doubles is cut between them
+            share = (F.col("v") / 2 - low / 2) / (high / 2 - low / 2) if high / 2 > low / 2 else F.when(F.col("v") > low, 1.0).otherwise(0.0)
+            bins = _bin_counts(inside, F.least(F.floor(share * FINE_BINS), F.lit(FINE_BINS)).cast("long"))
+    finally:
+        rows.unpersist()
+
+
+def _bin_counts(rows: DataFrame, bin_of: Column) -> list:
+    """Count, smallest and largest value of each bin that has values, in order. The number of bins does not grow with the rows."""
+    bins = rows.groupBy(bin_of.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    return sorted(bins, key=lambda r: r["b"])
+
+
+def _as_kind(value: float, kind: str):
+    return int(value) if kind in ("tinyint", "smallint", "int", "bigint") else value
 
 
 def seq_span(df: DataFrame, seq: str = "seq") -> Column:

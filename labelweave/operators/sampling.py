@@ -10,16 +10,18 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.functions.labels import is_blank
 from labelweave.operators.ordering import hash_cuts, hash_position, with_cuts
 from labelweave.schema import SPLITS, broadcast_if_small, spread, uniform
+from labelweave.session import scratch_path
 
-# Groups that are assigned one by one; a table with more gives the rest to a seeded draw.
-MAX_GREEDY_GROUPS = 100_000
+# Groups that the greedy rule places in one job.
+GROUPS_PER_BLOCK = 1 << 18
 
 # Copies of one row that are made in one step when a class is oversampled.
 COPY_BLOCK = 100_000
@@ -103,29 +105,131 @@ def group_sizes(df: DataFrame) -> DataFrame:
             .orderBy(F.col("size").desc(), "group"))
 
 
-def _greedy(targets: np.ndarray):
-    """Assigns groups in the order they arrive; the state is one count per (split, bucket)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filled = np.zeros_like(targets)
+def _misses(counts: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Sum over the buckets of how far counts are from a split's target, added up bucket by bucket."""
+    total = np.zeros(counts.shape[:-1])
+    for b in range(counts.shape[-1]):
+        total = total + np.abs(counts[..., b] - target[b])
+    return total
+
+
+def greedy_sides(filled: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The split of each group, in order: that which then misses its own targets least, the first of equals.
+
+    `filled` (split x bucket) is what the splits hold, and is updated. A choice depends on all before it, but long
+    stretches go to one split: while they do, what a split holds is a running sum of counts, so a stretch is checked and
+    placed at once, with a reach that doubles as long as it holds. Where splits take turns, groups are placed one by one.
+    """
+    sides, i, reach = np.empty(len(counts), np.int8), 0, 64
+    while i < len(counts):
+        part = counts[i:i + reach]
+        cost = np.stack([_misses(filled[s] + part, targets[s]) for s in range(len(targets))])
+        side = int(cost[:, 0].argmin())
+        upto = filled[side] + np.cumsum(part, axis=0)
+        cost[side] = _misses(upto, targets[side])
+        other = np.flatnonzero(cost.argmin(axis=0) != side)
+        stop = int(other[0]) if len(other) else len(part)
+        sides[i:i + stop] = side
+        filled[side] = upto[stop - 1]
+        i += stop
+        if stop == len(part):
+            reach = min(2 * reach, 1 << 16)
+        elif stop < 16:
+            reach, stop = 64, min(len(counts), i + 256)
+            sides[i:stop] = _one_by_one(filled, targets, counts[i:stop])
+            i = stop
+    return sides
+
+
+def _one_by_one(filled: np.ndarray, targets: np.ndarray, counts: np.ndarray) -> list[int]:
+    held, aims, out = filled.tolist(), targets.tolist(), []
+    for row in counts.tolist():
+        best, side = math.inf, 0
+        for s, (have, want) in enumerate(zip(held, aims)):
+            cost = 0.0
+            for h, c, t in zip(have, row, want):
+                cost += abs(h + c - t)
+            if cost < best:
+                best, side = cost, s
+        held[side] = [h + c for h, c in zip(held[side], row)]
+        out.append(side)
+    filled[:] = held
+    return out
+
+
+def _packed_groups(profiles: DataFrame, buckets: int) -> DataFrame:
+    """(block, groups, counts): groups in order of size, then name, in blocks of at most GROUPS_PER_BLOCK, counts as packed numbers.
+
+    A range sort, so blocks are made by many tasks; the block number rises along the order.
+    """
+    spark = profiles.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + 4 * profiles.count() // GROUPS_PER_BLOCK)  # few groups are one block
+    ordered = profiles.repartitionByRange(n, F.col("_size").desc(), "_group").sortWithinPartitions(F.col("_size").desc(), "_group")
+    most = GROUPS_PER_BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, names, held, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([names], pa.list_(pa.string())),
+                                               pa.array([b"".join(held)], pa.binary())], names=["block", "groups", "counts"])
+
         for batch in batches:
-            chosen = []
-            for counts in batch["counts"]:
-                counts = np.asarray(counts, dtype=float)
-                side = int(np.abs(filled + counts - targets).sum(axis=1).argmin())
-                filled[side] += counts
-                chosen.append(SPLITS[side])
-            yield pd.DataFrame({"_group": batch["_group"], "split": chosen})
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                names += part.column(0).to_pylist()
+                held.append(part.column(1).flatten().to_numpy().astype("<i8").tobytes())
+                size += part.num_rows
+                if size + 4096 > most:
+                    yield row()
+                    number, names, held, size = number + 1, [], [], 0
+        if size:
+            yield row()
+
+    return ordered.select("_group", F.col("counts").cast("array<bigint>")).mapInArrow(run, "block long, groups array<string>, counts binary")
+
+
+def _place_block(filled: np.ndarray, targets: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for groups, counts in zip(batch.column(0), batch.column(1)):
+                held = filled.copy()
+                sides = greedy_sides(held, targets, np.frombuffer(counts.as_py(), "<i8").reshape(-1, targets.shape[1]).astype(float))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([groups.as_py()], pa.list_(pa.string())), pa.array([[SPLITS[s] for s in sides.tolist()]], pa.list_(pa.string())),
+                    pa.array([held.ravel().tolist()], pa.list_(pa.float64()))], names=["groups", "splits", "filled"])
 
     return run
 
 
+def greedy_assignment(profiles: DataFrame, targets: np.ndarray) -> DataFrame:
+    """(_group, split) of all groups of (_group, _size, counts), placed one after the other.
+
+    The order is made by a range sort and packed to blocks. What the splits hold goes from block to block, a few numbers,
+    and each block is a small job of its own that writes its part, so neither memory nor a lost executor bounds the number
+    of groups.
+    """
+    spark = profiles.sparkSession
+    path = scratch_path(spark, "groups")
+    _packed_groups(profiles, targets.shape[1]).write.partitionBy("block").parquet(path)
+    packed = spark.read.schema("groups array<string>, counts binary, block long").parquet(path)
+    filled, parts = np.zeros_like(targets), []
+    for r in packed.select("block").distinct().orderBy("block").collect():
+        parts.append(scratch_path(spark, "sides"))
+        (packed.where(F.col("block") == r["block"]).select("groups", "counts")
+         .mapInArrow(_place_block(filled, targets), "groups array<string>, splits array<string>, filled array<double>").write.parquet(parts[-1]))
+        filled = np.array(spark.read.parquet(parts[-1]).select("filled").first()["filled"]).reshape(targets.shape)
+    if not parts:
+        return profiles.select("_group", F.lit(SPLITS[0]).alias("split")).limit(0)
+    pairs = F.explode(F.arrays_zip(F.col("groups").alias("_group"), F.col("splits").alias("split")))
+    return spark.read.parquet(*parts).select(pairs.alias("p")).select("p._group", "p.split")
+
+
 def group_stratified_split(df: DataFrame, train: float, val: float, test: float, seed: int = 42,
-                           by_lang: bool = False, max_groups: int = MAX_GREEDY_GROUPS) -> DataFrame:
-    """Adds ``split``: whole groups, largest first, each to the split that then misses its targets least.
+                           by_lang: bool = False) -> DataFrame:
+    """Adds ``split``: whole groups, largest first, then by name, each to the split that then misses its targets least.
 
-    The choice for a group depends on all choices before it, so it runs over the compact (group, counts) table only,
-    and only over its ``max_groups`` largest groups. Smaller groups beyond that are placed by a seeded draw with the
-    shares that are still open, computed per row from the group's name.
+    Any number of groups follows the one rule. Rows never enter it: it runs over a group's counts per label (and language).
     """
     if abs(train + val + test - 1.0) > 1e-6:
         raise ValueError("train + val + test must equal 1")
@@ -135,29 +239,15 @@ def group_stratified_split(df: DataFrame, train: float, val: float, test: float,
     cells = rows.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("n")).persist()
     totals = {r["_bucket"]: r["n"] for r in cells.groupBy("_bucket").agg(F.sum("n").alias("n")).collect()}
     buckets = sorted(totals)
-    targets = np.array([[totals[b] * ratio for b in buckets] for ratio in (train, val, test)], dtype=float)
+    targets = np.array([[totals[b] * ratio for b in buckets] for ratio in (train, val, test)], dtype=float).reshape(3, -1)
     counts = F.array(*[F.coalesce(F.sum(F.when(F.col("_bucket") == b, F.col("n"))), F.lit(0)) for b in buckets])
     profiles = cells.groupBy("_group").agg(F.sum("n").alias("_size"), counts.alias("counts"))
-    ordered = profiles.orderBy(F.col("_size").desc(), "_group").limit(max_groups)
-    assigned = (ordered.select("_group", "counts").coalesce(1)
-                .mapInPandas(_greedy(targets), "_group string, split string").persist())
-    placed = broadcast_if_small(assigned, max_groups)
-    out = rows.join(placed, "_group", "left")
-    if profiles.limit(max_groups + 1).count() > max_groups:
-        out = out.withColumn("split", F.coalesce("split", _open_share(rows, placed, targets, seed)))
+    assigned = greedy_assignment(profiles, targets)
+    cells.unpersist()
+    out = rows.join(broadcast_if_small(assigned), "_group", "left")
     return out.select(*[c for c in df.columns if c != "split"], "split")
 
 
-def _open_share(rows: DataFrame, placed: DataFrame, targets: np.ndarray, seed) -> Column:
-    filled = {r["split"]: r["n"] for r in rows.join(placed, "_group").groupBy("split")
-              .agg(F.count(F.lit(1)).alias("n")).collect()}
-    room = [max(0.0, targets[i].sum() - filled.get(s, 0)) for i, s in enumerate(SPLITS)]
-    total = math.fsum(room) or 1.0
-    u = uniform(seed, "_group")
-    return (F.when(u < room[0] / total, SPLITS[0]).when(u < (room[0] + room[1]) / total, SPLITS[1])
-            .otherwise(SPLITS[2]))
-
-
 def assign_groups(df: DataFrame, assignment: DataFrame) -> DataFrame:
     """Give rows the split of their group from a (group, split) table."""
     return df.drop("split").join(assignment.select("group", "split"), "group", "left")

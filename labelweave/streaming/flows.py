@@ -6,23 +6,26 @@ after a failure replaces its own output instead of adding to it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from labelweave.operators import agreement as A
 from labelweave.operators import quality as Q
 from labelweave.operators.resolve import resolve
 from labelweave.plans.evaluation import accepted_and_rejected
 
-# Buckets of the label table; a micro-batch reads only the buckets its ids fall into. Size them to the number of ids.
+# Buckets of the label table, by id, for readers that look for single ids.
 BUCKETS = 16
 
 
-def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool, mode: str = "append") -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -63,30 +66,97 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def _labels_upto(spark: SparkSession, out: str, batch: int, buckets: Sequence[int] | None = None) -> DataFrame:
-    rows = spark.read.parquet(f"{out}/labels").where(F.col("batch") <= batch)
-    return rows if buckets is None else rows.where(F.col("bucket").isin(list(buckets)))
+def _sortable(df: DataFrame, column: str) -> Column:
+    """Text whose order is that of row numbers, or of row places (source, file, position, part)."""
+    def padded(c: Column) -> Column:
+        return F.lpad(c.cast("string"), 20, "0")
+
+    kind = df.schema[column].dataType
+    if not isinstance(kind, StructType):
+        return padded(F.col(column))
+    inner = [F.col(f"{column}.{f.name}") for f in kind.fields]
+    return F.concat_ws("\x00", *[F.coalesce(c, F.lit("")) if isinstance(f.dataType, StringType) else padded(c) for c, f in zip(inner, kind.fields)])
+
+
+_FOLDED = "id string, annotator string, label string, text string, last string, first string, last_seq string, first_seq string"
+_STATE = "annotators array<string>, labels array<string>, texts array<string>, lasts array<string>, firsts array<string>"
+_INTAKE = f"kind string, {_FOLDED}, annotator_b string, label_b string"
+
+
+def _fold_slice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last row per (id, annotator) of each slice of a task's rows, with the first place, before anything is shuffled."""
+    for rows in batches:
+        by = ["id", "annotator"]
+        early = rows.sort_values("first").drop_duplicates(by)[[*by, "first", "first_seq"]]
+        late = rows.sort_values("last").drop_duplicates(by, keep="last").drop(columns=["first", "first_seq"])
+        yield late.merge(early, on=by)[[f.split()[0] for f in _FOLDED.split(", ")]]
+
+
+def _queue_item(key: tuple, slices: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What a micro-batch says of one id: its folded labels, and all pairs of the id that disagree after it.
+
+    The state of the id holds the last label and text and the first place of each annotator.
+    """
+    held = list(zip(*state.get)) if state.exists else []
+    known = {who: [label, text, last, first] for who, label, text, last, first in held}
+    fresh: dict = {}
+    for rows in slices:
+        for r in rows.itertuples(index=False):
+            mine = fresh.get(r.annotator)
+            if mine is None:
+                fresh[r.annotator] = r
+            else:
+                late, early = (r if r.last >= mine.last else mine), (r if r.first < mine.first else mine)
+                fresh[r.annotator] = late._replace(first=early.first, first_seq=early.first_seq)
+    for who, r in fresh.items():
+        label, text, last, first = known.get(who, (None, None, "", r.first))
+        known[who] = [r.label, r.text, r.last, min(first, r.first)] if r.last >= last else [label, text, last, min(first, r.first)]
+    state.update(tuple([list(c) for c in zip(*((who, *facts) for who, facts in known.items()))]))
+    out = [("label", *r, None, None) for r in fresh.values()]
+    size = lambda t: -1 if t is None else len(t)
+    in_order = sorted(known.items(), key=lambda x: x[1][3])
+    for i, (who_a, (label_a, text_a, _, first_a)) in enumerate(in_order):
+        for who_b, (label_b, text_b, _, first_b) in in_order[i + 1:]:
+            if label_a is not None and label_b is not None and label_a != label_b and first_a < first_b:
+                chosen = text_b if text_a is None or text_b is None or size(text_a) < size(text_b) else text_a
+                out.append(("pair", key[0], who_a, label_a, chosen, None, None, None, None, who_b, label_b))
+    out.append(("touched", key[0], *[None] * 9))
+    names = [f.split()[0] for f in _INTAKE.split(", ")]
+    for start in range(0, len(out), 10_000):
+        yield pd.DataFrame(out[start:start + 10_000], columns=names, dtype=object)
 
 
 def annotation_stream(stream: DataFrame, out: str, once: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
     """Keep the last label per (id, annotator) and the pairs that disagree.
 
-    A micro-batch is folded per key and added to the label table. Only ids of the batch are looked at again, and only
-    their buckets are read. Their disagreements are written anew under the batch's number, so a pair that a new label
-    settles goes and one that it opens comes; ``current_queue`` takes each id from the last batch that touched it.
+    What is known of an id is keyed state of the stream: a micro-batch reads and writes the state of its own ids, however
+    many came before, and an executor that is lost takes none of it along. The folded labels of a batch go to
+    ``out/labels`` (in buckets of ids), the pairs of its ids that now disagree to ``out/queue``, its ids to ``out/touched``,
+    so a pair that a new label settles goes and one that it opens comes; ``current_queue`` takes each id from the last
+    batch that touched it. With the RocksDB state store the state of all ids need not fit in memory.
+
+    Rows are folded per (id, annotator) before they are shuffled. Rows without an id or annotator are their own key.
     """
+    kind = stream.schema["seq"].dataType
+    place, seq = _sortable(stream, "seq"), F.to_json(F.struct("seq"))
+    rows = stream.select(F.col("id").cast("string").alias("id"), "annotator", "label", "text", place.alias("last"), place.alias("first"),
+                         seq.alias("last_seq"), seq.alias("first_seq"))
+    updates = rows.mapInPandas(_fold_slice, _FOLDED).groupBy("id").applyInPandasWithState(
+        _queue_item, _INTAKE, _STATE, "update", GroupStateTimeout.NoTimeout)
+    restored = StructType([StructField("seq", kind)])
+
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        folded = A.latest_annotations(batch, keep=("text", "seq")).withColumnRenamed("pos", "first_seq")
-        _put(folded.select("*", _bucket(buckets)).repartition("bucket"), f"{out}/labels", number, ["bucket"])
-        fresh = spark.read.parquet(f"{out}/labels/batch={number}").select("id", "bucket").distinct().persist()
-        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
-        known = _labels_upto(spark, out, number, touched).join(fresh, ["id", "bucket"], "left_semi")
-        _put(A.disagreements(known, first="first_seq"), f"{out}/queue", number)
-        _put(fresh.select("id"), f"{out}/touched", number)
-        fresh.unpersist()
+        batch = batch.persist()
+        labels = batch.where("kind = 'label'").select(
+            "id", "annotator", F.from_json("first_seq", restored)["seq"].alias("first_seq"), "label", "text",
+            F.from_json("last_seq", restored)["seq"].alias("seq"), _bucket(buckets))
+        _put(labels.repartition("bucket"), f"{out}/labels", number, ["bucket"])
+        _put(batch.where("kind = 'pair'").select("id", "text", F.col("annotator").alias("annotator_a"), F.col("label").alias("label_a"), "annotator_b", "label_b"),
+             f"{out}/queue", number)
+        _put(batch.where("kind = 'touched'").select("id"), f"{out}/touched", number)
+        batch.unpersist()
 
-    return _start(stream, handle, f"{out}/checkpoint", once)
+    return _start(updates, handle, f"{out}/checkpoint", once, "update")
 
 
 def current_queue(spark: SparkSession, out: str) -> DataFrame:

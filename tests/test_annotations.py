@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from labelweave.operators import agreement as A
 from labelweave.operators import resolve as R
 from labelweave.sources import exports
 from labelweave.sources import tables as T
+from labelweave.sources.documents import read_elements
 
 # The demo annotations, two annotators on seven items.
 DEMO = [(1001, "POS", "POS"), (1002, "NEG", "NEG"), (1003, "POS", "NEG"), (1004, "NEU", "POS"), (1005, "NEU", "NEU"),
@@ -110,6 +112,29 @@ def test_log(spark, tmp_path):
     assert found == {"k-7": "NEG", "55": "NEU"}
 
 
+def test_log_entries_that_cross_blocks(spark, tmp_path):
+    """One file in many blocks: an entry's label may stand blocks after its id, and only the first label of an entry counts."""
+    text, want = ["intro", "Final Label: NEG"], {}
+    for i in range(300):
+        text.append(f"{'-*7.'[i % 4]} Item ID: n{i % 90}  (case {i})")
+        text += ["  filler " + "x" * (i % 50)] * (i % 7)
+        told = ("POS", "neg", "<POS/NEG>", "unclear", "Neutral words")[i % 5]
+        text += [f"  - Final Label: {told}"] + ["   Final label : NEU"] * (i % 2)
+        if i % 5 < 2:
+            want[f"n{i % 90}"] = told.upper()
+        elif i % 5 == 4 and i % 2:  # two words are no label, so the next line decides
+            want[f"n{i % 90}"] = "NEU"
+    (tmp_path / "long.md").write_text("\n".join(text), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        found = {r["id"]: r["final_label"] for r in exports.read_log(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == want
+
+
 def _choice(value, **more):
     return {"value": value, **more}
 
@@ -163,3 +188,48 @@ def test_two_sources_keep_their_order(spark, tmp_path):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="annotator"):
         T.annotations(spark.createDataFrame([("1", "t", "POS")], "id string, text string, label string"))
+
+
+def _elements(spark, folder, split):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        return sorted((r["file"].rsplit("/", 1)[1], r["number"], json.loads(r["element"])) for r in read_elements(spark, str(folder), "tasks").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("split", [64, 777, 1 << 27])
+def test_elements_of_one_array_in_many_splits(spark, tmp_path, split):
+    """Braces, brackets, quotes and backslashes inside strings; nested objects; keys of the same name elsewhere."""
+    rng = random.Random(5)
+    odd = ["", "}", "{", "a } b", "[x]", "\\", "\\\"", '"', '"}', "\\\\", "tasks", '"tasks": [', "é ខ្មែរ", "line\nbreak"]
+    tasks = [{"id": i, "data": {"text": rng.choice(odd) + rng.choice(odd)}, "annotations": [{"r": [rng.choice(odd)], "n": {}} for _ in range(rng.randint(0, 3))]}
+             for i in range(120)]
+    other = {"meta": {"tasks": [{"no": 1}], "tags": ["]", "}"]}, "note": '"tasks": [', "tasks": tasks, "later": [{"no": 2}], "end": {"x": [{}]}}
+    (tmp_path / "a.json").write_text(json.dumps(tasks, indent=1), encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps(tasks, separators=(",", ":"), ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "c.json").write_text(json.dumps(other, indent=2), encoding="utf-8")
+    (tmp_path / "d.json").write_text(json.dumps(other, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "e.json").write_text("[]", encoding="utf-8")
+    (tmp_path / "f.json").write_text('{"tasks": [], "more": [{"no": 3}]}', encoding="utf-8")
+    (tmp_path / "g.json").write_text('{"other": [{"no": 4}]}', encoding="utf-8")
+    (tmp_path / "h.json").write_text("[\n]", encoding="utf-8")
+    want = [(f"{name}.json", i, t) for name in "abcd" for i, t in enumerate(tasks)]
+    assert _elements(spark, tmp_path, split) == want
+
+
+@pytest.mark.parametrize("wrap", [False, True])
+def test_export_document_is_read_by_many_tasks(spark, tmp_path, wrap):
+    many = [{**t, "uuid": f"u-{i}"} for i in range(40) for t in TASKS]
+    (tmp_path / "x.json").write_text(json.dumps({"tasks": many} if wrap else many), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        once = exports.read_tool_export(spark, str(tmp_path / "x.json"))
+        rows = once.groupBy("annotator", "label").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(t) for t in many), encoding="utf-8")
+    lines = exports.read_tool_export(spark, str(tmp_path / "lines.json"), lines=True).groupBy("annotator", "label").count().collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, lines)) != []

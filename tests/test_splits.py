@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,10 +52,51 @@ def test_groups_never_cross(rows):
         assert Q.splits_disjoint(out)
 
 
-def test_many_groups_beyond_the_greedy_limit(rows):
-    out = S.group_stratified_split(rows, 0.6, 0.2, 0.2, max_groups=10)
-    assert out.count() == 600 and out.where("split is null").isEmpty()
-    assert Q.splits_disjoint(out)
+def _one_by_one(counts, targets):
+    """The rule as it is stated: a loop over groups."""
+    filled, out = [[0] * len(t) for t in targets], []
+    for row in counts:
+        cost = [sum(abs(h + c - t) for h, c, t in zip(have, row, aim)) for have, aim in zip(filled, targets)]
+        side = cost.index(min(cost))
+        filled[side] = [h + c for h, c in zip(filled[side], row)]
+        out.append(side)
+    return out
+
+
+@pytest.mark.parametrize("shares", [(0.6, 0.2, 0.2), (0.8, 0.1, 0.1), (0.34, 0.33, 0.33), (1.0, 0.0, 0.0)])
+def test_greedy_sides_equal_the_loop(shares):
+    rng = np.random.default_rng(7)
+    for buckets, n in ((1, 500), (3, 3000), (9, 700)):
+        counts = np.sort(rng.integers(0, 6, (n, buckets)) * (rng.random((n, buckets)) < 0.4), axis=0)[::-1].astype(float)
+        targets = np.array([[counts[:, b].sum() * s for b in range(buckets)] for s in shares])
+        filled = np.zeros_like(targets)
+        assert S.greedy_sides(filled, targets, counts).tolist() == _one_by_one(counts.tolist(), targets.tolist())
+        assert filled.sum() == counts.sum()
+
+
+def test_more_groups_than_fit_a_block(spark):
+    """120,000 groups, most of them of one or two rows, in several blocks: the loop's splits, whatever the partitions."""
+    n = F.col("id")
+    rows = spark.range(200_000).select(
+        n.cast("string").alias("id"), F.element_at(F.array(*[F.lit(x) for x in ("POS", "NEG", "NEU", "POS")]), (F.pmod(F.hash("id"), F.lit(4)) + 1)).alias("label"),
+        F.when(n % 5 != 0, F.concat(F.lit("g"), F.pmod(F.xxhash64("id"), F.lit(90_000)).cast("string"))).alias("group"))
+    before, S.GROUPS_PER_BLOCK = S.GROUPS_PER_BLOCK, 30_000
+    try:
+        out = S.group_stratified_split(rows, 0.7, 0.2, 0.1)
+        got = {r["_g"]: r["split"] for r in out.groupBy(S.group_key().alias("_g")).agg(F.min("split").alias("split")).collect()}
+        assert Q.splits_disjoint(out)
+    finally:
+        S.GROUPS_PER_BLOCK = before
+    cells = rows.groupBy(S.group_key().alias("g")).agg(*[F.sum((F.col("label") == b).cast("int")).alias(b) for b in ("NEG", "NEU", "POS")]).collect()
+    cells.sort(key=lambda r: (-(r["NEG"] + r["NEU"] + r["POS"]), r["g"]))
+    counts = [[r["NEG"], r["NEU"], r["POS"]] for r in cells]
+    targets = [[sum(c[b] for c in counts) * share for b in range(3)] for share in (0.7, 0.2, 0.1)]
+    assert len(cells) > 110_000
+    assert got == {r["g"]: ("train", "val", "test")[s] for r, s in zip(cells, _one_by_one(counts, targets))}
+
+
+def test_groups_of_no_rows(rows):
+    assert S.group_stratified_split(rows.limit(0), 0.6, 0.2, 0.2).count() == 0
 
 
 def test_greedy_by_hand(spark):
@@ -118,6 +160,34 @@ def test_value_at_rank_narrows_exactly(spark):
     assert O.value_at_rank(rows.where("v < 0"), "v", lambda n: 0) == (None, 0)
 
 
+@pytest.mark.parametrize("limit", [1, 50, 10_000])
+def test_value_at_rank_of_any_doubles(spark, limit):
+    """Values that crowd one prefix, neighbours in the last bit, both signs, zeros, infinities, NaN and nulls."""
+    rng = np.random.default_rng(23)
+    values = np.concatenate([1 - rng.random(400) * 1e-9, rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), np.repeat(0.25, 70), [0.0, -0.0, 5e-324, -5e-324],
+                             np.nextafter(0.25, [0, 1, 1]), [np.inf, -np.inf, np.inf, 1.7e308, -1.7e308]])
+    ordered = np.sort(values).tolist() + [float("nan")] * 2
+    rows = spark.createDataFrame([(None,)] + [(v,) for v in rng.permutation(ordered).tolist()], "v double")
+    for k in (0, 1, 5, 150, 300, 372, 380, 420, 700, len(values) - 1, len(values), len(values) + 1):
+        got, n = O.value_at_rank(rows, "v", lambda n: k, limit=limit)
+        assert n == len(ordered) and (got == ordered[k] or got != got and ordered[k] != ordered[k])
+
+
+def test_value_at_rank_in_two_passes(spark):
+    """One histogram and one look into the crossed prefix; nothing else reads the values."""
+    rows = spark.range(20_000).select((F.rand(5) * 0.5).alias("v"))
+    tracker, group = spark.sparkContext.statusTracker(), "two-passes"
+    spark.sparkContext.setJobGroup(group, "rank")
+    ordered = None
+    try:
+        got = O.value_at_rank(rows, "v", lambda n: 17_000)
+        assert len(tracker.getJobIdsForGroup(group)) <= 6  # AQE runs each stage of the two queries as a job
+        ordered = sorted(r["v"] for r in rows.collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == (ordered[17_000], 20_000)
+
+
 def test_running_totals_over_bins(spark):
     rows = spark.range(500).select((F.col("id") / 7.0).alias("v"), F.lit(1).cast("long").alias("n"), (F.col("id") % 2).alias("k"))
     out = O.running_totals(rows, "v", ["n"], by=["k"], descending=False, bins=13).orderBy("k", "v").collect()

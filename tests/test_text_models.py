@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelweave.functions import perturb as T
+from labelweave.operators import features
 from labelweave.operators import corpus as C
 from labelweave.operators import explain as E
 from labelweave.operators import models
@@ -124,6 +125,44 @@ def test_hashed_features_have_names_and_a_floor(spark, rows):
         models.fit(rows, replace(CFG, features="odd"))
 
 
+@pytest.mark.parametrize("kind", ["vocabulary", "hashed"])
+def test_vectors_joined_equal_vectors_looked_up(spark, rows, kind):
+    """Both plans of one index: the same columns and values, also for repeated rows, null, empty and unknown texts."""
+    from dataclasses import replace
+
+    fitted = features.fit_features(rows.select(F.col("text").alias("_norm")), 2, 4, 2, kind, 1 << 10)
+    assert fitted.held
+    odd = spark.createDataFrame([("n", None), ("e", ""), ("u", "@@@@"), ("w", "good  \t fine"), ("w", "good  \t fine")], "id string, _norm string")
+    asked = rows.select("id", F.col("text").alias("_norm")).unionByName(odd)
+    wide = replace(fitted, held=False)
+    entries = lambda v: tuple((int(i), round(float(x), 9)) for i, x in zip(v.indices, v.values) if x)
+    read = lambda f: sorted((r["id"], r["features"].size, entries(r["features"]))
+                            for r in f.transform(asked).where("_norm is not null").select("id", "features").collect())
+    assert read(wide) == read(fitted) and len(read(wide)) == rows.count() + 4
+    unknown = "id in ('n', 'u')" if kind == "vocabulary" else "id = 'n'"  # an unknown n-gram may share a hashed column
+    assert {r["features"].numNonzeros() for r in wide.transform(asked).where(unknown).collect()} == {0}
+
+
+def test_index_numbers_every_gram_once(spark, rows):
+    fitted = features.fit_features(rows.select(F.col("text").alias("_norm")), 2, 4, 2)
+    found = fitted.index.collect()
+    assert sorted(r["column"] for r in found) == list(range(fitted.size)) and len({r["gram"] for r in found}) == fitted.size
+    df = {r["gram"]: r["df"] for r in G.document_frequency(rows, 2, 4, 2).collect()}
+    assert {r["gram"]: r["idf"] for r in found} == pytest.approx({g: np.log((1 + rows.count()) / (1 + n)) + 1 for g, n in df.items()})
+
+
+def test_training_without_a_copy_of_the_index(spark, rows, result, monkeypatch):
+    """A model whose index no task holds scores as one whose index is held."""
+    monkeypatch.setattr(features, "HELD_COLUMNS", 0)
+    train = rows.where("seq < 100")
+    wide = models.fit(train, CFG)
+    assert not wide.features.held
+    monkeypatch.undo()
+    held = models.fit(train, CFG)
+    a, b = ({r["id"]: r["confidence"] for r in m.score(rows).collect()} for m in (wide, held))
+    assert a == pytest.approx(b, abs=1e-6) and len(a) == rows.count()
+
+
 def test_fold_calibrators_keep_copies_of_an_id(rows):
     from dataclasses import replace
 

@@ -210,7 +210,7 @@ def verdict(rules: list[Rule]) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **options) -> list[Rule]:
     """Rules from the labelled documents; `max_labelled` bounds the rows that train, and what is broadcast to find them."""
     sample = labelled_sample(labels, "quality", max_labelled)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
     return fit_rules(text_statistics(rows, keep=("doc_id", "label")).where(~base_failed()), **options)
 
 

@@ -15,6 +15,8 @@ whole texts of any length are read; only the named columns are read.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -132,11 +134,12 @@ def redact(docs: DataFrame, text: str = "text", labelled: DataFrame | None = Non
     Findings meet their text by its SHA-256, so repeated rows and null ids need no key. Only documents with a candidate
     are joined.
     """
-    key = "_text_key"
+    own = uuid.uuid4().hex  # names no column of `docs` has
+    key, found = f"text_key_{own}", f"values_{own}"
     marked = docs.withColumn(key, F.sha2(F.col(text), 256))
-    values = (scan(marked, text, (key,), labelled).where("is_secret").groupBy(key).agg(F.collect_set("value").alias("_values")))
+    values = scan(marked, text, (key,), labelled).where("is_secret").groupBy(key).agg(F.collect_set("value").alias(found))
     has = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
-    clean = F.aggregate(F.array_sort(F.coalesce("_values", F.array().cast("array<string>")), lambda a, b: F.char_length(b) - F.char_length(a)),
+    clean = F.aggregate(F.array_sort(F.coalesce(found, F.array().cast("array<string>")), lambda a, b: F.char_length(b) - F.char_length(a)),
                         F.col(text), lambda acc, v: F.replace(acc, v, F.lit(MASK)))
     changed = marked.where(has).join(values, key, "left").withColumn(text, clean).select(*docs.columns)
     return docs.where(~has).unionByName(changed)

@@ -123,7 +123,7 @@ def test_pipeline_stages(spark, sf_dir):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_entry_lives_without_this_subpackage(monkeypatch):

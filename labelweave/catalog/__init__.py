@@ -6,7 +6,7 @@ from importlib import import_module
 
 from labelweave.catalog.registry import ORACLES, QUERIES
 
-AREAS = ("text", "quality", "agreement", "splits", "metrics", "calibration", "review", "features", "training",
+AREAS = ("text", "quality", "agreement", "splits", "metrics", "calibration", "review", "features", "training", "scoring",
          "perturbation", "files", "flows")
 
 for _area in AREAS:

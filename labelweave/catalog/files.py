@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labelweave.catalog.agreement import DECISIONS, LATEST, _logged, _sql_pairs
 from labelweave.catalog.metrics import rounded, sql_summary
-from labelweave.catalog.registry import query
+from labelweave.catalog.registry import ORACLES, QUERIES, query
 from labelweave.catalog.views import LABEL_AT, annotations, documents, draw, labelled, predictions, raw_rows, sql_draw, with_text, with_views
 from labelweave.operators import metrics as M
 from labelweave.operators.agreement import disagreements
@@ -295,3 +295,60 @@ def report_tables(spark, sf):
     tables = runs.read_report(spark, path)
     langs = tables["per_language"].groupBy("model").agg(F.count_distinct("lang").alias("langs"))
     return rounded(tables["overall"].select("model", "test_f1_macro").join(langs, "model"), "test_f1_macro")
+
+
+def _written(source: str, write):
+    """The table of another query, written by its sink and read back, against that query's SQL."""
+    @query(f"sink_{source}", ORACLES[source])
+    def run(spark, sf):
+        path, table = scratch_path(spark, source), QUERIES[source](spark, sf)
+        write(table, path)
+        return spark.read.schema(table.schema).option("header", True).csv(path)
+
+
+for _source in ("reliability_bins", "pr_curve", "confusion", "class_report"):
+    _written(_source, sinks.write_small if _source != "pr_curve" else lambda table, path: sinks.write_table(table, path, "csv"))
+
+
+@query("sink_stress_deltas", ORACLES["stress_delta"])
+def sink_stress_deltas(spark, sf):
+    path, docs = scratch_path(spark, "report"), _runs(spark, sf)
+    sinks.write_report(path, overall=runs.overall(docs), per_language=runs.per_language(docs), calibration=runs.calibration(docs),
+                       stress_deltas=QUERIES["stress_delta"](spark, sf))
+    return runs.read_report(spark, path, ("stress_deltas",))["stress_deltas"]
+
+
+@query("scan_export_documents", with_views("annotations", "SELECT CAST(id AS VARCHAR) AS id, trim(text) AS text, annotator, label FROM annotations"))
+def scan_export_documents(spark, sf):
+    """Exports as whole documents: lists of tasks, and objects that hold one beside other fields. A document holds the annotations of a span of rows."""
+    rows = annotations(spark, sf)
+    choice = F.struct(F.lit("choices").alias("type"), F.struct(F.array("label").alias("choices")).alias("value"))
+    task = F.struct(F.col("id").cast("string").alias("task_id"), F.struct("text").alias("data"), F.array(F.struct(
+        F.struct(F.col("annotator").alias("username")).alias("completed_by"), F.array(choice).alias("result"))).alias("annotations"))
+    documents = rows.groupBy(F.floor(F.col("seq") / 5000).alias("span")).agg(F.collect_list(task).alias("tasks"))
+    note = F.struct(F.lit('a "tasks": [ in a note, and }').alias("note"), F.array(F.lit(1)).alias("version"))
+    listed = documents.where("span % 2 = 0").select(F.to_json("tasks").alias("value"))
+    held = documents.where("span % 2 = 1").select(F.to_json(F.struct(note.alias("meta"), "tasks", F.array(note).alias("views"))).alias("value"))
+    path = scratch_path(spark, "export-documents")
+    listed.unionByName(held).repartition("value").write.option("maxRecordsPerFile", 1).text(path)
+    return exports.read_tool_export(spark, path).select("id", "text", "annotator", "label")
+
+
+@query("model_listing", with_views("predictions_a", "predictions_b", """
+    SELECT b.label AS model, CASE WHEN b.label = 'NEU' THEN 'plugin' ELSE 'linear' END AS type, b.label <> 'NEG' AS has_metrics,
+           CASE WHEN b.label <> 'NEG' THEN round(avg(CASE WHEN b.pred_label = b.label THEN 1.0::DOUBLE ELSE 0 END), 6) END AS test_accuracy
+    FROM predictions_b b GROUP BY b.label"""))
+def model_listing(spark, sf):
+    """Folders of one model per gold label, with the recall of that label as its test score; one has no metrics, and two hold no model."""
+    root = scratch_path(spark, "listing")
+    scores = predictions(spark, sf, "b").groupBy("label").agg(F.avg((F.col("label") == F.col("pred_label")).cast("double")).alias("accuracy")).persist()
+    for label in LABEL_AT:
+        own = scores.where(F.col("label") == label)
+        for part in (["config.json"] if label == "NEU" else ["features", "model"]):
+            own.select("label").write.text(f"{root}/{label}/{part}")
+        if label != "NEG":
+            sinks.write_metrics(spark, f"{root}/{label}/metrics.json", test=own.select("accuracy", F.col("accuracy").alias("f1_macro")))
+    for empty in ("notes", "features"):
+        scores.select("label").write.text(f"{root}/other/{empty}")
+    listed = runs.model_listing(spark, root, runs.read_runs(spark, [root]))
+    return rounded(listed.select(F.regexp_extract("model", "([^/]+)$", 1).alias("model"), "type", "has_metrics", "test_accuracy"), "test_accuracy")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass, fields, replace
+from functools import cache
 from itertools import groupby
 
 import pandas as pd
@@ -31,8 +32,41 @@ WHITESPACE = (
 )
 WHITESPACE_RUN = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
-# Text whose code points are all below the first combining mark is in NFC already.
-_MAY_CHANGE_UNDER_NFC = r"[\x{300}-\x{10FFFF}]"
+
+
+def _char_class(points: list[int]) -> str:
+    """A regular-expression class of code points, in ranges."""
+    starts = [p for i, p in enumerate(points) if not i or points[i - 1] != p - 1]
+    stops = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
+    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, stops))
+
+
+@cache
+def _unicode_order() -> tuple[str, str]:
+    """Patterns for text that NFC, or the order of its marks, may change; derived from Python's Unicode tables.
+
+    A text is in NFC if no character changes alone, none may join with one before it, and no mark follows a mark of a
+    higher class. Characters that join are second in some canonical decomposition (or conjoining vowels and finals). Two
+    marks in a row are looked at whatever their classes; a mark behind a base, as Khmer text is full of, is not.
+    """
+    marks, joins = [], set()
+    for p in range(0x110000):
+        if 0xD800 <= p <= 0xDFFF or 0xAC00 <= p <= 0xD7A3:
+            continue
+        c = chr(p)
+        if unicodedata.combining(c):
+            marks.append(p)
+        parts = unicodedata.decomposition(c)
+        if parts and not parts.startswith("<"):
+            codes = [int(x, 16) for x in parts.split()]
+            if len(codes) > 1 and unicodedata.normalize("NFC", c) == c:
+                joins.add(codes[1])
+            if unicodedata.normalize("NFC", c) != c:
+                joins.add(p)
+    joins |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # vowels and finals of Hangul syllables, which are composed by rule
+    pair = f"[{_char_class(marks)}]{{2}}"
+    return f"[{_char_class(sorted(joins))}]|{pair}", pair
+
 
 
 @dataclass(frozen=True)
@@ -74,7 +108,7 @@ def _nfc_batch(texts: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """Unicode NFC. Rows that cannot change travel to the Python workers as nulls."""
-    return F.coalesce(_nfc_batch(F.when(c.rlike(_MAY_CHANGE_UNDER_NFC), c)), c)
+    return F.coalesce(_nfc_batch(F.when(c.rlike(_unicode_order()[0]), c)), c)
 
 
 def _order_marks(text: str | None) -> str | None:
@@ -94,7 +128,7 @@ def _order_marks_batch(texts: pd.Series) -> pd.Series:
 
 def reorder_marks(c: Column) -> Column:
     """Stable order of combining marks after a base character; a leading stray run stays."""
-    return F.coalesce(_order_marks_batch(F.when(c.rlike(r"\p{M}{2}"), c)), c)
+    return F.coalesce(_order_marks_batch(F.when(c.rlike(_unicode_order()[1]), c)), c)
 
 
 def khmer_digits(c: Column) -> Column:

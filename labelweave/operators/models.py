@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -241,6 +245,26 @@ def _fold(vectors: DataFrame, whole: TextClassifier, cfg: TrainConfig, k: int):
     return member, fitted
 
 
+def with_weights(fitted: GramFeatures, classes: Sequence[str], weights: DataFrame, intercepts: dict[str, float] | None = None,
+                 norm: NormConfig | None = None) -> TextClassifier:
+    """A classifier of given weights (feature, label, weight), for linear models that were fitted elsewhere.
+
+    N-grams without a weight, and weights of n-grams outside the index, count as nothing. The driver holds the coefficient
+    matrix, as it does for any fitted model.
+    """
+    spark = weights.sparkSession
+    matrix = np.zeros((len(classes), fitted.size))
+    place = {c: i for i, c in enumerate(classes)}
+    found = fitted.index.join(weights, F.col("gram") == F.col("feature")).where(F.col("label").isin(list(classes))).select("column", "label", "weight")
+    for r in found.toLocalIterator():
+        matrix[place[r["label"]], r["column"]] += r["weight"]
+    offsets = [float((intercepts or {}).get(c, 0.0)) for c in classes]
+    made = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        f"given-{uuid.uuid4().hex}", _py2java(spark.sparkContext, DenseMatrix(*matrix.shape, matrix.ravel(order="F"))),
+        _py2java(spark.sparkContext, DenseVector(offsets)), len(classes), True)
+    return TextClassifier(fitted, LogisticRegressionModel(made), list(classes), norm or NormConfig())
+
+
 @dataclass
 class LanguageRouted:
     """One linear head per language on shared features, and a default head for every other language."""

@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+# Folders made for local sessions without a configured one, by application; the setting itself cannot be changed later.
+_made: dict[str, str] = {}
+
 
 def build_session(app: str = "labelweave", master: str | None = None, **conf) -> SparkSession:
     """Session for local work; on a cluster pass no master and let spark-submit decide."""
@@ -45,9 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="labelweave-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = tempfile.mkdtemp(prefix="labelweave-")
+    return _made[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

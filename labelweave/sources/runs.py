@@ -113,7 +113,6 @@ def top_runs(rows: DataFrame, k: int = 10) -> DataFrame:
     return rows.orderBy(F.col("test_f1_macro").desc_nulls_last(), "model").limit(k)
 
 
-def read_report(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The report tables written by the report sink."""
-    return {name: spark.read.parquet(f"{folder}/{name}")
-            for name in ("overall", "per_language", "calibration")}
+def read_report(spark: SparkSession, folder: str, names: tuple[str, ...] = ("overall", "per_language", "calibration")) -> dict[str, DataFrame]:
+    """The report tables written by the report sink; ``stress_deltas`` is there when the report was given one."""
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}

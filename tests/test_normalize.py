@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -78,3 +79,40 @@ def test_partitioning_does_not_matter(spark, parts):
     rows = spark.createDataFrame([(i, "haaa  ១" * i) for i in range(20)], "i int, t string").repartition(parts)
     out = rows.select("i", N.normalize("t", N.NormConfig.everything()).alias("o")).orderBy("i").collect()
     assert out[1]["o"] == "<LATIN> haa 1"
+
+
+def test_only_texts_that_may_change_leave_the_engine():
+    """Quick check against Python's own normalisation: every single character, and pairs of characters with marks."""
+    import re
+    import unicodedata
+
+    wide = lambda p: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", p)
+    may_change, in_a_row = (re.compile(wide(p)) for p in N._unicode_order())
+    points = [p for p in range(0x110000) if not 0xD800 <= p <= 0xDFFF]
+    assert all(may_change.search(chr(p)) for p in points if unicodedata.normalize("NFC", chr(p)) != chr(p))
+    rng = random.Random(3)
+    odd = [chr(p) for p in points if unicodedata.combining(chr(p)) or unicodedata.decomposition(chr(p))] + [chr(p) for p in range(0x1100, 0x1200)]
+    for _ in range(60_000):
+        text = "".join(rng.choice(odd) if rng.random() < 0.7 else rng.choice("aeoកស") for _ in range(rng.randint(2, 4)))
+        if not may_change.search(text):
+            assert unicodedata.normalize("NFC", text) == text
+        if not in_a_row.search(text):
+            assert N._order_marks(text) == text
+    for text in ("សួស្តី ពិភពលោក ខ្មែរ", "漢字かな交じり文", "plain café", "😀🔥"):
+        assert not may_change.search(text) and not in_a_row.search(text)
+    for text in ("cafe\u0301", "a\u0323\u0307", "\u1100\u1161", "\u212b"):
+        assert may_change.search(text)
+
+
+def test_a_folder_is_made_once_for_a_local_session():
+    from types import SimpleNamespace
+
+    from labelweave import session
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default),
+                           sparkContext=SimpleNamespace(master="local[2]", applicationId="app-of-a-test"))
+    first = session.scratch_path(bare, "a")
+    assert first.startswith(session.shared_dir(bare)) and session.shared_dir(bare) == session.shared_dir(bare)
+    bare.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        session.shared_dir(bare)

@@ -12,7 +12,8 @@ Each region is then joined recursively by documents as pivots. The pivot is comp
 threshold join its component, and what is left (members of other components, pairs not yet compared) goes to the next
 round with the next pivot. Pairs that sizes, the number of shared regions, or the parity sketch rule out are not compared:
 the sketch holds the parities of hash buckets, which differ in at most |x| + |y| - 2 |x & y| places, so it only rejects
-pairs that cannot link. The last round compares all pairs that are left, so no link between different components is lost.
+pairs that cannot link. A large set has a sketch that grows with it, which comes along where a region is crowded, so that
+long documents that share a passage and nothing else are told apart. The last round compares all pairs that are left, so no link between different components is lost.
 
 Equal sets are folded to one before regions are joined, and copies within a batch before they travel. Comparisons bring
 compressed texts together, in groups of bounded size, and count shared shingles on the whole sets.
@@ -41,6 +42,8 @@ SKETCH_BITS = 512
 BUCKETS = 4  # buckets of regions per shuffle partition; one is held by a task at a time
 GROUP = 256  # texts compared with one pivot in one task
 PIVOT_ROUNDS = 2
+WIDE_FROM = 300  # shingles from which the plain sketch tells little
+CROWD = 4  # members of a region from which wide sketches come along
 SMALL = 512  # members of a region among which partners are looked for before any text is read
 NULL_ID = -(1 << 63)
 
@@ -112,12 +115,50 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def sketch(shingles: np.ndarray) -> bytes:
+def sketch(shingles: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
     """Parity of the number of shingles in each bucket; differs between two sets in at most |x ^ y| places."""
-    return np.packbits(np.bincount((shingles & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
-
-
-_STEP = "kind string, row long, doc_id long, n long, digest binary, sketch binary, bucket int, keys binary, content binary"
+    return np.packbits(np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def wide_sketch(shingles: np.ndarray) -> bytes | None:
+    """For a set that fills the plain sketch, one of two places or more per shingle; a power of two, so that it folds to half."""
+    return sketch(shingles, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) > WIDE_FROM else None
+
+
+class WideSketches:
+    """Sketches of different widths, compared at the width of the smaller one: halves are folded by exclusive or."""
+
+    def __init__(self, packed: list[bytes | None]) -> None:
+        self.bits = np.array([0 if p is None else 8 * len(p) for p in packed], np.int64)
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held, members = np.zeros((0, 0), np.uint64), np.zeros(0, np.int64)
+        for level in sorted(set(self.bits.tolist()) - {0}, reverse=True):
+            while held.shape[1] > level // 64:
+                half = held.shape[1] // 2
+                held = held[:, :half] ^ held[:, half:]
+            own = np.flatnonzero(self.bits == level)
+            rows = np.frombuffer(b"".join(packed[i] for i in own), np.uint64).reshape(len(own), -1)
+            held = np.concatenate([held, rows]) if len(held) else rows
+            members = np.concatenate([members, own])
+            place = np.full(len(packed), -1)
+            place[members] = np.arange(len(members))
+            self.levels[level] = held, place
+
+    def close(self, i: int, js: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Which of `js` may link with `i`; `total` is the sum of both sizes."""
+        keep = np.ones(len(js), bool)
+        width = np.minimum(self.bits[js], self.bits[i])
+        for level in np.unique(width[width > 0]).tolist():
+            at = np.flatnonzero(width == level)
+            held, place = self.levels[level]
+            for start in range(0, len(at), 4096):
+                part = at[start:start + 4096]
+                apart = np.bitwise_count(held[place[js[part]]] ^ held[place[i]]).sum(axis=1, dtype=np.int64)
+                keep[part] = 9 * apart <= total[part]
+        return keep
+
+
+_STEP = "kind string, row long, doc_id long, n long, digest binary, sketch binary, wide binary, bucket int, keys binary, content binary"
 
 
 def _replicate(docs: DataFrame, text: str, buckets: int) -> DataFrame:
@@ -125,7 +166,7 @@ def _replicate(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     ready = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
     names = [f.split()[0] for f in _STEP.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -136,7 +177,7 @@ def _replicate(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             for row, doc_id, data in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingle_set(data)
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                out.append(("docs", row, doc_id, len(s), digest, sketch(s), None, None, hashlib.sha256(data).digest()))
+                out.append(("docs", row, doc_id, len(s), digest, sketch(s), wide_sketch(s), None, None, hashlib.sha256(data).digest()))
                 if len(s) and digest not in seen:
                     seen.add(digest)
                     kept = s[:_window(len(s))]
@@ -149,7 +190,7 @@ def _replicate(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                 for i in np.flatnonzero(np.diff(cuts)):
                     take = order[cuts[i]:cuts[i + 1]]
                     packed = hashes[take].tobytes() + b"".join(a[take].astype("<i8").tobytes() for a in (rows, sizes))
-                    out.append(("regions", None, None, len(take), None, None, int(i), press.compress(packed), None))
+                    out.append(("regions", None, None, len(take), None, None, None, int(i), press.compress(packed), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     return ready.mapInArrow(run, _STEP)
@@ -258,6 +299,7 @@ def _left_pairs(members: DataFrame, buckets: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         region, row, n, comp = (table.column(c).to_numpy() for c in ("region", "row", "n", "component"))
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+        wide = WideSketches(table.column("wide").to_pylist())
         order = np.lexsort((n, region))
         cuts = np.flatnonzero(np.append(True, region[order][1:] != region[order][:-1]))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -271,6 +313,8 @@ def _left_pairs(members: DataFrame, buckets: int) -> DataFrame:
                 if len(js):
                     apart = np.bitwise_count(bits[js] ^ bits[m[i]]).sum(axis=1, dtype=np.int64)
                     js = js[9 * apart <= n[js] + size[i]]
+                    if wide.bits[m[i]] and len(js):
+                        js = js[wide.close(m[i], js, n[js] + size[i])]
                     left.append(np.full(len(js), m[i]))
                     right.append(js)
         i, j = np.concatenate(left), np.concatenate(right)
@@ -301,7 +345,7 @@ def joined_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     buckets = shuffle_width(spark)
     step = settle(_replicate(docs, text, BUCKETS * buckets), "shingles", "kind")
-    rows = step.where("kind = 'docs'").select("row", "doc_id", "n", "digest", "sketch", "content")
+    rows = step.where("kind = 'docs'").select("row", "doc_id", "n", "digest", "sketch", "wide", "content")
     # equal sets are one from here on; an empty set links with nothing
     classes = rows.where("n > 0").groupBy("digest", "n").agg(F.min("row").alias("rep"), F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least"))
     classes = settle(classes, "classes")
@@ -320,14 +364,15 @@ def joined_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     open_members = members.withColumn("component", F.col("row")).withColumn("_order", F.col("row"))
     for last in (False,) * PIVOT_ROUNDS + (True,):
         several = open_members.groupBy("region").agg(
-            F.min("component").alias("_low"), F.max("component").alias("_high"),
+            F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("row").alias("_held"),
             F.min(F.struct("_order", F.col("row").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))).alias("_first"))
         several = several.where("_low < _high")
         if last:
-            left = open_members.join(several.select("region"), "region", "left_semi").join(heads.select("row", "sketch"), "row")
+            left = (open_members.join(several.select("region", "_held"), "region").join(heads.select("row", "sketch", "wide"), "row")
+                    .withColumn("wide", F.when(F.col("_held") > CROWD, F.col("wide"))).drop("_held"))
             pairs = _left_pairs(left, buckets)
         else:
-            near = open_members.join(several.select("region", "_first.*").drop("_order"), "region").where(
+            near = open_members.join(several.select("region", "_first.*").drop("_order", "_held"), "region").where(
                 (F.col("component") != F.col("pc")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
             counted = near.groupBy(F.col("pivot").alias("a"), F.col("row").alias("b"), "n", "pn").agg(F.count("region").alias("c"))
             pairs = counted.where(enough_regions(F.col("c"), F.col("n"), F.col("pn"))).select("a", "b")

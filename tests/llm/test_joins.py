@@ -74,6 +74,37 @@ def test_jaccard_components(spark, sf_dir):
     assert links > 500 and got == want
 
 
+def test_sketches_of_different_widths_fold():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (300, 700, 900, 1500, 5000)]
+    sets += [np.unique(np.concatenate([sets[3][:1450], sets[4][:60]])), sets[4][:4500]]
+    wide = jaccard.WideSketches([jaccard.wide_sketch(s) for s in sets])
+    assert wide.bits.tolist() == [0, 2048, 2048, 4096, 16384, 4096, 16384]
+    for i in range(1, len(sets)):
+        js = np.array([j for j in range(len(sets)) if j != i])
+        close = wide.close(i, js, np.array([len(sets[j]) for j in js]) + len(sets[i]))
+        for j, ok in zip(js.tolist(), close.tolist()):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            linked = 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared)
+            assert ok or not linked
+            if j and 1 < min(len(sets[i]), len(sets[j])) / max(len(sets[i]), len(sets[j])) * 2 and not linked:
+                assert not ok
+
+
+def test_a_passage_of_many_long_documents_makes_no_pairs(spark, monkeypatch):
+    """A third of the documents are long and share a passage and little else: no pair of them is compared, and near copies still link."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = lambda: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randint(1200, 1500)))
+    rows = [(i, f"{passage} {long()}" if i % 3 == 0 else f"{rng.random()} {rng.random()} a b c d {rng.random()}") for i in range(240)]
+    rows.append((1000, rows[3][1] + " and some more words"))
+    compared, compare = [], jaccard._compare
+    monkeypatch.setattr(jaccard, "_compare", lambda pairs, texts: compared.append(pairs.count()) or compare(pairs, texts))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 3 if i == 1000 else i for i, _ in rows}
+    assert sum(compared) < 2 * len(rows)
+
+
 def test_jaccard_on_no_rows(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -18,14 +18,15 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import settle, shuffle_width, slices
+from labelweave.llm.common import settle, shuffle_width, sized_slices, slices
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 64
 CACHED_WORDS = 200_000
@@ -69,32 +70,46 @@ class WordIds:
         if len(self.plain) > CACHED_WORDS:
             self.plain, self.old_plain = {}, self.plain
 
-    def _learn(self, chunks: list[str]) -> None:
-        split = {}
+    def _learn(self, chunks: Iterable[str]) -> None:
+        words, old, match, split = self.words, self.old_words, _PLAIN.match, []
         for chunk in chunks:
-            if chunk in self.old_words:
-                self.words[chunk] = self.old_words[chunk]
-            elif (m := _PLAIN.match(chunk) if self.joined else None) is None:
-                self.words[chunk] = self._encode(chunk)
+            if (seen := old.get(chunk)) is not None:
+                words[chunk] = seen
+            elif self.joined and chunk.isascii() and chunk.isalpha():
+                split.append((chunk, chunk.lower(), ""))
+            elif not self.joined or (m := match(chunk)) is None:
+                words[chunk] = self._encode(chunk)
             else:
-                split[chunk] = m[1].lower(), m[2]
-        new = []
-        for w in {w for pair in split.values() for w in pair}:
-            if w not in self.plain:
-                if not w or w in self.old_plain:
-                    self.plain[w] = self.old_plain.get(w, b"")
-                else:
-                    new.append(w)
+                split.append((chunk, m[1].lower(), m[2]))
+        plain, old, new = self.plain, self.old_plain, []
+        for w in {x[1] for x in split}.union(x[2] for x in split).difference(plain):
+            if (seen := old.get(w, None if w else b"")) is not None:
+                plain[w] = seen
+            else:
+                new.append(w)
         for start in range(0, len(new), 4096):
             part = new[start:start + 4096]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part):
-                self.plain.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, [0, *stops[:-1].tolist()], stops.tolist()))
+                size, whole = ids.itemsize, ids.tobytes()
+                stops = (stops * size).tolist()
+                plain.update((w, whole[a:b]) for w, a, b in zip(part, [0, *stops[:-1]], stops))
             else:
-                self.plain.update((w, self._encode(w)) for w in part)
-        for chunk, (word, mark) in split.items():
-            self.words[chunk] = self.plain[word] + self.plain[mark]
+                plain.update((w, self._encode(w)) for w in part)
+        for chunk, word, mark in split:
+            words[chunk] = plain[word] + plain[mark] if mark else plain[word]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts; the words that are new to all of them are learned together."""
+        out: list = [None] * len(texts)
+        cut = {i: t.split() for i, t in enumerate(texts) if len(t) <= BLOCK and not _ODD_SPACE.search(t)}
+        self._age()
+        self._learn(set(chain.from_iterable(cut.values())).difference(self.words))
+        get = self.words.__getitem__
+        for i, chunks in cut.items():
+            out[i] = b"".join(map(get, chunks))
+        return [self.ids(t) if o is None else o for t, o in zip(texts, out)]
 
     def ids(self, text: str) -> bytes:
         out, start = [], 0
@@ -172,8 +187,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int, dtype: str, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_ids(path, dtype), np.array([end_id], dtype).tobytes()
-        for batch in slices(batches):
-            ids = [encoder.ids(t) + end for t in batch.column(2).to_pylist()]
+        for batch in sized_slices(batches, 2, rows=1024):
+            ids = [i + end for i in encoder.batch(batch.column(2).to_pylist())]
             keys = curve_keys([np.frombuffer(i, dtype) for i in ids])
             yield pa.RecordBatch.from_pydict({"row": batch.column(0), "doc_id": batch.column(1),
                                               "n": pa.array([len(i) // np.dtype(dtype).itemsize for i in ids], pa.int64()),

@@ -113,9 +113,11 @@ class GramFeatures:
             found = terms.join(self.index, "gram")
         values = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("column", (F.col("tf") * F.col("idf")).alias("v")))).alias("_e"))
         length = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda acc, e: acc + e["v"] * e["v"]))
-        return values.withColumn("_length", length).select(key, F.struct(
-            F.lit(0).cast("tinyint").alias("type"), F.lit(self.size).alias("size"), F.transform("_e", lambda e: e["column"]).alias("indices"),
-            F.transform("_e", lambda e: e["v"] / F.col("_length")).alias("values")).alias("features"))
+        # the length stands in an array of one struct, so that it is computed once per text and not once per entry
+        made = F.transform(F.array(F.struct(F.col("_e").alias("e"), length.alias("n"))), lambda s: F.struct(
+            F.lit(0).cast("tinyint").alias("type"), F.lit(self.size).alias("size"), F.transform(s["e"], lambda e: e["column"]).alias("indices"),
+            F.transform(s["e"], lambda e: e["v"] / s["n"]).alias("values")))
+        return values.select(key, F.get(made, F.lit(0)).alias("features"))
 
     def gram_lengths(self) -> tuple[int, int]:
         """Length of the shortest and of the longest n-gram of the index."""

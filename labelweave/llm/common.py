@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +41,19 @@ def settle(df: DataFrame, name: str, *partition_by: str, release: bool = False)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write a step bucketed by a key, so that joins with as many partitions by that key leave it where it lies.
+
+    Buckets need a table to be known; its name leaves the catalogue once the frame knows its files, which stay.
+    """
+    spark = df.sparkSession
+    table = f"step_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", scratch_path(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: the one knob by which a run is sized to its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

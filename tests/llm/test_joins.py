@@ -1,6 +1,8 @@
 """Jaccard join, suffix dedup and NN-descent against brute force."""
 
 import collections
+import datetime
+import decimal
 import hashlib
 import math
 import random
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelweave.llm import components, jaccard, neighbours, suffixes
-from labelweave.llm.common import read
+from labelweave.llm.common import read, settle_by
 
 LOW = -(1 << 63)
 
@@ -130,6 +132,9 @@ def test_components(spark):
     assert got == {x: least[x] for x in touched}
 
 
+PASSAGE = "The quick brown fox jumps over the lazy dog while 17 cats look on from a wall."
+
+
 def test_remove_repeats(spark, sf_dir):
     rng = random.Random(3)
     base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
@@ -153,6 +158,8 @@ def test_remove_repeats(spark, sf_dir):
     got = collections.Counter((LOW if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
                               for r in suffixes.remove_repeats(docs.withColumn("batch", F.lit(1))).collect())
     assert sum(k[2] for k in want) > 50_000 and got == want
+    spread = suffixes.remove_repeats(docs, hot=1)  # all open contexts by the way of hot anchors
+    assert got == collections.Counter((LOW if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in spread.collect())
     whole = suffixes.without_repeats(docs.withColumn("batch", F.lit("clash")))
     assert whole.columns == ["doc_id", "text", "batch"]
     assert sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in whole.where("doc_id <> 5000009 or doc_id is null").collect()) == sorted(
@@ -160,6 +167,31 @@ def test_remove_repeats(spark, sf_dir):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_without_repeats_keeps_columns_and_types(spark):
+    when = datetime.datetime(2024, 5, 6, 7, 8, 9, 123456)
+    rows = [(1, "p" * 10 + PASSAGE, when, [1, None], None, b"\x00\xff", decimal.Decimal("1.50")), (2, PASSAGE + " q", None, None, "x", None, None),
+            (None, None, when, [], "", b"", None), (3, "", when, [3], "y", b"z", decimal.Decimal("0.01"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, home timestamp, carried array<int>, ids string, blob binary, kept decimal(9,2)")
+    got = suffixes.without_repeats(docs)
+    assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+    keyed = {r.doc_id: r for r in got.collect()}
+    assert {i: tuple(r)[2:] for i, r in keyed.items()} == {r[0]: r[2:] for r in rows}
+    assert [keyed[i].text for i in (1, 2, 3, None)] == ["p" * 10 + PASSAGE, " q", "", ""]
+    assert suffixes.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_texts_are_shuffled_nowhere(spark, sf_dir):
+    """Packed texts lie bucketed by home, so the joins with their answers exchange only the answers."""
+    packed = settle_by(suffixes.pack_texts(read(spark, sf_dir, "documents")), "packed", "home", 3)
+    answers = spark.range(5).select(F.col("id").alias("home"), F.col("id").alias("batch"), F.lit(1).alias("flags"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = suffixes._to_home(packed, answers, ["home", "batch", "flags"], 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+
+
 @pytest.mark.parametrize("shallow", [0, 8, 16, 32, 48])
 def test_deep_shallow_sorts_suffixes(shallow):
     rng = random.Random(shallow)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labelweave.operators import gram_arrays as A
 from labelweave.operators import ngrams as G
 from labelweave.operators.models import TextClassifier
+from labelweave.schema import VOCABULARY_ROWS
 
 
 def top_features(weights: DataFrame, k: int = 50) -> DataFrame:
@@ -60,14 +65,86 @@ def _joined(importance: Column) -> Column:
         "|", e["feature"], F.format_number(e["weight"], 4))), "; ")
 
 
+_ENTRIES = "array<struct<feature:string,weight:double>>"
+
+
+def strongest_ngrams(weights: DataFrame, nmin: int, nmax: int, k: int, by_size: bool = False, held: int = VOCABULARY_ROWS):
+    """A column function (text, label, ...) -> struct of one array of (feature, weight) for each label: the k largest
+    contributions of the text to the class, or null without any. Tasks look texts up in a copy of the weights; None, if
+    these are more than ``held`` rows.
+    """
+    if weights.limit(held + 1).count() > held:
+        return None
+    at = "column" if "column" in weights.columns else "feature"
+    table = (weights.groupBy("feature", F.col(at).cast("string").alias("_at"), "idf")
+             .agg(F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("_w")).orderBy("feature"))
+    classes = sorted(r["label"] for r in weights.select("label").distinct().collect())
+    rows = table.select("feature", "_at", "idf", *[F.coalesce(F.element_at("_w", F.lit(c)), F.lit(0.0)).alias(f"_w{i}") for i, c in enumerate(classes)]).toArrow()
+    column = np.unique(rows.column("_at").to_numpy(), return_inverse=True)[1] if at == "column" else np.arange(len(rows))
+    copy = weights.sparkSession.sparkContext.broadcast((
+        rows.column("feature").combine_chunks().cast(pa.string()), column, rows.column("idf").to_numpy(),
+        {c: rows.column(f"_w{i}").to_numpy() for i, c in enumerate(classes)}))
+    k = max(1, k)
+
+    def for_label(labels: pa.Array, of, place, x) -> pa.Array:
+        grams, _, _, weight_of = copy.value
+        parts = []
+        for c, w in weight_of.items():
+            mine = pc.fill_null(pc.equal(labels, c), False).to_numpy(zero_copy_only=False)[of]
+            part = x[mine] * w[place[mine]]
+            some = part != 0
+            o, p, part = of[mine][some], place[mine][some], part[some]
+            kept = A.strongest(o, p, np.abs(part) if by_size else part, np.arange(len(grams)), k)  # the copy is in the order of n-grams
+            parts.append((o[kept], p[kept], part[kept]))
+        o, p, part = (np.concatenate(c) for c in zip(*parts))
+        by_text = np.argsort(o, kind="stable")  # a text has one label here
+        entry = pa.struct([("feature", pa.string()), ("weight", pa.float64())])
+        entries = pa.StructArray.from_arrays([grams.take(pa.array(p[by_text])), pa.array(part[by_text])], fields=list(entry))
+        return A.lists(o[by_text], len(labels), entries, pa.list_(pa.field("element", entry)), False)
+
+    def found(texts: pa.Array, *labels: pa.Array) -> pa.Array:
+        grams, column, idf, _ = copy.value
+        made = []
+        for a, b, part, _ in A.single_texts(texts):
+            of, place, raw = A.known_terms(part, nmin, nmax, grams, idf)
+            x = raw / A.norms(of, column[place], raw, b - a)[of]
+            lists = [for_label(l.slice(a, b - a), of, place, x) for l in labels]
+            made.append(pa.StructArray.from_arrays(lists, names=[f"c{i}" for i in range(len(lists))]))
+        return pa.concat_arrays(made)
+
+    def of_columns(text: Column, *labels: Column) -> Column:
+        kind = ",".join(f"c{i}:{_ENTRIES}" for i in range(len(labels)))
+
+        # Spark wants a plain signature
+        if len(labels) == 1:
+            @F.arrow_udf(f"struct<{kind}>")
+            def one(texts: pa.Array, a: pa.Array) -> pa.Array:
+                return found(texts, a)
+            return one(text, *labels)
+
+        @F.arrow_udf(f"struct<{kind}>")
+        def two(texts: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+            return found(texts, a, b)
+        return two(text, *labels)
+
+    return of_columns
+
+
 def explain_misclassified(predictions: DataFrame, classifier: TextClassifier, nmin: int = 3, nmax: int = 5,
-                          k: int = 5) -> DataFrame:
+                          k: int = 5, held: int = VOCABULARY_ROWS) -> DataFrame:
     """Per wrong row the n-grams that spoke for the predicted and for the true class.
 
-    Only wrong rows are cut into n-grams.
+    Only wrong rows are cut into n-grams. Weights that are few by count are looked up where the rows are; more of them are
+    joined with the n-grams of the rows.
     """
-    wrong = predictions.where(F.col("label") != F.col("pred_label")).withColumn("_row", _row_key())
+    wrong = predictions.where(F.col("label") != F.col("pred_label"))
     weights = classifier.weights(predictions.sparkSession)
+    strongest = strongest_ngrams(weights, nmin, nmax, k, held=held)
+    if strongest:
+        tops = wrong.withColumn("_tops", strongest(G.collapse_spaces("normalized_text"), F.col("pred_label"), F.col("label")))
+        return tops.select("id", "text", "label", "pred_label", _joined(F.col("_tops.c0")).alias("top_pred_features"),
+                           _joined(F.col("_tops.c1")).alias("top_true_features")).distinct()
+    wrong = wrong.withColumn("_row", _row_key())
     parts = contributions(wrong.select("_row", "normalized_text").distinct(), weights, nmin, nmax, "_row", "normalized_text")
     tops = top_contributions(parts, k, key="_row")
     listed = tops.select("_row", F.col("label").alias("_class"), _joined(F.col("importance")).alias("_top"))
@@ -81,9 +158,13 @@ def explain_misclassified(predictions: DataFrame, classifier: TextClassifier, nm
 
 
 def importance_of_prediction(predictions: DataFrame, classifier: TextClassifier, nmin: int = 3, nmax: int = 5,
-                             k: int = 5) -> DataFrame:
+                             k: int = 5, held: int = VOCABULARY_ROWS) -> DataFrame:
     """The rows with ``importance``: the k n-grams of largest absolute contribution to the predicted class."""
     weights = classifier.weights(predictions.sparkSession)
+    strongest = strongest_ngrams(weights, nmin, nmax, k, True, held)
+    if strongest:
+        tops = predictions.withColumn("_tops", strongest(G.collapse_spaces("normalized_text"), F.col("pred_label")))
+        return tops.withColumn("importance", F.col("_tops.c0")).drop("_tops")
     rows = predictions.withColumn("_row", _row_key())
     asked = rows.select("_row", "normalized_text", "pred_label").distinct()
     parts = contributions(asked, weights, nmin, nmax, "_row", "normalized_text")

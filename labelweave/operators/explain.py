@@ -141,7 +141,7 @@ def explain_misclassified(predictions: DataFrame, classifier: TextClassifier, nm
     weights = classifier.weights(predictions.sparkSession)
     strongest = strongest_ngrams(weights, nmin, nmax, k, held=held)
     if strongest:
-        tops = wrong.withColumn("_tops", strongest(G.collapse_spaces("normalized_text"), F.col("pred_label"), F.col("label")))
+        tops = G.clean_column(wrong, "_clean", "normalized_text").withColumn("_tops", strongest(F.col("_clean"), F.col("pred_label"), F.col("label")))
         return tops.select("id", "text", "label", "pred_label", _joined(F.col("_tops.c0")).alias("top_pred_features"),
                            _joined(F.col("_tops.c1")).alias("top_true_features")).distinct()
     wrong = wrong.withColumn("_row", _row_key())
@@ -163,8 +163,8 @@ def importance_of_prediction(predictions: DataFrame, classifier: TextClassifier,
     weights = classifier.weights(predictions.sparkSession)
     strongest = strongest_ngrams(weights, nmin, nmax, k, True, held)
     if strongest:
-        tops = predictions.withColumn("_tops", strongest(G.collapse_spaces("normalized_text"), F.col("pred_label")))
-        return tops.withColumn("importance", F.col("_tops.c0")).drop("_tops")
+        tops = G.clean_column(predictions, "_clean", "normalized_text").withColumn("_tops", strongest(F.col("_clean"), F.col("pred_label")))
+        return tops.withColumn("importance", F.col("_tops.c0")).drop("_tops", "_clean")
     rows = predictions.withColumn("_row", _row_key())
     asked = rows.select("_row", "normalized_text", "pred_label").distinct()
     parts = contributions(asked, weights, nmin, nmax, "_row", "normalized_text")

@@ -327,10 +327,9 @@ def scan_export_documents(spark, sf):
         F.struct(F.col("annotator").alias("username")).alias("completed_by"), F.array(choice).alias("result"))).alias("annotations"))
     documents = rows.groupBy(F.floor(F.col("seq") / 5000).alias("span")).agg(F.collect_list(task).alias("tasks"))
     note = F.struct(F.lit('a "tasks": [ in a note, and }').alias("note"), F.array(F.lit(1)).alias("version"))
-    listed = documents.where("span % 2 = 0").select(F.to_json("tasks").alias("value"))
-    held = documents.where("span % 2 = 1").select(F.to_json(F.struct(note.alias("meta"), "tasks", F.array(note).alias("views"))).alias("value"))
+    held = F.to_json(F.struct(note.alias("meta"), "tasks", F.array(note).alias("views")))
     path = scratch_path(spark, "export-documents")
-    listed.unionByName(held).repartition("value").write.option("maxRecordsPerFile", 1).text(path)
+    documents.select(F.when(F.col("span") % 2 == 0, F.to_json("tasks")).otherwise(held).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return exports.read_tool_export(spark, path).select("id", "text", "annotator", "label")
 
 

@@ -2,11 +2,13 @@
 
 A file is read by Spark's text source in pieces that end at a chosen character. A piece has a place, (file, block, pos):
 the block is where the reader's split begins, and pos rises inside it. What a piece starts with (how deep in brackets, in
-a string or not) follows from sums over the pieces before it: sums inside each block, and one offset per block.
+a string or not) follows from sums over the pieces before it: sums inside each block, and one offset per block. These sums
+are taken over a few numbers per piece; the text of a piece only meets its element at the end.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,15 +23,19 @@ def read_pieces(spark: SparkSession, path: str, end: str | None = None) -> DataF
                                     F.monotonically_increasing_id().alias("pos"), "value")
 
 
-def _before(pieces: DataFrame, amount: Column, name: str) -> DataFrame:
-    """Adds the sum of ``amount`` over all earlier pieces of the file."""
-    rows = pieces.withColumn("_amount", amount.cast("long"))
-    inside = W.partitionBy("file", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+def _offsets(pieces: DataFrame, amount: str) -> DataFrame:
+    """The sum of ``amount`` over all earlier blocks of the file."""
     earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = rows.groupBy("file", "block").agg(F.sum("_amount").alias("_t")).select(
+    blocks = pieces.groupBy("file", "block").agg(F.sum(F.col(amount).cast("long")).alias("_t")).select(
         "file", "block", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_offset"))
-    return (rows.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0))).join(broadcast_if_small(blocks), ["file", "block"])
-            .withColumn(name, F.col("_offset") + F.col("_inside")).drop("_amount", "_inside", "_offset"))
+    return broadcast_if_small(blocks)
+
+
+def _before(pieces: DataFrame, amount: str, name: str, offsets: DataFrame) -> DataFrame:
+    """Adds the sum of ``amount`` over all earlier pieces of the file."""
+    inside = W.partitionBy("file", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    return (pieces.withColumn("_inside", F.coalesce(F.sum(F.col(amount).cast("long")).over(inside), F.lit(0))).join(offsets, ["file", "block"])
+            .withColumn(name, F.col("_offset") + F.col("_inside")).drop("_inside", "_offset"))
 
 
 def _outside(text: Column, within: Column) -> Column:
@@ -43,6 +49,11 @@ def _deeper(bare: Column) -> Column:
     return F.char_length(F.translate(bare, "]}", "")) - F.char_length(F.translate(bare, "[{", ""))
 
 
+def _in_order(place: str, text: Column) -> Column:
+    """Texts of a group joined in the order of their places."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(place), text.alias("text")))), lambda x: x["text"]), "")
+
+
 def read_elements(spark: SparkSession, path: str, field: str) -> DataFrame:
     """(file, number, element): the objects of a JSON array as text, in order; of a document that is an object, those of the array in ``field``.
 
@@ -51,29 +62,59 @@ def read_elements(spark: SparkSession, path: str, field: str) -> DataFrame:
     """
     pieces = read_pieces(spark, path, "}").withColumn("value", F.concat(F.ltrim("value", F.lit("\ufeff")), F.lit("}")))
     quotes = F.char_length(F.regexp_replace("value", r"(?s)\\.|[^\"\\]", ""))
-    pieces = _before(pieces, quotes % 2, "_quotes").withColumn("_bare", _outside(F.col("value"), F.col("_quotes") % 2 == 1))
-    pieces = _before(pieces, _deeper(F.col("_bare")), "depth").withColumn("_after", F.col("depth") + _deeper(F.col("_bare")))
-    at = F.struct("block", "pos")
+    filled = F.ltrim("value", F.lit(" \t\r\n"))
+    head = F.regexp_extract("value", rf'(?s)\A(.*?"{field}"\s*:\s*\[)', 1)
+    behind = F.ltrim(F.expr("substring(value, char_length(_head) + 1)"), F.lit(" \t\r\n"))
+    marked = pieces.withColumn("_head", head).select(
+        "file", "block", "pos", "value", (quotes % 2).alias("_odd"), _deeper(_outside(F.col("value"), F.lit(False))).alias("_deeper_out"),
+        _deeper(_outside(F.col("value"), F.lit(True))).alias("_deeper_in"), filled.startswith("[").alias("_opens"), filled.startswith("]").alias("_closes"),
+        F.char_length("_head").alias("_skip"), _deeper(_outside(F.col("_head"), F.lit(False))).alias("_head_deeper"), behind.startswith("]").alias("_none"))
+    marked = marked.persist(StorageLevel.DISK_ONLY)  # its columns are read apart
+    thin, at = marked.drop("value"), F.struct("block", "pos")  # numbers alone, until all offsets are known
+    odd = _offsets(thin, "_odd")
+
+    def opened(rows: DataFrame) -> DataFrame:
+        return _before(rows, "_odd", "_quotes", odd).withColumn(
+            "_deeper", F.when(F.col("_quotes") % 2 == 1, F.col("_deeper_in")).otherwise(F.col("_deeper_out")))
+
+    deeper = _offsets(opened(thin), "_deeper")
+
+    def deep(rows: DataFrame) -> DataFrame:
+        return _before(opened(rows), "_deeper", "depth", deeper).withColumn("_after", F.col("depth") + F.col("_deeper"))
+
+    pieces = deep(thin)
 
     # where the array begins: at the document's own bracket, or behind the field's name one level down
-    filled = F.ltrim("value", F.lit(" \t\r\n"))
-    pieces = pieces.withColumn("_head", F.regexp_extract("value", rf'(?s)\A(.*?"{field}"\s*:\s*\[)', 1))
     outer = pieces.where((F.col("depth") <= 1) & (F.col("_quotes") % 2 == 0))
-    listed = outer.where((F.col("depth") == 0) & filled.startswith("[")).select("file", at.alias("_begin"), F.lit(1).alias("_level"), F.lit(0).alias("_skip"))
-    held = outer.where((F.col("_head") != "") & (F.col("depth") + _deeper(_outside(F.col("_head"), F.lit(False))) == 2)).select(
-        "file", at.alias("_begin"), F.lit(2).alias("_level"), F.char_length("_head").alias("_skip"),
-        F.ltrim(F.expr("substring(value, char_length(_head) + 1)"), F.lit(" \t\r\n")).startswith("]").alias("_none"))
+    listed = outer.where((F.col("depth") == 0) & F.col("_opens")).select("file", at.alias("_begin"), F.lit(1).alias("_level"), F.lit(0).alias("_from"))
+    held = outer.where((F.col("_skip") > 0) & (F.col("depth") + F.col("_head_deeper") == 2)).select(
+        "file", at.alias("_begin"), F.lit(2).alias("_level"), F.col("_skip").alias("_from"), "_none")
     begins = listed.withColumn("_none", F.lit(False)).unionByName(held).groupBy("file").agg(
-        F.min(F.struct("_begin", "_level", "_skip", "_none")).alias("_s")).select("file", "_s.*").where("not _none").drop("_none")
+        F.min(F.struct("_begin", "_level", "_from", "_none")).alias("_s")).select("file", "_s.*").where("not _none").drop("_none")
 
     # an element ends where the depth is back at the array's; a bracket first thing between elements ends the array
-    inside = pieces.join(broadcast_if_small(begins), "file").where(at >= F.col("_begin"))
-    closes = inside.where((F.col("depth") == F.col("_level")) & (at > F.col("_begin")) & filled.startswith("]"))
-    ends = closes.groupBy("file").agg(F.min(at).alias("_end"))
-    inside = inside.join(broadcast_if_small(ends), "file", "left").where(F.col("_end").isNull() | (at < F.col("_end")))
-    inside = inside.select("file", "block", "pos", F.expr("if(struct(block, pos) = _begin, substring(value, _skip + 1), value)").alias("value"),
-                           (F.col("_after") == F.col("_level")).cast("long").alias("_ends"))
-    numbered = _before(inside, F.col("_ends"), "number")
-    joined = numbered.groupBy("file", "number").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "pos", "value"))), lambda x: x["value"]), "").alias("element"), F.max("_ends").alias("_whole"))
+    begins = broadcast_if_small(begins)
+
+    def behind_begin(rows: DataFrame) -> DataFrame:
+        return rows.drop("_none").join(begins, "file").where(at >= F.col("_begin"))
+
+    closes = behind_begin(pieces).where((F.col("depth") == F.col("_level")) & (at > F.col("_begin")) & F.col("_closes"))
+    ends = broadcast_if_small(closes.groupBy("file").agg(F.min(at).alias("_end")))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        listed = behind_begin(deep(rows)).join(ends, "file", "left").where(F.col("_end").isNull() | (at < F.col("_end")))
+        return listed.withColumns({"_from": F.when(at == F.col("_begin"), F.col("_from")).otherwise(0),
+                                   "_ends": (F.col("_after") == F.col("_level")).cast("long")})
+
+    earlier = _offsets(inside(thin), "_ends")
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return _before(inside(rows), "_ends", "number", earlier)
+
+    # texts are put together in their block; only an element that goes over a block's end is gathered from several
+    split = numbered(thin).groupBy("file", "number").agg(F.min("block").alias("_a"), F.max("block").alias("_b")).where("_a < _b")
+    parts = numbered(marked).groupBy("file", "block", "number").agg(_in_order("pos", F.expr("substring(value, _from + 1)")).alias("element"), F.max("_ends").alias("_whole"))
+    parts = parts.join(broadcast_if_small(split.select("file", "number", F.lit(True).alias("_split"))), ["file", "number"], "left")
+    several = parts.where("_split").groupBy("file", "number").agg(_in_order("block", F.col("element")).alias("element"), F.max("_whole").alias("_whole"))
+    joined = parts.where("_split is null").select("file", "number", "element", "_whole").unionByName(several)
     return joined.where("_whole = 1").select("file", "number", F.expr("substring(element, instr(element, '{'))").alias("element"))

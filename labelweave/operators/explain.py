@@ -82,12 +82,12 @@ def strongest_ngrams(weights: DataFrame, nmin: int, nmax: int, k: int, by_size:
     rows = table.select("feature", "_at", "idf", *[F.coalesce(F.element_at("_w", F.lit(c)), F.lit(0.0)).alias(f"_w{i}") for i, c in enumerate(classes)]).toArrow()
     column = np.unique(rows.column("_at").to_numpy(), return_inverse=True)[1] if at == "column" else np.arange(len(rows))
     copy = weights.sparkSession.sparkContext.broadcast((
-        rows.column("feature").combine_chunks().cast(pa.string()), column, rows.column("idf").to_numpy(),
+        rows.column("feature").combine_chunks().cast(pa.string()), A.Held(rows.column("feature").combine_chunks().cast(pa.string())), column, rows.column("idf").to_numpy(),
         {c: rows.column(f"_w{i}").to_numpy() for i, c in enumerate(classes)}))
     k = max(1, k)
 
     def for_label(labels: pa.Array, of, place, x) -> pa.Array:
-        grams, _, _, weight_of = copy.value
+        grams, _, _, _, weight_of = copy.value
         parts = []
         for c, w in weight_of.items():
             mine = pc.fill_null(pc.equal(labels, c), False).to_numpy(zero_copy_only=False)[of]
@@ -103,10 +103,10 @@ def strongest_ngrams(weights: DataFrame, nmin: int, nmax: int, k: int, by_size:
         return A.lists(o[by_text], len(labels), entries, pa.list_(pa.field("element", entry)), False)
 
     def found(texts: pa.Array, *labels: pa.Array) -> pa.Array:
-        grams, column, idf, _ = copy.value
+        _, known, column, idf, _ = copy.value
         made = []
-        for a, b, part, _ in A.single_texts(texts):
-            of, place, raw = A.known_terms(part, nmin, nmax, grams, idf)
+        for a, b, part, _ in A.single_texts(texts, A.LOOKUP_CHARS):
+            of, place, raw = A.known_terms(part, nmin, nmax, known, idf)
             x = raw / A.norms(of, column[place], raw, b - a)[of]
             lists = [for_label(l.slice(a, b - a), of, place, x) for l in labels]
             made.append(pa.StructArray.from_arrays(lists, names=[f"c{i}" for i in range(len(lists))]))

@@ -17,6 +17,7 @@ whole texts of any length are read; only the named columns are read.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -57,9 +58,14 @@ def dictionary(docs: DataFrame, text: str = "text", size: int = 2_000) -> list[s
     return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()]
 
 
+def _word_list(words: list[str]) -> Column:
+    """The words as one array: a single value to the planner, however many they are and however often they are used."""
+    return F.from_json(F.lit(json.dumps(words)), "array<string>")
+
+
 def with_features(found: DataFrame, words: list[str]) -> DataFrame:
     value, share = F.col("value"), lambda pattern: F.regexp_count("value", F.lit(pattern)) / F.col("length")
-    known = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    known = _word_list(words)
     pieces = F.array_intersect(F.regexp_extract_all(F.lower(value), F.lit("[a-z]{3,}"), 0), known)
     flag = lambda c: c.cast("double")
     unpadded = F.rtrim(value, F.lit("="))
@@ -135,7 +141,7 @@ def planted(spark: SparkSession, words: list[str], n: int = 9_000, seed: int = 0
     The words around a value, and those inside paths, names and encoded text, are drawn from `words`; with none, from a few
     fixed ones. Other seeds give other values.
     """
-    pool = F.array(*map(F.lit, words or ["and", "the", "more", "other"]))
+    pool = _word_list(words or ["and", "the", "more", "other"])
     key = F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))
     word = lambda k: F.get(pool, F.pmod(F.xxhash64(key, F.lit(f"w{k}")), F.size(pool)).cast("int"))
     kinds = _kinds(key)
@@ -155,7 +161,9 @@ def planted(spark: SparkSession, words: list[str], n: int = 9_000, seed: int = 0
     encoded = F.base64(F.encode(F.concat_ws(" ", *[F.col(f"w{k}") for k in range(5)]), "UTF-8"))
     filled = F.when(F.col("value") == "~", F.regexp_replace(encoded, r"\s", "")).otherwise(filled)
     text = F.concat_ws(" ", "w5", "w6", F.replace("setting", F.lit("{}"), filled), "w7")
-    return candidates(rows.select("made", "label", "kind", text.alias("text")), keep=("made", "label", "kind"))
+    # a written step: its large expressions are planned once, and not in each query that reads the findings
+    made = settle(rows.select("made", "label", "kind", text.alias("text")), "planted")
+    return candidates(made, keep=("made", "label", "kind"))
 
 
 def _training(rows: DataFrame, max_findings: int) -> DataFrame:

@@ -44,6 +44,7 @@ GROUP = 256  # texts compared with one pivot in one task
 PIVOT_ROUNDS = 2
 WIDE_FROM = 300  # shingles from which the plain sketch tells little
 CROWD = 4  # members of a region from which wide sketches come along
+EARLY = 8  # first crowded regions that a member knows, so that a pair is made in one of them only
 SMALL = 512  # members of a region among which partners are looked for before any text is read
 NULL_ID = -(1 << 63)
 
@@ -294,22 +295,44 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return members.unionAll(pivots).groupBy("a", "part").applyInArrow(run, "a long, b long")
 
 
+def _with_early(members: DataFrame) -> DataFrame:
+    """Members of crowded regions with `early`, the first EARLY of their row's crowded regions; null for the others.
+
+    Two rows that share a region in both lists are seen together there, with the same bounds, so later regions need not make the pair.
+    """
+    crowded = F.col("_held") > CROWD
+    early = members.where(crowded).groupBy("row").agg(F.slice(F.array_sort(F.collect_set("region")), 1, EARLY).alias("early"))
+    return members.join(early, "row", "left").withColumn("early", F.when(crowded, F.col("early")))
+
+
 def _left_pairs(members: DataFrame, buckets: int) -> DataFrame:
-    """Pairs (a, b) from different components that no bound rules out."""
+    """Pairs (a, b) from different components that no bound rules out.
+
+    A pair that passes the wide sketches of a crowded region is compared, one that does not cannot link. So such a pair needs no
+    count of its regions, and the first of them that both rows know makes it. Pairs of other regions are counted.
+    """
     def run(table: pa.Table) -> pa.Table:
         region, row, n, comp = (table.column(c).to_numpy() for c in ("region", "row", "n", "component"))
+        early = table.column("early").to_pylist()
+        known = np.array([[] if e is None else e + e[-1:] * (EARLY - len(e)) for e in early if e is not None], np.int64).reshape(-1, EARLY)
+        place = np.cumsum([e is not None for e in early]) - 1
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
         wide = WideSketches(table.column("wide").to_pylist())
         order = np.lexsort((n, region))
         cuts = np.flatnonzero(np.append(True, region[order][1:] != region[order][:-1]))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left, right, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for x, y in zip(cuts, np.append(cuts[1:], len(order))):
             m = order[x:y]
             size = n[m]
+            crowded = early[m[0]] is not None
             for i in range(len(m) - 1):
                 stop = np.searchsorted(size, size[i] * 100 // PERCENT, side="right")  # members are in order of size
                 js = m[i + 1:stop]
                 js = js[comp[js] != comp[m[i]]]
+                if crowded and len(js):
+                    own = known[place[m[i]]]
+                    for before in own[own < region[m[i]]]:
+                        js = js[(known[place[js]] != before).all(axis=1)]
                 if len(js):
                     apart = np.bitwise_count(bits[js] ^ bits[m[i]]).sum(axis=1, dtype=np.int64)
                     js = js[9 * apart <= n[js] + size[i]]
@@ -317,18 +340,20 @@ def _left_pairs(members: DataFrame, buckets: int) -> DataFrame:
                         js = js[wide.close(m[i], js, n[js] + size[i])]
                     left.append(np.full(len(js), m[i]))
                     right.append(js)
-        i, j = np.concatenate(left), np.concatenate(right)
+                    near.append(np.full(len(js), crowded))
+        i, j, near = np.concatenate(left), np.concatenate(right), np.concatenate(near)
         swap = row[i] > row[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         pair = np.lexsort((row[j], row[i]))
-        i, j = i[pair], j[pair]
+        i, j, near = i[pair], j[pair], near[pair]
         new = np.flatnonzero(np.append(True, (row[i][1:] != row[i][:-1]) | (row[j][1:] != row[j][:-1]))) if len(i) else np.zeros(0, np.int64)
-        return pa.table({"a": row[i[new]], "b": row[j[new]], "na": n[i[new]], "nb": n[j[new]], "c": np.diff(np.append(new, len(i)))})
+        return pa.table({"a": row[i[new]], "b": row[j[new]], "na": n[i[new]], "nb": n[j[new]], "c": np.diff(np.append(new, len(i))),
+                         "near": np.logical_or.reduceat(near, new) if len(new) else near})
 
-    found = (members.withColumn("_bucket", F.pmod(F.xxhash64("region"), F.lit(8 * buckets))).groupBy("_bucket")
-             .applyInArrow(run, "a long, b long, na long, nb long, c long"))
-    counted = found.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-    return counted.where(enough_regions(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b")
+    found = (_with_early(members).drop("_held").withColumn("_bucket", F.pmod(F.xxhash64("region"), F.lit(8 * buckets))).groupBy("_bucket")
+             .applyInArrow(run, "a long, b long, na long, nb long, c long, near boolean"))
+    counted = found.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("near").alias("near"))
+    return counted.where(F.col("near") | enough_regions(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -369,7 +394,7 @@ def joined_rows(docs: DataFrame, text: str = "text") -> DataFrame:
         several = several.where("_low < _high")
         if last:
             left = (open_members.join(several.select("region", "_held"), "region").join(heads.select("row", "sketch", "wide"), "row")
-                    .withColumn("wide", F.when(F.col("_held") > CROWD, F.col("wide"))).drop("_held"))
+                    .withColumn("wide", F.when(F.col("_held") > CROWD, F.col("wide"))))
             pairs = _left_pairs(left, buckets)
         else:
             near = open_members.join(several.select("region", "_first.*").drop("_order", "_held"), "region").where(
